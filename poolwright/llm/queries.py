@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
+from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .quality_rules import quality_report
 
@@ -25,10 +27,16 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_documents(spark, sf_dir))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = dedup_lines(_documents(spark, sf_dir))
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_exact_dedup": op4_exact_dedup,
     "op8_source_mixing": op8_source_mixing,
+    "op9_line_dedup": op9_line_dedup,
 }
 
 OP3_SQL = r"""
@@ -70,4 +78,18 @@ g AS (
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM g
 """
 
-ORACLE_SQL = {"op3_quality_rules": OP3_SQL, "op4_exact_dedup": OP4_SQL}
+OP9_SQL = r"""
+WITH l AS (
+  SELECT doc_id, n, pos, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, n, generate_subscripts(lines, 1) AS pos, unnest(lines) AS line
+        FROM (SELECT doc_id, row_number() OVER () AS n, string_split(coalesce(text, ''), chr(10)) AS lines
+              FROM documents))),
+o AS (SELECT key, min(doc_id) AS owner FROM l WHERE length(key) >= 10 GROUP BY key),
+k AS (SELECT l.*, owner IS NULL OR owner = doc_id AS stays FROM l LEFT JOIN o USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE NOT stays) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE stays), '')) AS kept_sha256
+FROM k GROUP BY doc_id, n
+"""
+
+ORACLE_SQL = {"op3_quality_rules": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op9_line_dedup": OP9_SQL}
