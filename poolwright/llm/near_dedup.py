@@ -11,6 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .runtime import WHITE, drop_path, work_path
 
@@ -158,10 +159,10 @@ def _long_lists(lists: list[np.ndarray]) -> pa.Array:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """uid, id, text -> the same, the digest of the words (null without any) and the bands of the first level."""
+    """uid, id, text and more -> the same, the digest of the words (null without any) and the bands of the first level."""
     for batch in batches:
         d1, d2, bands = [], [], []
-        for text in batch.column(2):
+        for text in batch.column(2):  # uid, id and text come first
             words = text_words(text.as_py() or "")
             digest = xxhash.xxh3_128_intdigest(" ".join(words).encode())
             d1.append((digest >> 64) - (1 << 63) if words else None)
@@ -170,7 +171,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bands.append(bands_of(layers, 0) if len(layers) else np.zeros(0, dtype=np.uint64))
         yield pa.record_batch(
             [*batch.columns, pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), _long_lists(bands)],
-            names=["uid", "id", "text", "d1", "d2", "bands"],
+            names=[*batch.schema.names, "d1", "d2", "bands"],
         )
 
 
@@ -322,24 +323,37 @@ def _rest(
     return labels, large if large.limit(1).count() else None
 
 
-def _classes(signed: DataFrame, copies: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
-    """Each row with its class. Classes are worked out on distinct texts; rows are joined once, by digest."""
+def _near_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From (uid, id, text, ...): the rows with their digests, the distinct texts with labels, and the classes."""
+    tables = _Tables(rows.sparkSession)
+    added = T.StructType().add("d1", "long").add("d2", "long").add("bands", T.ArrayType(T.LongType()))
+    signed = rows.mapInArrow(_signed, T.StructType(rows.schema.fields + added.fields))
+    signed = tables.put(signed, "signed", compression="zstd")
+    # a text's least row stands for all rows with its words; of ids the least comes first, null last
+    least = F.struct(F.col("id").isNull().alias("none"), "id", "uid")
+    copies = tables.put(
+        signed.where("d1 IS NOT NULL")
+        .groupBy("d1", "d2")
+        .agg(F.min("uid").alias("uid"), F.count(F.lit(1)).alias("n"), F.min(least).alias("first")),
+        "copies",
+    )
+    texts = signed.select("uid", "text")
+    reps = signed.select("uid", "bands").join(copies.select("uid"), "uid")
+    members = tables.put(reps.select("uid", F.explode("bands").alias("key")), "members")
+    labels = tables.put(copies.select("uid", F.col("uid").alias("label")).limit(0), "labels")
+    for level in range(MAX_LEVELS):
+        inside = _inside(tables, members)
+        labels = _stars(tables, inside, labels, texts, first=level == 0)
+        labels, large = _rest(tables, inside, labels, texts, last=level == MAX_LEVELS - 1)
+        if large is None:
+            break
+        nodes = large.select("uid").distinct().join(texts, "uid")
+        bands = tables.put(nodes.mapInArrow(_signer(level + 1), "uid long, bands array<long>"), "resigned")
+        parts = large.join(bands, "uid").select("uid", F.explode("bands").alias("band"), F.col("key").alias("within"))
+        members = tables.put(parts.select("uid", F.xxhash64("within", "band").alias("key")), "members")
     nodes = _with_labels(copies, labels)
     classes = nodes.groupBy("label").agg(F.sum("n").alias("class_size"), F.min("first").alias("least"))
-    of_text = nodes.select("d1", "d2", "label").join(classes, "label").drop("label")
-    rows = signed.select("uid", "id", "d1", "d2")
-    known = rows.join(of_text, ["d1", "d2"])
-    kept = F.col("uid") == F.col("least.uid")
-    return known.select(
-        F.col("id").alias(id_col), F.col("least.id").alias("class_id"), "class_size", kept.alias("kept")
-    ).unionByName(
-        rows.where("d1 IS NULL").select(
-            F.col("id").alias(id_col),
-            F.col("id").alias("class_id"),
-            F.lit(1).cast("long").alias("class_size"),
-            F.lit(True).alias("kept"),
-        )
-    )
+    return signed, nodes, classes
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -365,36 +379,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     that repeat are copies. Null ids are above all others; of rows that share a class's least id one is kept. Other
     columns of ``docs`` are not read. An empty table gives an empty result.
     """
-    tables = _Tables(docs.sparkSession)
     rows = docs.select(
         F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.col(text_col).alias("text")
     )
-    kind = rows.schema["id"].dataType.simpleString()
-    signed = tables.put(
-        rows.mapInArrow(_signed, f"uid long, id {kind}, text string, d1 long, d2 long, bands array<long>"),
-        "signed",
-        compression="zstd",
+    signed, nodes, classes = _near_classes(rows)
+    of_text = nodes.select("d1", "d2", "label").join(classes, "label").drop("label")
+    rows = signed.select("uid", "id", "d1", "d2")
+    known = rows.join(of_text, ["d1", "d2"]).select(
+        F.col("id").alias(id_col),
+        F.col("least.id").alias("class_id"),
+        "class_size",
+        (F.col("uid") == F.col("least.uid")).alias("kept"),
     )
-    # a text's least row stands for all rows with its words; of ids the least comes first, null last
-    least = F.struct(F.col("id").isNull().alias("none"), "id", "uid")
-    copies = tables.put(
-        signed.where("d1 IS NOT NULL")
-        .groupBy("d1", "d2")
-        .agg(F.min("uid").alias("uid"), F.count(F.lit(1)).alias("n"), F.min(least).alias("first")),
-        "copies",
+    alone = rows.where("d1 IS NULL").select(
+        F.col("id").alias(id_col),
+        F.col("id").alias("class_id"),
+        F.lit(1).cast("long").alias("class_size"),
+        F.lit(True).alias("kept"),
     )
-    texts = signed.select("uid", "text")
-    reps = signed.select("uid", "bands").join(copies.select("uid"), "uid")
-    members = tables.put(reps.select("uid", F.explode("bands").alias("key")), "members")
-    labels = tables.put(copies.select("uid", F.col("uid").alias("label")).limit(0), "labels")
-    for level in range(MAX_LEVELS):
-        inside = _inside(tables, members)
-        labels = _stars(tables, inside, labels, texts, first=level == 0)
-        labels, large = _rest(tables, inside, labels, texts, last=level == MAX_LEVELS - 1)
-        if large is None:
-            break
-        nodes = large.select("uid").distinct().join(texts, "uid")
-        bands = tables.put(nodes.mapInArrow(_signer(level + 1), "uid long, bands array<long>"), "resigned")
-        parts = large.join(bands, "uid").select("uid", F.explode("bands").alias("band"), F.col("key").alias("within"))
-        members = tables.put(parts.select("uid", F.xxhash64("within", "band").alias("key")), "members")
-    return _classes(signed, copies, labels, id_col)
+    return known.unionByName(alone)
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that :func:`near_duplicates` keeps, one of each class, with all their columns."""
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.lit(0).alias("__nd_none"))
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("uid"),
+        F.col(id_col).alias("id"),
+        F.col(text_col).alias("text"),
+        rest.alias("rest"),
+    )
+    signed, _, classes = _near_classes(rows)
+    kept = signed.select("uid").where("d1 IS NULL").unionByName(classes.select("least.uid"))
+    out = [F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns]
+    return signed.select("uid", "text", "rest").join(kept, "uid").select(*out)
