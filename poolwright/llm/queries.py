@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import format_conversations, read_back
 from .exact_dedup import exact_dedup
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
@@ -33,6 +34,38 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir))
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row of conversations is an event, a whole message; a message is a row, even if it repeats another."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    probe = F.lit("</s>[INST] ok [/INST]")
+    extra = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, F.lit("user")).otherwise(F.lit("assistant")).alias("role"),
+        probe.alias("text"),
+    )
+    events = rows.unionByName(extra).select(
+        "conv_id",
+        F.monotonically_increasing_id().alias("message_id"),
+        F.col("turn").alias("seq"),
+        F.lit("message").alias("kind"),
+        "role",
+        "text",
+    )
+    back = read_back(format_conversations(events))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join("loss", "")
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        digest(turns).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        digest(loss).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_documents(spark, sf_dir))
 
@@ -47,6 +80,7 @@ QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_quality_rules": op3_quality_rules,
     "op4_exact_dedup": op4_exact_dedup,
+    "op7_chat_format": op7_chat_format,
     "op8_source_mixing": op8_source_mixing,
     "op9_line_dedup": op9_line_dedup,
 }
@@ -90,6 +124,25 @@ g AS (
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM g
 """
 
+OP7_SQL = r"""
+WITH r AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (
+  SELECT *, length(regexp_replace(text,
+      '([<\[])(\\*)(\|(?:im_start|im_end|endoftext)\|>|/?s>|/?INST\]|/?SYS\])', '\1\\\2\3', 'g')) AS body,
+    length(regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'),
+      '([<\[])(\\*)(\|(?:im_start|im_end|endoftext)\|>|/?s>|/?INST\]|/?SYS\])', '\1\\\2\3', 'g')) AS head
+  FROM r)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), ''))
+         AS loss_sha256,
+       sum(12 + head + 1 + body + 11)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
 OP9_SQL = r"""
 WITH l AS (
   SELECT doc_id, n, pos, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
@@ -104,4 +157,4 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE NOT stays) AS n_dropp
 FROM k GROUP BY doc_id, n
 """
 
-ORACLE_SQL = {"op3_quality_rules": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op9_line_dedup": OP9_SQL}
+ORACLE_SQL = {"op3_quality_rules": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op7_chat_format": OP7_SQL, "op9_line_dedup": OP9_SQL}
