@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .chat import format_conversations, read_back
 from .exact_dedup import exact_dedup
+from .html_text import extract_text
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
@@ -75,6 +76,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_sentencepiece": op2_sentencepiece,
@@ -83,6 +88,7 @@ QUERIES = {
     "op7_chat_format": op7_chat_format,
     "op8_source_mixing": op8_source_mixing,
     "op9_line_dedup": op9_line_dedup,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 OP3_SQL = r"""
