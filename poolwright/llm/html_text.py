@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -80,12 +81,20 @@ class TreeBuilder:
     def __init__(self) -> None:
         self.root = Node("html")
         self.stack = [self.root]
+        self.count: Counter[str] = Counter()  # of open elements, so that no search is made for what isn't open
+
+    def _cut(self, at: int) -> None:
+        for node in self.stack[at:]:
+            self.count[node.tag] -= 1
+        del self.stack[at:]
 
     def _end(self, tags: frozenset[str], stop: frozenset[str]) -> None:
+        if not any(self.count[tag] for tag in tags):
+            return
         for i in range(len(self.stack) - 1, 0, -1):
             tag = self.stack[i].tag
             if tag in tags:
-                del self.stack[i:]
+                self._cut(i)
                 return
             if tag in stop:
                 return
@@ -105,6 +114,7 @@ class TreeBuilder:
         self.stack[-1].children.append(node)
         if tag not in VOID:
             self.stack.append(node)
+            self.count[tag] += 1
         return node
 
     def start(self, tag: str, attributes: dict[str, str]) -> None:
@@ -118,7 +128,7 @@ class TreeBuilder:
                 node.hidden = "hidden" in attributes or bool(_HIDDEN.search(attributes.get("style", "")))
             return
         if self.stack[-1].tag == "head" and tag not in HEAD_ONLY:
-            self.stack.pop()
+            self._cut(len(self.stack) - 1)
         if tag in CLOSES_P:
             self._end(frozenset(["p"]), _SCOPE)
         if tag in ENDS:
@@ -126,14 +136,14 @@ class TreeBuilder:
         if tag in ("td", "th") and not self._inside("tr", "table") and self._inside("table", "html"):
             self._open("tr")
         if tag[0] == "h" and len(tag) == 2 and self.stack[-1].tag[:1] == "h" and self.stack[-1].tag[1:].isdigit():
-            self.stack.pop()
+            self._cut(len(self.stack) - 1)
         self._open(tag, attributes)
 
     def end(self, tag: str) -> None:
         if tag == "br":
             self._open("br")
             return
-        if tag == "p" and not any(n.tag == "p" for n in self.stack):
+        if tag == "p" and not self.count["p"]:
             self._open("p")
         stop = frozenset(["table"]) if tag not in ("table", "body", "html") else frozenset()
         if tag not in ("html", "body"):  # what comes after them belongs to the body
@@ -141,7 +151,7 @@ class TreeBuilder:
 
     def text(self, text: str) -> None:
         if self.stack[-1].tag == "head" and text.strip():
-            self.stack.pop()
+            self._cut(len(self.stack) - 1)
         if text:
             self.stack[-1].children.append(text)
 
