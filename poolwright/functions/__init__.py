@@ -1 +1 @@
-"""See the package README section of the same name."""
+"""Column expressions and numeric kernels that operators share."""

@@ -1 +1 @@
-"""See the package README section of the same name."""
+"""Operators on pools, models, clusters, images, predictions and runs."""

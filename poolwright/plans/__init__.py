@@ -1 +1 @@
-"""See the package README section of the same name."""
+"""Registries, the learning loop, and the registered queries."""
