@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -19,10 +19,13 @@ SHINGLE = 5
 #: Weighted Jaccard similarity, as a fraction, from which two texts are near duplicates.
 SIMILAR = (4, 5)
 ROWS, BANDS = 5, 28
-#: Nodes of one bucket up to which those of different classes are paired as they are; larger buckets are first split
-#: by signatures of another seed, at most so many times.
-SMALL_BUCKET = 64
-MAX_LEVELS = 4
+SEED = 0
+#: Weight layers of texts that are signed together, which bounds memory.
+SIGNED_TOGETHER = 200_000
+#: Rounds in which one member stands for the largest class of a list, before all are paired with it.
+REST_STARS = 2
+#: Weight layers of texts that verification remembers per task.
+REMEMBERED = 4_000_000
 #: Ids (of 8 bytes) that may be broadcast, by a count made first, so that only their texts are shuffled. With more,
 #: all texts are shuffled.
 BROADCAST_IDS = 1_000_000
@@ -88,48 +91,61 @@ def shingle_layers(hashes: np.ndarray) -> np.ndarray:
     return np.sort(mix64(acc + _MIX * layer.astype(np.uint64)))
 
 
-def dart_signature(layers: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """For each of ``k`` coordinates, the earliest dart that hits the text's region.
+def dart_signatures(texts: list[np.ndarray], k: int, seed: int = SEED) -> np.ndarray:
+    """For each text (none empty) and each of ``k`` coordinates, the earliest dart that hits the text's region.
 
     Darts fall on (element, weight layer) x rank as a Poisson process of unit intensity that depends on the seed alone:
     the ranks of a layer's darts are sums of exponential gaps, drawn from its hash, and each dart's hash also names its
     coordinate. Only darts below a rank limit are thrown, which the text's weight sets so that about k ln k + 2k land;
-    most layers of a long text get none. If a coordinate stays empty the limit is doubled: darts below the old limit are
-    the same, so the earliest dart of a coordinate never depends on the limit.
+    most layers of a long text get none. Texts with a coordinate still empty are done again with twice the limit: darts
+    below the old limit are the same, so the earliest dart of a coordinate never depends on the limit.
     """
-    limit = (k * np.log(k) + 2 * k) / len(layers)
-    base = mix64(layers + _step(2 * seed + 1))
-    while True:
-        best = np.full(k, np.inf)
-        found = np.zeros(k, dtype=np.uint64)
-        alive, rank, throw = base, np.zeros(len(base)), 0
-        hit_at, hit_rank, hit_id = [], [], []
+    sizes = np.array([len(x) for x in texts])
+    found = np.zeros((len(texts), k), dtype=np.uint64)
+    base = mix64(np.concatenate(texts) + _step(2 * seed + 1)) if texts else np.zeros(0, dtype=np.uint64)
+    starts = np.concatenate(([0], np.cumsum(sizes)))
+    todo, factor = np.arange(len(texts)), 1.0
+    while len(todo):
+        limits = factor * (k * np.log(k) + 2 * k) / sizes[todo]
+        alive = base if factor == 1 else np.concatenate([base[starts[i] : starts[i + 1]] for i in todo])
+        owner = np.repeat(np.arange(len(todo)), sizes[todo])
+        rank, limit, throw = np.zeros(len(alive)), limits[owner], 0
+        slots, ranks, names = [], [], []
         while len(alive):
             throw += 1
             dart = mix64(alive + _step(throw))
             rank = rank - np.log(((dart >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53)
-            under = rank < limit
-            alive, rank, dart = alive[under], rank[under], dart[under]
-            name = mix64(dart ^ _MIX)
-            hit_at.append((name % np.uint64(k)).astype(np.int64))
-            hit_rank.append(rank)
-            hit_id.append(name)
-        at, ranks, names = (np.concatenate(x) for x in (hit_at, hit_rank, hit_id))
-        order = np.argsort(-ranks, kind="stable")  # the last write to a coordinate is its earliest dart
-        best[at[order]] = ranks[order]
-        found[at[order]] = names[order]
-        if np.isfinite(best).all():
-            return found
-        limit *= 2
-
-
-def bands_of(layers: np.ndarray, seed: int, rows: int = ROWS, bands: int = BANDS) -> np.ndarray:
-    """One 64-bit key for each band of the signature."""
-    signature = dart_signature(layers, rows * bands, seed).reshape(bands, rows)
-    key = mix64(np.arange(bands, dtype=np.uint64) + np.uint64(1))
-    for r in range(rows):
-        key = mix64(key * _MIX + signature[:, r])
-    return key
+            under = np.flatnonzero(rank < limit)
+            alive, rank, owner, limit = alive[under], rank[under], owner[under], limit[under]
+            name = mix64(dart[under] ^ _MIX)
+            slots.append(owner * k + (name % np.uint64(k)).astype(np.int64))
+            ranks.append(rank)
+            names.append(name)
+        slot, rank, name = np.concatenate(slots), np.concatenate(ranks), np.concatenate(names)
+        order = np.argsort(-rank)  # the last write to a slot is its earliest dart
+        hit, mine = np.zeros(len(todo) * k, dtype=bool), np.zeros(len(todo) * k, dtype=np.uint64)
+        mine[slot[order]] = name[order]
+        hit[slot] = True
+        full = hit.reshape(-1, k).all(axis=1)
+        found[todo[full]] = mine.reshape(-1, k)[full]
+        todo, factor = todo[~full], factor * 2
+    return found
+
+
+def bands_of(texts: list[np.ndarray]) -> list[np.ndarray]:
+    """One 64-bit key for each band of each text's signature; no keys for a text without layers."""
+    out = [np.zeros(0, dtype=np.uint64)] * len(texts)
+    some = [i for i, x in enumerate(texts) if len(x)]
+    ends = np.cumsum([len(texts[i]) for i in some])
+    cuts = np.searchsorted(ends, np.arange(SIGNED_TOGETHER, (ends[-1] if len(ends) else 0) + 1, SIGNED_TOGETHER))
+    for part in np.split(np.array(some, dtype=np.int64), np.unique(cuts)):
+        signature = dart_signatures([texts[i] for i in part], ROWS * BANDS).reshape(len(part), BANDS, ROWS)
+        key = np.repeat(mix64(np.arange(BANDS, dtype=np.uint64) + np.uint64(1))[None, :], len(part), axis=0)
+        for r in range(ROWS):
+            key = mix64(key * _MIX + signature[:, :, r])
+        for i, keys in zip(part, key, strict=True):
+            out[i] = keys
+    return out
 
 
 def similar(a: np.ndarray, b: np.ndarray, at_least: tuple[int, int] = SIMILAR) -> bool:
@@ -159,41 +175,65 @@ def _long_lists(lists: list[np.ndarray]) -> pa.Array:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """uid, id, text and more -> the same, the digest of the words (null without any) and the bands of the first level."""
+    """uid, id, text and more -> the same, the digest of the words (null without any) and the bands."""
     for batch in batches:
-        d1, d2, bands = [], [], []
-        for text in batch.column(2):  # uid, id and text come first
-            words = text_words(text.as_py() or "")
-            digest = xxhash.xxh3_128_intdigest(" ".join(words).encode())
-            d1.append((digest >> 64) - (1 << 63) if words else None)
-            d2.append((digest & ((1 << 64) - 1)) - (1 << 63) if words else None)
-            layers = shingle_layers(_word_hashes()(words))
-            bands.append(bands_of(layers, 0) if len(layers) else np.zeros(0, dtype=np.uint64))
-        yield pa.record_batch(
-            [*batch.columns, pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), _long_lists(bands)],
-            names=[*batch.schema.names, "d1", "d2", "bands"],
-        )
-
-
-def _signer(level: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bands = [bands_of(_layers_of(text.as_py()), level) for text in batch.column(1)]
-            yield pa.record_batch([batch.column(0), _long_lists(bands)], names=["uid", "bands"])
-
-    return signed
+        for part in _slices(batch, 2):
+            d1, d2, layers = [], [], []
+            for text in part.column(2):  # uid, id and text come first
+                words = text_words(text.as_py() or "")
+                digest = xxhash.xxh3_128_intdigest(" ".join(words).encode())
+                d1.append((digest >> 64) - (1 << 63) if words else None)
+                d2.append((digest & ((1 << 64) - 1)) - (1 << 63) if words else None)
+                layers.append(shingle_layers(_word_hashes()(words)))
+            yield pa.record_batch(
+                [*part.columns, pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), _long_lists(bands_of(layers))],
+                names=[*batch.schema.names, "d1", "d2", "bands"],
+            )
+
+
+def _slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose texts have about ``most`` bytes at most, or one row."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().cumsum()
+    start = 0
+    while start < batch.num_rows:
+        before = sizes[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(sizes, before + most, side="right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
+def _layer_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """uid, text -> (uid, layer) for each layer."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            layers = _layers_of(batch.column(1)[i].as_py())
+            uid = np.full(len(layers), batch.column(0)[i].as_py(), dtype=np.int64)
+            yield pa.record_batch([pa.array(uid), pa.array(layers.view(np.int64))], names=["uid", "layer"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """x, y, text_x, text_y -> the pairs (x, y) that are similar. A text met again is not taken apart again."""
+    """x, y, text_x, text_y -> the pairs (x, y) that are similar. Texts met again are seldom taken apart again."""
+    known: dict[int, np.ndarray] = {}
+    held = 0
+
+    def layers(uid: int, text: pa.StringScalar) -> np.ndarray:
+        nonlocal held
+        if uid not in known:
+            if held > REMEMBERED:
+                known.clear()
+                held = 0
+            known[uid] = _layers_of(text.as_py())
+            held += len(known[uid])
+        return known[uid]
+
     for batch in batches:
         x, y = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        last: tuple[int | None, np.ndarray] = (None, np.zeros(0, dtype=np.uint64))
         good = []
         for i in range(batch.num_rows):
-            if x[i] != last[0]:
-                last = (x[i], _layers_of(batch.column(2)[i].as_py()))
-            if similar(last[1], _layers_of(batch.column(3)[i].as_py())):
+            one = layers(x[i], batch.column(2)[i])
+            if similar(one, layers(y[i], batch.column(3)[i])):
                 good.append(i)
         yield pa.record_batch(
             [pa.array([x[i] for i in good], pa.int64()), pa.array([y[i] for i in good], pa.int64())], names=["x", "y"]
@@ -220,13 +260,17 @@ class _Tables:
         self.paths[label] = paths[-1:] if but_last else []
 
 
+def _needed(tables: _Tables, ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """The texts of some distinct ids: without a shuffle if the ids are few enough to be broadcast."""
+    few = ids.count() <= BROADCAST_IDS
+    return texts.join(F.broadcast(ids) if few else ids, "uid", "left_semi")
+
+
 def _verify(tables: _Tables, pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The similar ones among distinct pairs (x, y)."""
     pairs = tables.put(pairs.select("x", "y"), "pairs")
     ids = pairs.select(F.col("x").alias("uid")).unionByName(pairs.select(F.col("y").alias("uid"))).distinct()
-    ids = tables.put(ids, "pair-ids")
-    if ids.count() <= BROADCAST_IDS:
-        texts = texts.join(F.broadcast(ids), "uid", "left_semi")
+    texts = _needed(tables, tables.put(ids, "pair-ids"), texts)
     with_y = pairs.join(texts.select(F.col("uid").alias("y"), F.col("text").alias("text_y")), "y")
     both = with_y.join(texts.select(F.col("uid").alias("x"), F.col("text").alias("text_x")), "x")
     links = tables.put(both.select("x", "y", "text_x", "text_y").mapInArrow(_verified, "x long, y long"), "links")
@@ -287,13 +331,12 @@ def _inside(tables: _Tables, members: DataFrame) -> DataFrame:
     return tables.put(members.join(buckets.where("size > 1").drop("size"), "key").where("uid <> centre"), "inside")
 
 
-def _stars(tables: _Tables, inside: DataFrame, labels: DataFrame, texts: DataFrame, first: bool) -> DataFrame:
+def _stars(tables: _Tables, inside: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
     """Labels after each node has been compared with the centres of its buckets, as far as their classes differ."""
     stars = tables.put(inside.groupBy("uid", "centre").agg(F.count(F.lit(1)).alias("shared")), "stars")
-    if first:
-        best = stars.groupBy("uid").agg(F.max_by("centre", F.struct("shared", -F.col("centre"))).alias("centre"))
-        pairs = best.select(F.col("centre").alias("x"), F.col("uid").alias("y"))
-        labels = connect(tables, labels, _verify(tables, pairs, texts))
+    best = stars.groupBy("uid").agg(F.max_by("centre", F.struct("shared", -F.col("centre"))).alias("centre"))
+    pairs = best.select(F.col("centre").alias("x"), F.col("uid").alias("y"))
+    labels = connect(tables, labels, _verify(tables, pairs, texts))
     of_centre = labels.select(F.col("uid").alias("centre"), F.col("label").alias("other"))
     apart = _with_labels(stars, labels).join(of_centre, "centre", "left")
     apart = apart.where(F.col("label") != F.coalesce("other", "centre"))
@@ -301,26 +344,59 @@ def _stars(tables: _Tables, inside: DataFrame, labels: DataFrame, texts: DataFra
     return connect(tables, labels, _verify(tables, pairs, texts))
 
 
-def _rest(
-    tables: _Tables, inside: DataFrame, labels: DataFrame, texts: DataFrame, last: bool
-) -> tuple[DataFrame, DataFrame | None]:
-    """Labels after the pairs that no star has compared, and (key, uid) of the buckets too large to be paired.
+def _rest(tables: _Tables, inside: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+    """Labels after the pairs that no star has compared: of one bucket, but of different classes and without its centre.
 
-    Those pairs are of different classes and without a centre, in buckets where two classes or more are left.
+    In a group of many near copies these are too many to be listed by bucket, so they are found by prefix filtering
+    among the nodes of such buckets, which is exact. Each node orders its layers by how many of these nodes have them,
+    the rarest first. Nodes of n and m layers that are similar have at least 4/9 (n + m) in common, thus one of the
+    first n - ceil(0.8 n) + 1 of each; and if the first such stands at places i and j, then no more than
+    min(n - i, m - j). Rare layers are shared by close relatives only. Nothing is paired within the largest class of a
+    layer, only the others with all; and first in rounds in which one member stands for the largest class, so that most
+    of what is similar is of one class by the time all are paired.
     """
     known = _with_labels(inside.select("key", "uid"), labels)
-    by_class = known.groupBy("key", "label").agg(F.count(F.lit(1)).alias("nodes"))
-    still = by_class.groupBy("key").agg(F.count(F.lit(1)).alias("classes"), F.sum("nodes").alias("nodes"))
-    left = tables.put(known.join(still.where("classes > 1"), "key"), "left")
-    small = left if last else left.where(F.col("nodes") <= SMALL_BUCKET)
-    one = small.select("key", F.col("uid").alias("x"), F.col("label").alias("one"))
-    two = small.select("key", F.col("uid").alias("y"), F.col("label").alias("two"))
-    pairs = one.join(two, "key").where((F.col("one") != F.col("two")) & (F.col("x") < F.col("y")))
-    labels = connect(tables, labels, _verify(tables, pairs.select("x", "y").distinct(), texts))
-    if last:
-        return labels, None
-    large = left.where(F.col("nodes") > SMALL_BUCKET).select("key", "uid")
-    return labels, large if large.limit(1).count() else None
+    classes = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    nodes = tables.put(known.join(classes.select("key"), "key").select("uid", "label").distinct(), "open")
+    if not nodes.limit(1).count():
+        return labels
+    ids = nodes.select("uid")
+    layers = tables.put(_needed(tables, ids, texts).mapInArrow(_layer_rows, "uid long, layer long"), "layers")
+    shared = layers.groupBy("layer").agg(F.count(F.lit(1)).alias("nodes"))
+    ordered = layers.join(shared, "layer").groupBy("uid").agg(
+        F.sort_array(F.collect_list(F.struct("nodes", "layer"))).alias("order")
+    )
+    n = F.size("order")
+    prefix = F.slice("order", 1, (n - F.floor((4 * n + 4) / F.lit(5)) + 1).cast("int"))
+    posts = ordered.select("uid", n.alias("n"), F.posexplode(prefix).alias("at", "x")).where("x.nodes > 1")
+    posts = tables.put(posts.select(F.col("x.layer").alias("layer"), "uid", "n", "at"), "posts")
+    tables.drop("layers")
+    for turn in range(REST_STARS + 1):
+        now = _with_labels(posts, labels)
+        per_class = now.groupBy("layer", "label").agg(F.count(F.lit(1)).alias("nodes"))
+        lists = per_class.groupBy("layer").agg(
+            F.count(F.lit(1)).alias("classes"), F.max_by("label", F.struct("nodes", "label")).alias("largest")
+        )
+        mixed = tables.put(now.join(lists.where("classes > 1").drop("classes"), "layer"), "mixed")
+        others = mixed
+        if turn < REST_STARS:
+            # most of what shares a rare layer is similar: one member of the largest class stands for it at first
+            member = F.struct(F.xxhash64("uid", F.lit(turn)).alias("h"), "uid", "label", "n", "at")
+            others = mixed.where("label = largest").groupBy("layer").agg(F.min(member).alias("m")).select("layer", "m.*")
+        pairs = _possible(mixed.where("label <> largest"), others)
+        labels = connect(tables, labels, _verify(tables, pairs, texts))
+        tables.drop("mixed")
+    return labels
+
+
+def _possible(few: DataFrame, others: DataFrame) -> DataFrame:
+    """Distinct pairs (x, y) of different classes that share a layer, where sizes and places let them be similar."""
+    end = lambda rows, x: rows.select("layer", *[F.col(c).alias(f"{c}_{x}") for c in ("uid", "label", "n", "at")])
+    least, most = F.least("n_x", "n_y"), F.greatest("n_x", "n_y")
+    room = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
+    could = (F.col("label_x") != F.col("label_y")) & (5 * least >= 4 * most) & (9 * room >= 4 * (least + most))
+    pairs = end(few, "x").join(end(others, "y"), "layer").where(could)
+    return pairs.select(F.least("uid_x", "uid_y").alias("x"), F.greatest("uid_x", "uid_y").alias("y")).distinct()
 
 
 def _near_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -341,16 +417,10 @@ def _near_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     reps = signed.select("uid", "bands").join(copies.select("uid"), "uid")
     members = tables.put(reps.select("uid", F.explode("bands").alias("key")), "members")
     labels = tables.put(copies.select("uid", F.col("uid").alias("label")).limit(0), "labels")
-    for level in range(MAX_LEVELS):
-        inside = _inside(tables, members)
-        labels = _stars(tables, inside, labels, texts, first=level == 0)
-        labels, large = _rest(tables, inside, labels, texts, last=level == MAX_LEVELS - 1)
-        if large is None:
-            break
-        nodes = large.select("uid").distinct().join(texts, "uid")
-        bands = tables.put(nodes.mapInArrow(_signer(level + 1), "uid long, bands array<long>"), "resigned")
-        parts = large.join(bands, "uid").select("uid", F.explode("bands").alias("band"), F.col("key").alias("within"))
-        members = tables.put(parts.select("uid", F.xxhash64("within", "band").alias("key")), "members")
+    inside = _inside(tables, members)
+    tables.drop("members")
+    labels = _stars(tables, inside, labels, texts)
+    labels = _rest(tables, inside, labels, texts)
     nodes = _with_labels(copies, labels)
     classes = nodes.groupBy("label").agg(F.sum("n").alias("class_size"), F.min("first").alias("least"))
     return signed, nodes, classes
@@ -368,10 +438,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     2. Nodes that share a band's key are a bucket. A bucket is linked as a star about its least node, never as all
        pairs: first each node with the centre that it shares most bands with, then with its other centres that are
        still in another class. Every link is verified on the whole texts.
-    3. What stars can miss are similar nodes whose classes differ although they share a bucket. Buckets with few
-       classes left are paired across classes. In larger ones all nodes that still differ are signed again with another
-       seed and split by those bands, so that nodes sharing only a common passage part; this repeats. What is as large
-       at the last level is paired all the same, so no bucket is capped.
+    3. What stars can miss are similar nodes whose classes differ although they share a bucket. Among the nodes of all
+       buckets with several classes left, an exact prefix filter on their rarest shingles finds every such pair
+       (:func:`_rest`), so no bucket is capped and no group is paired with itself.
 
     With 28 bands of 5 rows a pair of similarity 0.8 shares no band with probability 0.000015.
 
