@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from math import isfinite
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +14,12 @@ def doubles(vector: Column) -> Column:
     return vector.cast("array<double>")
 
 
+def literal(vector: Iterable[float]) -> Column:
+    """A constant vector, as one parsed expression: one call instead of one for each element."""
+    values = ", ".join(f"CAST('{float(v)!r}' AS DOUBLE)" if not isfinite(v) else f"{float(v)!r}D" for v in vector)
+    return F.expr(f"array({values})")
+
+
 def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kernels import checked
-from ..functions.vectors import first_argmax, seeded, squared_distance, total
+from ..functions.vectors import dot, first_argmax, literal, seeded, squared_distance, total
 
 TEMPERATURE = 0.1
 
@@ -105,7 +105,7 @@ class PrototypeScorer(Scorer):
 
     def scores(self, vector: Column) -> Column:
         def score(mean: np.ndarray) -> Column:
-            return -squared_distance(vector, F.array(*[F.lit(float(v)) for v in mean])) / F.lit(self.temperature)
+            return -squared_distance(vector, literal(mean)) / F.lit(self.temperature)
 
         return F.array(*[score(mean) for mean in self.means])
 
@@ -133,10 +133,8 @@ class MLScorer(Scorer):
 
     def scores(self, vector: Column) -> Column:
         weights, offsets = self.linear()
-        from ..functions.vectors import dot
-
         return F.array(
-            *[dot(vector, F.array(*[F.lit(float(v)) for v in w])) + F.lit(float(b)) for w, b in zip(weights, offsets, strict=True)]
+            *[dot(vector, literal(w)) + F.lit(float(b)) for w, b in zip(weights, offsets, strict=True)]
         )
 
     def linear(self) -> tuple[np.ndarray, np.ndarray]:

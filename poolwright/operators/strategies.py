@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kernels import matrix_of, squared_distances
-from ..functions.vectors import negative_entropy, rounded, seeded, squared_distance
+from ..functions.kernels import checked, matrix_of, squared_distances
+from ..functions.vectors import literal, negative_entropy, rounded, seeded, squared_distance
 from . import clustering, hierarchy
 from .pool import unlabeled
 from .scorers import Scorer, mean_of_passes
@@ -118,7 +118,7 @@ def kcenter_greedy(pool: DataFrame, labels: DataFrame, n: int, materialize_every
         if not found:
             break
         picked.append((found[0]["id"], -float(np.sqrt(max(found[0]["d2"], 0.0)))))
-        last = F.array(*[F.lit(v) for v in found[0]["vec"]])
+        last = literal(found[0]["vec"])
         state = state.where(F.col("id") != found[0]["id"]).withColumn(
             "d2", F.least("d2", squared_distance(F.col("vec"), last))
         )
@@ -129,12 +129,9 @@ def kcenter_greedy(pool: DataFrame, labels: DataFrame, n: int, materialize_every
 
 
 def _to_nearest(rows: DataFrame, centres: DataFrame) -> DataFrame:
-    """(id, vec, d2): each row's squared distance to the nearest centre, over blocks of centres of bounded size."""
-    blocks = centres.select("vec", F.pmod(F.xxhash64("id"), F.lit(1)).alias("b"))
-    matrix = np.array([r["vec"] for r in blocks.select("vec").toLocalIterator()], dtype=np.float64)
-    from ..functions.kernels import checked
-
-    matrix = checked(matrix)
+    """(id, vec, d2): each row's squared distance to the nearest centre. Centres are what people have labelled so far;
+    their bytes are checked before they go to the tasks."""
+    matrix = checked(np.array([r["vec"] for r in centres.select("vec").toLocalIterator()], dtype=np.float64))
 
     def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
