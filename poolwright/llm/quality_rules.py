@@ -182,6 +182,12 @@ def learn_order(
     return sorted(rules, key=lambda rule: score[rule.name])
 
 
+def _held_up(verdict: Column) -> Column:
+    """The verdict, such that no filter is pushed below the projection that has it: that would put features into one
+    another as often as they are used. A non-deterministic column, here one that is always true, holds filters up."""
+    return verdict & (F.spark_partition_id() >= 0)
+
+
 def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Statistics and verdict for every document.
 
@@ -201,7 +207,7 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         base_failed = base_failed | rule.rejects()
     df = cascade(df.withColumn("base_failed", base_failed), order, ~F.col("base_failed"))
     stats = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    return df.select(F.col("__qr_id").alias(id_col), *stats, F.col("__qr_alive").alias("kept"))
+    return df.select(F.col("__qr_id").alias(id_col), *stats, _held_up(F.col("__qr_alive")).alias("kept"))
 
 
 def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,7 +218,5 @@ def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     order = learn_order(docs, [*BASE_RULES, *METHOD_RULES], id_col, text_col)
     df = cascade(prepared(docs, id_col, text_col, carry=True), order)
-    # A filter is pushed below projections, which would put features into one another, as often as they are used; a
-    # projection with a non-deterministic column (here one that is always true) holds it up.
-    verdict = F.col("__qr_alive") & (F.spark_partition_id() >= 0)
-    return df.select("__qr_row", verdict.alias("__qr_kept")).where("__qr_kept").select("__qr_row.*")
+    verdict = _held_up(F.col("__qr_alive")).alias("__qr_kept")
+    return df.select("__qr_row", verdict).where("__qr_kept").select("__qr_row.*")
