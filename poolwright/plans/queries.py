@@ -404,10 +404,10 @@ def texture_lcg_weights(spark, sf):  # noqa: ANN001, ANN201
 
 
 def _images(spark: SparkSession, sf: str) -> DataFrame:
-    """64 numbers of a vector as a picture of 8 x 8, in three shades."""
+    """64 numbers of each unlabelled vector as a picture of 8 x 8, in three shades."""
     shades = F.flatten(F.transform("vec", lambda x: F.array(*[F.floor((x + 1) * s).cast("int") for s in (127, 100, 60)])))
     hexes = F.array_join(F.transform(shades, lambda x: F.lpad(F.hex(x), 2, "0")), "")
-    rows = _pool(spark, sf).where("id % 5 = 1")
+    rows = _unlabeled(spark, sf)
     return rows.select("id", F.lit(8).alias("height"), F.lit(8).alias("width"), F.unhex(hexes).alias("pixels"))
 
 
