@@ -19,6 +19,8 @@ from ..functions import kernels
 from ..functions.vectors import cosine_distance, seeded, squared_distance
 
 PLACES = 6
+#: Rows of a block of vectors that is one row of a table.
+BLOCK_ROWS = 256
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -42,6 +44,45 @@ def pairwise(left: DataFrame, right: DataFrame, distance: str = "l2") -> DataFra
     return left.crossJoin(small).select("id", "other", measure(F.col("vec"), F.col("other_vec")).alias("distance"))
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, BLOCK_ROWS):
+            part = batch.slice(i, BLOCK_ROWS)
+            x = kernels.matrix_of(part.column(1))
+            ids = pa.array([part.column(0).to_pylist()], pa.list_(pa.int64()))
+            yield pa.record_batch([ids, pa.array([x.ravel()], pa.list_(pa.float64()))], names=["ids", "flat"])
+
+
+def pairwise_blocks(left: DataFrame, right: DataFrame, distance: str = "l2") -> DataFrame:
+    """As :func:`pairwise`, but ``right`` may have any number of rows: both sides are packed into blocks of at most
+    ``BLOCK_ROWS`` rows, and every pair of blocks is one product of small matrices. Nothing goes to the driver."""
+    if distance not in ("l2", "cos"):
+        raise ValueError(f"unknown distance {distance!r}")
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                ids, flat, others, other_flat = (batch.column(i)[row].values.to_numpy() for i in range(4))
+                x, y = flat.reshape(len(ids), -1), other_flat.reshape(len(others), -1)
+                d = kernels.squared_distances(x, y) if distance == "l2" else 2.0 - 2.0 * (x @ y.T)
+                step = max(1, BLOCK_ROWS * 64 // len(others))
+                for i in range(0, len(ids), step):
+                    part = ids[i : i + step]
+                    yield pa.record_batch(
+                        [
+                            pa.array(np.repeat(part, len(others))),
+                            pa.array(np.tile(others, len(part))),
+                            pa.array(d[i : i + step].ravel()),
+                        ],
+                        names=["id", "other", "distance"],
+                    )
+
+    packed = lambda rows: rows.select("id", "vec").mapInArrow(_packed, "ids array<long>, flat array<double>")
+    spread = packed(left).repartition(left.sparkSession.sparkContext.defaultParallelism)
+    other = packed(right).select(F.col("ids").alias("other_ids"), F.col("flat").alias("other_flat"))
+    return spread.crossJoin(other).mapInArrow(measured, "id long, other long, distance double")
+
+
 def first_centroids(rows: DataFrame, k: int, seed: int) -> np.ndarray:
     """The vectors of the first k rows in seeded order: a start that other engines can repeat."""
     first = rows.select("vec", seeded(seed, F.col("id")).alias("key"), "id").orderBy("key", "id").limit(k)

@@ -183,6 +183,21 @@ QUERIES["pairwise_l2"] = _pairs("l2")
 QUERIES["pairwise_cosine"] = _pairs("cos")
 
 
+def _pairs_whole(distance: str) -> Query:
+    """Every row against every row whose id is divisible by 20: that set grows with the table."""
+
+    def pairs(spark: SparkSession, sf: str) -> DataFrame:
+        p = _pool(spark, sf)
+        out = c.pairwise_blocks(p, p.where("id % 20 = 0"), distance)
+        return out.select("id", "other", rounded(F.col("distance")).alias("distance"))
+
+    return pairs
+
+
+QUERIES["pairwise_l2_whole"] = _pairs_whole("l2")
+QUERIES["pairwise_cosine_whole"] = _pairs_whole("cos")
+
+
 @query
 def assign_clusters(spark, sf):  # noqa: ANN001, ANN201
     return _assigned(spark, sf).select("id", "cid", rounded(F.col("d2")).alias("d2"))

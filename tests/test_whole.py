@@ -2,8 +2,10 @@
 
 import os
 
+import numpy as np
 import pytest
 
+from poolwright.operators import clustering
 from poolwright.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -20,3 +22,21 @@ def embeddings(spark):
 def test_features_of_every_unlabelled_row(spark, embeddings, name):
     ids = [r["id"] for r in QUERIES[name](spark, SF).select("id").collect()]
     assert sorted(ids) == sorted(i for i in embeddings if i % 5)
+
+
+@tables_here
+@pytest.mark.parametrize("name", ["pairwise_l2_whole", "pairwise_cosine_whole"])
+def test_pairs_with_every_twentieth_row(spark, embeddings, name):
+    got = {(r["id"], r["other"]): r["distance"] for r in QUERIES[name](spark, SF).collect()}
+    others = [i for i in embeddings if i % 20 == 0]
+    assert len(got) == len(embeddings) * len(others) and len(others) > 1
+    vec = {i: np.array(r["embedding"], dtype=np.float64) for i, r in embeddings.items()}
+    measure = (lambda a, b: ((a - b) ** 2).sum()) if "l2" in name else (lambda a, b: 2 - 2 * a @ b)
+    assert all(abs(d - measure(vec[a], vec[b])) < 2e-6 for (a, b), d in got.items())
+
+
+def test_pairs_of_many_blocks(spark):
+    rows = spark.range(700).selectExpr("id", "array(double(id), 1D) AS vec")
+    got = clustering.pairwise_blocks(rows, rows.where("id < 600"))
+    assert got.count() == 700 * 600 == got.select("id", "other").distinct().count()
+    assert got.where("distance <> (id - other) * (id - other)").count() == 0
