@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import rounded
@@ -103,14 +103,23 @@ def feature_eviction(spark, sf):  # noqa: ANN001, ANN201
     return pool.evict(_unlabeled(spark, sf), chosen).select("id")
 
 
-@query
-def pixel_normalization(spark, sf):  # noqa: ANN001, ANN201
-    pixels = F.transform(F.slice("vec", 1, 6), lambda x: F.floor((x + 1) * 100))
+def _pixels(spark: SparkSession, sf: str, vec: Column) -> DataFrame:
+    pixels = F.transform(vec, lambda x: F.floor((x + 1) * 100))
     values = pool.normalized_pixels(pixels, (0.485, 0.456, 0.406), (0.229, 0.224, 0.225))
     at = _pool(spark, sf).select("id", F.posexplode(values).alias("pos", "value"))
     return at.select("id", "pos", rounded(F.col("value")).alias("value"))
 
 
+@query
+def pixel_normalization(spark, sf):  # noqa: ANN001, ANN201
+    return _pixels(spark, sf, F.slice("vec", 1, 6))
+
+
+@query
+def pixel_normalization_whole(spark, sf):  # noqa: ANN001, ANN201
+    return _pixels(spark, sf, F.col("vec"))
+
+
 @query
 def class_prototypes(spark, sf):  # noqa: ANN001, ANN201
     from ..operators.scorers import prototypes

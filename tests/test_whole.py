@@ -40,3 +40,13 @@ def test_pairs_of_many_blocks(spark):
     got = clustering.pairwise_blocks(rows, rows.where("id < 600"))
     assert got.count() == 700 * 600 == got.select("id", "other").distinct().count()
     assert got.where("distance <> (id - other) * (id - other)").count() == 0
+
+
+@tables_here
+def test_every_pixel_is_normalized(spark, embeddings):
+    got = {(r["id"], r["pos"]): r["value"] for r in QUERIES["pixel_normalization_whole"](spark, SF).collect()}
+    mean, std = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
+    assert len(got) == sum(len(r["embedding"]) for r in embeddings.values())
+    for (i, pos), value in got.items():
+        x = np.floor((float(embeddings[i]["embedding"][pos]) + 1) * 100)
+        assert abs(value - (x / 255 - mean[pos % 3]) / std[pos % 3]) < 1e-6
