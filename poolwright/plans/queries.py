@@ -415,12 +415,22 @@ def report_curves(spark, sf):  # noqa: ANN001, ANN201
     return out.select("metric", "strategy", "round", rounded(F.col("mean")).alias("mean"))
 
 
+def _paths(spark: SparkSession, sf: str) -> DataFrame:
+    return _pool(spark, sf).withColumn("path", F.concat(F.lit("vec/"), F.col("id")))
+
+
 @query
 def index_export(spark, sf):  # noqa: ANN001, ANN201
-    rows = _pool(spark, sf).withColumn("path", F.concat(F.lit("vec/"), F.col("id")))
+    rows = _paths(spark, sf)
     return results.index_export(rows.where("id % 5 = 0"), rows.where("id % 5 = 1"))
 
 
+@query
+def index_export_whole(spark, sf):  # noqa: ANN001, ANN201
+    rows = _paths(spark, sf)
+    return results.index_export(rows.where("id % 10 <> 1"), rows.where("id % 10 = 1"))
+
+
 @query
 def texture_lcg_weights(spark, sf):  # noqa: ANN001, ANN201
     rows = [(q, p, i, float(v)) for q, p in ((13, 9), (5, 27), (17, 27)) for i, v in enumerate(textures.hidden_weights(q, p).ravel())]

@@ -50,3 +50,10 @@ def test_every_pixel_is_normalized(spark, embeddings):
     for (i, pos), value in got.items():
         x = np.floor((float(embeddings[i]["embedding"][pos]) + 1) * 100)
         assert abs(value - (x / 255 - mean[pos % 3]) / std[pos % 3]) < 1e-6
+
+
+@tables_here
+def test_export_has_every_row(spark, embeddings):
+    rows = QUERIES["index_export_whole"](spark, SF).collect()
+    assert sorted(r["id"] for r in rows) == sorted(embeddings) and {r["split"] for r in rows} == {"train", "test"}
+    assert {r["id"] for r in rows if r["split"] == "test"} == {i for i in embeddings if i % 10 == 1}
