@@ -83,6 +83,26 @@ def pairwise_blocks(left: DataFrame, right: DataFrame, distance: str = "l2") ->
     return spread.crossJoin(other).mapInArrow(measured, "id long, other long, distance double")
 
 
+def blocks(rows: DataFrame, max_bytes: int) -> Iterator[np.ndarray]:
+    """The vectors of all rows, in matrices of at most so many bytes (one row at least). The driver holds one matrix
+    and the packed rows of one partition."""
+    parts: list[np.ndarray] = []
+    size = 0
+    packed = rows.select("id", "vec").mapInArrow(_packed, "ids array<long>, flat array<double>")
+    for row in packed.select(F.size("ids").alias("n"), "flat").toLocalIterator():
+        x = np.array(row["flat"], dtype=np.float64).reshape(row["n"], -1)
+        step = max(1, max_bytes // max(1, x[0].nbytes))
+        for i in range(0, len(x), step):
+            part = x[i : i + step]
+            if parts and size + part.nbytes > max_bytes:
+                yield np.vstack(parts)
+                parts, size = [], 0
+            parts.append(part)
+            size += part.nbytes
+    if parts:
+        yield np.vstack(parts)
+
+
 def first_centroids(rows: DataFrame, k: int, seed: int) -> np.ndarray:
     """The vectors of the first k rows in seeded order: a start that other engines can repeat."""
     first = rows.select("vec", seeded(seed, F.col("id")).alias("key"), "id").orderBy("key", "id").limit(k)

@@ -13,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kernels import checked, matrix_of, squared_distances
+from ..functions import kernels
+from ..functions.kernels import matrix_of, squared_distances
 from ..functions.vectors import literal, negative_entropy, rounded, seeded, squared_distance
 from . import clustering, hierarchy
 from .pool import unlabeled
@@ -129,19 +130,25 @@ def kcenter_greedy(pool: DataFrame, labels: DataFrame, n: int, materialize_every
 
 
 def _to_nearest(rows: DataFrame, centres: DataFrame) -> DataFrame:
-    """(id, vec, d2): each row's squared distance to the nearest centre. Centres are what people have labelled so far;
-    their bytes are checked before they go to the tasks."""
-    matrix = checked(np.array([r["vec"] for r in centres.select("vec").toLocalIterator()], dtype=np.float64))
+    """(id, vec, d2): each row's squared distance to the nearest centre. Centres are what people have labelled so far,
+    however many: they go to the tasks in blocks of bounded size, and every block lowers the distances left by those
+    before it."""
+    state = rows.select("id", "vec", F.lit(float("inf")).alias("d2"))
+    some = False
+    for matrix in clustering.blocks(centres, kernels.MAX_MATRIX_BYTES // 4):
+        state, some = clustering.cut(_lowered(state, matrix)), True
+    return state if some else clustering.cut(state)
 
+
+def _lowered(state: DataFrame, matrix: np.ndarray) -> DataFrame:
     def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = matrix_of(batch.column(1))
-            d = np.full(batch.num_rows, np.inf)
+            x, d = matrix_of(batch.column(1)), batch.column(2).to_numpy()
             for i in range(0, len(matrix) if len(x) else 0, 4096):
                 d = np.minimum(d, squared_distances(x, matrix[i : i + 4096]).min(axis=1))
-            yield pa.record_batch([*batch.columns, pa.array(d)], names=["id", "vec", "d2"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(d)], names=["id", "vec", "d2"])
 
-    return clustering.cut(rows.select("id", "vec").mapInArrow(distances, "id long, vec array<double>, d2 double"))
+    return state.mapInArrow(distances, "id long, vec array<double>, d2 double")
 
 
 def _adversarial(

@@ -265,6 +265,11 @@ def kcenter_greedy(spark, sf):  # noqa: ANN001, ANN201
     return strategies.kcenter_greedy(_pool(spark, sf), _labels(spark, sf), 3)
 
 
+@query
+def kcenter_greedy_whole(spark, sf):  # noqa: ANN001, ANN201
+    return strategies.kcenter_greedy(_pool(spark, sf), _labels(spark, sf), N)
+
+
 @query
 def deepfool_linear(spark, sf):  # noqa: ANN001, ANN201
     out = strategies.deepfool_linear(_pool(spark, sf), _labels(spark, sf), N, _scorer(spark, sf), 10)

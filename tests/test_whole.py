@@ -5,7 +5,8 @@ import os
 import numpy as np
 import pytest
 
-from poolwright.operators import clustering
+from poolwright.functions import kernels
+from poolwright.operators import clustering, strategies
 from poolwright.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -57,3 +58,33 @@ def test_export_has_every_row(spark, embeddings):
     rows = QUERIES["index_export_whole"](spark, SF).collect()
     assert sorted(r["id"] for r in rows) == sorted(embeddings) and {r["split"] for r in rows} == {"train", "test"}
     assert {r["id"] for r in rows if r["split"] == "test"} == {i for i in embeddings if i % 10 == 1}
+
+
+def farthest_first(vec, labelled, n):
+    """Picks and distances by brute force; of equally far rows the least id."""
+    d2 = {i: min(((v - vec[j]) ** 2).sum() for j in labelled) for i, v in vec.items() if i not in labelled}
+    picks = []
+    while len(picks) < n:
+        i = min(d2, key=lambda i: (-round(d2[i], 6), i))
+        picks.append((i, -np.sqrt(d2.pop(i))))
+        d2 = {j: min(d, ((vec[j] - vec[i]) ** 2).sum()) for j, d in d2.items()}
+    return picks
+
+
+@tables_here
+def test_kcenter_picks_n(spark, embeddings):
+    got = [(r["id"], r["score"]) for r in QUERIES["kcenter_greedy_whole"](spark, SF).collect()]
+    vec = {i: np.array(r["embedding"], dtype=np.float64) for i, r in embeddings.items()}
+    want = farthest_first(vec, {i for i in vec if i % 5 == 0}, 10)
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert np.allclose([s for _, s in got], [s for _, s in want], atol=2e-6)
+
+
+def test_kcenter_refuses_no_number_of_labels(spark, monkeypatch):
+    monkeypatch.setattr(kernels, "MAX_MATRIX_BYTES", 2048)
+    rng = np.random.default_rng(7)
+    vec = {i: rng.normal(size=4) for i in range(300)}
+    rows = spark.createDataFrame([(i, 0, v.tolist()) for i, v in vec.items()], "id long, label int, vec array<double>")
+    labels = rows.where("id < 200").selectExpr("id", "0 AS round")
+    got = [r["id"] for r in strategies.kcenter_greedy(rows, labels, 4).collect()]
+    assert got == [i for i, _ in farthest_first(vec, set(range(200)), 4)]
