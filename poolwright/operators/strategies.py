@@ -93,12 +93,13 @@ def kmeans_sampling(
     return near.select("near.id", "near.score").orderBy("score", "id")
 
 
-def feature_kmeans_sampling(features: DataFrame, n: int, rounds: int = 10, seed: int = 3) -> DataFrame:
-    """For each of n centres of a feature table the nearest row of all; rows found twice count once.
+def feature_kmeans_sampling(features: DataFrame, n: int, rounds: int = 10, seed: int = 3, tries: int = 1) -> DataFrame:
+    """For each of n centres of a feature table the nearest row of all; rows found twice count once. Of several tries,
+    each from its own seeded start, the centres of least potential are taken.
 
     Feature tables hold only rows still to be chosen: evict the chosen ones with :func:`pool.evict`.
     """
-    centroids = clustering.kmeans(features, n, rounds, seed)
+    centroids = clustering.kmeans(features, n, rounds, seed, tries=tries)
     return clustering.nearest_rows(features, centroids)
 
 

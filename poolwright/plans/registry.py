@@ -24,7 +24,9 @@ for _name in s.SCORES:
         pool, labels, n, scorer, _n, seed=seed
     )
 for _kind in ("SSRAE", "VCTex"):
-    STRATEGIES[f"{_kind}KmeansSampling"] = lambda pool, labels, n, scorer, features, seed: s.feature_kmeans_sampling(features, n, seed=seed)
+    STRATEGIES[f"{_kind}KmeansSampling"] = lambda pool, labels, n, scorer, features, seed: s.feature_kmeans_sampling(
+        features, n, seed=seed, tries=10
+    )
     STRATEGIES[f"{_kind}KmeansHCSampling"] = lambda pool, labels, n, scorer, features, seed: s.hierarchical_sampling(features, n, seed=seed)
 
 SCORERS: dict[str, Callable[[], Scorer]] = {"prototype": PrototypeScorer, "logistic": MLScorer}

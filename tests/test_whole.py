@@ -7,6 +7,7 @@ import pytest
 
 from poolwright.functions import kernels
 from poolwright.operators import clustering, strategies
+from poolwright.plans import registry
 from poolwright.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -88,3 +89,17 @@ def test_kcenter_refuses_no_number_of_labels(spark, monkeypatch):
     labels = rows.where("id < 200").selectExpr("id", "0 AS round")
     got = [r["id"] for r in strategies.kcenter_greedy(rows, labels, 4).collect()]
     assert got == [i for i, _ in farthest_first(vec, set(range(200)), 4)]
+
+
+@pytest.mark.parametrize("name", ["SSRAEKmeansSampling", "VCTexKmeansSampling"])
+def test_best_of_ten_starts(spark, monkeypatch, name):
+    asked = []
+
+    def kmeans(rows, k, rounds, seed, tries=1):
+        asked.append(tries)
+        return np.array([[0.0], [9.0]])
+
+    monkeypatch.setattr(clustering, "kmeans", kmeans)
+    rows = spark.createDataFrame([(i, [float(i)]) for i in range(10)], "id long, vec array<double>")
+    got = registry.strategy(name)(None, None, 2, None, rows, 1).collect()
+    assert asked == [10] and sorted(r["id"] for r in got) == [0, 9]
