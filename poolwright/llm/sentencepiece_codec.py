@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from array import array
 from collections.abc import Callable, Iterator
@@ -15,10 +16,12 @@ from pyspark.sql import functions as F
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 #: A model goes to every task; larger files are refused.
 MAX_MODEL_BYTES = 64 << 20
-#: Remembered words and piece pairs, per Python worker.
-MAX_WORDS, MAX_PAIRS = 400_000, 500_000
-#: Longer chunks are fed to the search piecewise and not remembered.
-CHUNK_CHARS = 48
+#: Remembered words (twice as many at most) and piece pairs, per Python worker.
+MAX_WORDS, MAX_PAIRS = 500_000, 1_000_000
+#: Longer chunks are searched like any other and not remembered.
+REMEMBERED_CHARS = 48
+#: Characters that the search is fed at a time.
+FED_CHARS = 4096
 BATCH_BYTES = 8 << 20
 
 SPACE = "▁"
@@ -33,6 +36,7 @@ class PieceModel:
 
         if len(data) > MAX_MODEL_BYTES:
             raise ValueError(f"the model has {len(data)} bytes; at most {MAX_MODEL_BYTES} are allowed")
+        self.digest = hashlib.sha256(data).hexdigest()
         proto = pb.ModelProto()
         proto.ParseFromString(data)
         if proto.normalizer_spec.name != "identity" or proto.normalizer_spec.remove_extra_whitespaces:
@@ -68,6 +72,29 @@ class PieceModel:
             return cls(f.read(MAX_MODEL_BYTES + 1))
 
 
+class _Words(dict):
+    """The ids of words, searched for when first asked for. When full, words not asked for since it was last full go.
+
+    Long words are not remembered.
+    """
+
+    def __init__(self, search: Callable[[str], bytes]):
+        self.search = search
+        self.before: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.before.get(word)
+        if ids is None:
+            ids = self.search(word)
+            if len(word) > REMEMBERED_CHARS:
+                return ids
+        if len(self) >= MAX_WORDS:
+            self.before = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+
 class SentencePieceCodec:
     """Encodes and decodes with one model."""
 
@@ -75,22 +102,22 @@ class SentencePieceCodec:
         self.model = model
         self.longest = max(map(len, model.ids), default=1)
         in_pieces = set("".join(model.ids))
-        self.no_piece = lambda char: char not in in_pieces
         # No piece has a space mark after another character, and none a line break: the search can start anew there.
         crossing = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in model.ids)
         breaks = "" if "\n" in in_pieces else "\n"
         pattern = f"{SPACE}*[^{SPACE}{breaks}]+|{SPACE}+" + "|\n" * bool(breaks)
         self.chunks = None if crossing else re.compile(pattern)
-        self.words: dict[str, bytes] = {}
+        self.words = _Words(self._packed)
         self.pairs: dict[int, bool] = {}
         self.pieces = {i: p for p, i in model.ids.items()}
-        self.lengths = {i: len(p) for i, p in self.pieces.items()}
-        self.tree: dict = {}
+        self.lengths = [len(self.pieces.get(i, "")) for i in range(len(model.scores))]
+        #: character: the tree of how longer pieces go on, and the piece that ends here
+        self.tree: dict[str, tuple[dict, int]] = {}
         for p, i in model.ids.items():
             node = self.tree
-            for char in p:
-                node = node.setdefault(char, {})
-            node[""] = i
+            for char in p[:-1]:
+                node = node.setdefault(char, ({}, _UNKNOWN))[0]
+            node[p[-1]] = node.get(p[-1], ({}, _UNKNOWN))[0], i
         self.score_of = {p: model.scores[i] for p, i in model.ids.items()}
         self.unk_score = min(model.scores, default=0.0) - 10.0
 
@@ -115,54 +142,22 @@ class SentencePieceCodec:
     def search(self) -> StreamingViterbi:
         return StreamingViterbi(self)
 
-    def _ids_of(self, pieces: list[str]) -> list[int]:
-        ids, out = self.model.ids, []
+    def ids_of(self, pieces: list[int]) -> list[int]:
+        """Ids of what a search hands out: characters that no piece has become their bytes."""
+        if not pieces or min(pieces) >= 0:
+            return pieces
+        out, of_byte = [], self.model.byte_ids
         for p in pieces:
-            i = ids.get(p, _UNKNOWN)
-            if i != _UNKNOWN:
-                out.append(i)
-            elif self.model.byte_ids:
-                out += [self.model.byte_ids[b] for b in p.encode()]
+            if p >= 0:
+                out.append(p)
+            elif of_byte:
+                out += [of_byte[b] for b in chr(~p).encode()]
             else:
                 out.append(self.model.unk_id)
         return out
 
-    def _window(self, chunk: str) -> list[int]:
-        """The ids of a chunk of a BPE model that one window holds: the survivors of :class:`StreamingViterbi`.
-
-        Pieces are found from their first character on by the tree of all pieces, and pairs looked up by number.
-        """
-        pairs, many = self.pairs, len(self.model.scores) + 1
-        last: list[int | None] = [None] * (len(chunk) + 1)
-        before = -1
-        for start in range(len(chunk)):
-            row = (before + 1) * many
-            node, end = self.tree, start
-            for char in chunk[start:]:
-                node = node.get(char)
-                if node is None:
-                    break
-                end += 1
-                piece = node.get("")
-                if piece is not None and last[end] is None:
-                    known = pairs.get(row + piece)
-                    if known is None:
-                        known = self._follows(before, piece)
-                    if known:
-                        last[end] = piece
-            before = last[start + 1]
-            if before is None:  # a character that is no piece: nothing merges with it
-                before = -1
-        ids, at, lengths = [], len(chunk), self.lengths
-        while at:
-            piece = last[at]
-            if piece is None:
-                ids += self._ids_of(chunk[at - 1])[::-1]
-                at -= 1
-            else:
-                ids.append(piece)
-                at -= lengths[piece]
-        return ids[::-1]
+    def text_of(self, piece: int) -> str:
+        return self.pieces[piece] if piece >= 0 else chr(~piece)
 
     def _follows(self, before: int, piece: int) -> bool:
         pieces = self.pieces
@@ -173,32 +168,18 @@ class SentencePieceCodec:
         return known
 
     def _packed(self, chunk: str) -> bytes:
-        if len(chunk) <= CHUNK_CHARS and not self.model.unigram:
-            return array("i", self._window(chunk)).tobytes()
-        search = self.search()
-        out = []
-        for i in range(0, len(chunk), 4096):
-            out.append(np.array(self._ids_of(search.feed(chunk[i : i + 4096])), dtype=np.int32).tobytes())
-        out.append(np.array(self._ids_of(search.finish()), dtype=np.int32).tobytes())
-        return b"".join(out)
+        search, ids = self.search(), array("i")
+        for i in range(0, len(chunk), FED_CHARS):
+            ids.extend(self.ids_of(search.take(chunk[i : i + FED_CHARS])))
+        ids.extend(self.ids_of(search.rest()))
+        return ids.tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, dtype=np.int32)
         marked = self.model.prefix + text.replace(" ", SPACE)
-        if self.chunks is None:
-            return np.frombuffer(self._packed(marked), dtype=np.int32)
-        words, out = self.words, []
-        for chunk in self.chunks.findall(marked):
-            packed = words.get(chunk)
-            if packed is None:
-                packed = self._packed(chunk)
-                if len(chunk) <= CHUNK_CHARS:
-                    if len(words) >= MAX_WORDS:
-                        words.clear()
-                    words[chunk] = packed
-            out.append(packed)
-        return np.frombuffer(b"".join(out), dtype=np.int32)
+        chunks = [marked] if self.chunks is None else self.chunks.findall(marked)
+        return np.frombuffer(b"".join(map(self.words.__getitem__, chunks)), dtype=np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         data = b"".join(map(self.model.bytes_of.__getitem__, ids.tolist()))
@@ -214,96 +195,137 @@ class StreamingViterbi:
     a cut is what merging gives just if every two neighbours in it are, so a piece ends a cut if it ends one up to its
     start and may follow that one's last piece.
 
-    Only the last ``longest`` boundaries can begin a new piece. Walking back from these, all surviving paths meet on
-    one boundary sooner or later; pieces before it are final and handed out, and what lies before it is forgotten. Of
-    the text itself only ``longest`` characters are kept.
+    ``window`` has the boundaries that a piece may still begin at, the oldest first: the last one, and those from which
+    on the text so far is the beginning of a longer piece. None lies further back than the longest piece. After each
+    character the paths that lead to them are followed back; where all of them meet, the pieces before are final, handed
+    out and forgotten. Nothing of the text itself is kept.
     """
 
     def __init__(self, codec: SentencePieceCodec):
         self.codec = codec
-        self.tail = ""  # the last characters, up to the longest piece
-        self.done = 0  # boundary up to which pieces have been handed out
-        self.at = 0
-        self.last = {0: ""}  # boundary: the last piece of its survivor
-        self.score = {0: 0.0}
-        self.checked = 0
+        self.at = self.done = 0  # boundaries up to which the text was taken in, and pieces handed out
+        self.base = 0  # the boundary that ``last`` begins with
+        self.last = [0]  # the last piece of each boundary's survivor; ~ the character's number if no piece has it
+        #: (boundary, tree of how pieces go on after the text since, what the boundary's survivor says)
+        self.window: list[tuple[int, dict, float]] = [(0, codec.tree, 0)]
+        self.commits = 0  # how often pieces became final before the end
 
     def feed(self, text: str) -> list[str]:
         """Take in more text; return the pieces that have become final."""
-        out: list[str] = []
-        codec, longest = self.codec, self.codec.longest
-        ids, unigram = codec.model.ids, codec.model.unigram
-        last, score = self.last, self.score
+        return [self.codec.text_of(p) for p in self.take(text)]
+
+    def finish(self) -> list[str]:
+        """The rest, when no more text comes."""
+        return [self.codec.text_of(p) for p in self.rest()]
+
+    def take(self, text: str) -> list[int]:
+        """As :meth:`feed`, with pieces by number."""
+        return self._best_scored(text) if self.codec.model.unigram else self._merged(text)
+
+    def rest(self) -> list[int]:
+        return self._hand_out(self.at)
+
+    def _merged(self, text: str) -> list[int]:
+        """For a BPE model. What a boundary's survivor says is its last piece, as a row of pairs."""
+        codec, out, window, at = self.codec, [], self.window, self.at
+        last, tree, pairs, many = self.last, codec.tree, codec.pairs, len(codec.model.scores) + 1
         for char in text:
-            tail = self.tail = (self.tail + char)[-longest:]
-            end = self.at = self.at + 1
-            if codec.no_piece(char):
-                last[end] = char
-                score[end] = score.get(end - 1, 0.0) + codec.unk_score
-            elif unigram:
-                best = None
-                for n in range(1, len(tail) + 1):
-                    piece = tail[-n:]
-                    i = ids.get(piece)
-                    cost = codec.unk_score if i is None and n == 1 else None if i is None else codec.model.scores[i]
-                    if cost is None or end - n not in last:
-                        continue
-                    total = score[end - n] + cost
-                    if best is None or total >= best:  # of equal ones the longest
-                        best, last[end] = total, piece
-                score[end] = best
+            found, longer = _UNKNOWN, []
+            for start, node, row in window:
+                step = node.get(char)
+                if step is not None:
+                    node, piece = step
+                    if node:
+                        longer.append((start, node, row))
+                    if piece >= 0 > found:
+                        known = pairs.get(row + piece)
+                        if known is None:
+                            known = codec._follows(row // many - 1, piece)
+                        if known:
+                            found = piece
+            at += 1
+            if found >= 0:
+                last.append(found)
+                longer.append((at, tree, (found + 1) * many))
             else:
-                for n in range(len(tail), 0, -1):
-                    piece = tail[-n:]
-                    if (piece in ids or n == 1) and end - n in last and self._may_follow(self._known(end - n), piece):
-                        last[end] = piece
-                        break
-            if end - self.checked >= 4 * longest:
+                last.append(~ord(char))
+                longer.append((at, tree, 0))
+            window = longer
+            if window[0][0] > self.done:  # else all paths meet where pieces were handed out up to
+                self.window, self.at = window, at
                 out += self._settle()
+        self.window, self.at = window, at
         return out
 
-    def _may_follow(self, before: str, piece: str) -> bool:
-        codec, ids = self.codec, self.codec.model.ids
-        if piece not in ids:
-            return codec.follows(before, piece)
-        one = ids.get(before, -1) if before else -1
-        known = codec.pairs.get((one + 1) * (len(codec.model.scores) + 1) + ids[piece])
-        return codec._follows(one, ids[piece]) if known is None else known
-
-    def _known(self, boundary: int) -> str:
-        piece = self.last[boundary]
-        return "" if len(piece) == 1 and self.codec.no_piece(piece) else piece
+    def _best_scored(self, text: str) -> list[int]:
+        """For a unigram model. What a boundary's survivor says is its total score. Of equal paths the longest piece wins."""
+        codec, out = self.codec, []
+        scores = codec.model.scores
+        for char in text:
+            best, longer, alone = None, [], codec.tree.get(char, ({}, _UNKNOWN))[1] < 0
+            for start, node, total in self.window:
+                node, piece = node.get(char, ({}, _UNKNOWN))
+                if node:
+                    longer.append((start, node, total))
+                if piece >= 0 and (best is None or total + scores[piece] > best[0]):
+                    best = total + scores[piece], piece
+                if alone and start == self.at and (best is None or total + codec.unk_score > best[0]):
+                    best = total + codec.unk_score, ~ord(char)
+            self.at += 1
+            self.last.append(best[1])
+            longer.append((self.at, codec.tree, best[0]))
+            self.window = longer
+            if longer[0][0] > self.done:
+                out += self._settle()
+        return out
 
-    def _settle(self) -> list[str]:
+    def _settle(self) -> list[int]:
         """Hand out what all survivors share."""
-        self.checked = self.at
-        live = set(range(max(self.done, self.at - self.codec.longest + 1), self.at + 1)) & self.last.keys()
-        while len(live) > 1:
-            far = max(live)
-            live.remove(far)
-            live.add(far - len(self.last[far]))
-        return self._hand_out(live.pop())
-
-    def _hand_out(self, boundary: int) -> list[str]:
-        pieces, at = [], boundary
+        live = [start for start, _, _ in self.window]
+        if len(live) > 1:
+            last, base, lengths = self.last, self.base, self.codec.lengths
+            while len(live) > 1:
+                far = live.pop()
+                piece = last[far - base]
+                back = far - (lengths[piece] if piece >= 0 else 1)
+                at = len(live)
+                while at and live[at - 1] > back:
+                    at -= 1
+                if not at or live[at - 1] != back:
+                    live.insert(at, back)
+        if live[0] == self.done:
+            return []
+        self.commits += 1
+        return self._hand_out(live[0])
+
+    def _hand_out(self, boundary: int) -> list[int]:
+        pieces, at, last, base, lengths = [], boundary, self.last, self.base, self.codec.lengths
         while at > self.done:
-            pieces.append(self.last[at])
-            at -= len(pieces[-1])
-        if boundary > self.done:
-            self.done = boundary
-            for table in (self.last, self.score):
-                for b in [b for b in table if b < boundary]:
-                    del table[b]
-        return pieces[::-1]
+            piece = last[at - base]
+            pieces.append(piece)
+            at -= lengths[piece] if piece >= 0 else 1
+        self.done = boundary
+        if boundary - base > 4 * self.codec.longest:
+            del last[: boundary - base]
+            self.base = boundary
+        pieces.reverse()
+        return pieces
 
-    def finish(self) -> list[str]:
-        """The rest, when no more text comes."""
-        return self._hand_out(self.at)
+
+#: Of each model the codec, with the words and pairs it knows, for the tasks that a Python worker runs one after another.
+_CODECS: dict[str, SentencePieceCodec] = {}
+
+
+def _codec_of(model: PieceModel) -> SentencePieceCodec:
+    if model.digest not in _CODECS:
+        _CODECS.clear()
+        _CODECS[model.digest] = SentencePieceCodec(model)
+    return _CODECS[model.digest]
 
 
 def _encoder(model: PieceModel) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = SentencePieceCodec(model)
+        codec = _codec_of(model)
         for batch in batches:
             start, size, ids, whole = 0, 0, [], []
             for i in range(batch.num_rows):
@@ -356,7 +378,7 @@ def decode_documents(encoded: DataFrame, ids_col: str = "ids", model_file: str =
 
     @F.pandas_udf("string")
     def decoded(column):  # noqa: ANN001, ANN202
-        codec = SentencePieceCodec(model)
+        codec = _codec_of(model)
         return column.map(lambda x: "" if x is None else codec.decode(np.asarray(x, dtype=np.int64)))
 
     return encoded.withColumn("text", decoded(F.col(ids_col)))

@@ -113,6 +113,36 @@ def test_streaming_forgets_and_agrees():
     assert pieces == codec.merged(text)
 
 
+@needs_model
+def test_prose_is_committed_while_it_streams():
+    codec = sentencepiece_codec.SentencePieceCodec(sentencepiece_codec.PieceModel.load(sentencepiece_codec.MODEL_FILE))
+    text = "the people of the town were not at all surprised, said the old man, by what they found there. " * 200
+    marked = sentencepiece_codec.SPACE + text.replace(" ", sentencepiece_codec.SPACE)
+    search, pieces, held = codec.search(), [], 0
+    for at, char in enumerate(marked, 1):
+        pieces += search.feed(char)
+        assert len(search.window) <= codec.longest
+        assert all(at - codec.longest < start <= at for start, _, _ in search.window)
+        held = max(held, search.at - search.done)
+    assert search.commits > len(marked) / 10 and held <= 2 * codec.longest
+    pieces += search.finish()
+    assert codec.ids_of([codec.model.ids[p] for p in pieces]) == codec.encode(text).tolist()
+
+
+@needs_model
+def test_every_word_goes_through_the_streaming_search(monkeypatch):
+    codec = sentencepiece_codec.SentencePieceCodec(sentencepiece_codec.PieceModel.load(sentencepiece_codec.MODEL_FILE))
+    seen, search = [], codec.search
+    monkeypatch.setattr(codec, "search", lambda: seen.append(search()) or seen[-1])
+    monkeypatch.setattr(sentencepiece_codec, "MAX_WORDS", 3)
+    words = [f"word{i}" for i in range(10)] + ["x" * 200]
+    codec.encode(" ".join(words))
+    assert sum(s.at for s in seen) == sum(map(len, words)) + len(words)
+    assert len(codec.words) <= 3 and len(codec.words.before) <= 3
+    codec.encode("word9")
+    assert len(seen) == len(words)
+
+
 def test_unigram_is_the_best_cut():
     class Toy:
         unigram, prefix, byte_ids, unk_id = True, "", {}, 0
