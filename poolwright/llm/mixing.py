@@ -16,8 +16,12 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MAX_EPOCHS = 2
 SEED = 17
-#: Budget, in words, that the dynamic programme may be left with: a bound on its memory and time.
-DP_CAPACITY = 1 << 16
+#: Budget that the dynamic programme takes over at most, in lengths of the longest document: a bound on its memory.
+DP_LENGTHS = 8
+#: Rows of a plan, one for each source and length, up to which it is broadcast; larger ones are shuffled.
+BROADCAST_ROWS = 50_000
+#: Parts that a source's documents of one length are dealt to where the plan is shuffled.
+SALTS = 16
 #: Documents of one source and length that are ranked together.
 RANKED_TOGETHER = 4096
 
@@ -58,13 +62,18 @@ def source_targets(
     )
 
 
-def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, capacity: int = DP_CAPACITY) -> np.ndarray:
+def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, capacity: int | None = None) -> np.ndarray:
     """How many documents of each length to take so that their words come as near to ``budget`` from below as found.
 
     ``lengths`` are distinct and positive, ``counts`` bound the answer. A proportional share of every length comes
-    first, then single documents from the longest down while they fit, until what remains is within ``capacity``. The
-    remaining budget is a bounded subset sum: dynamic programming over attainable sums, each length's remaining
-    count split into powers of two. It ends as soon as the budget itself is attained.
+    first. What remains of the budget is a bounded subset sum over the remaining counts, solved exactly: dynamic
+    programming over attainable sums, each length's remaining count split into powers of two. It ends as soon as the
+    budget itself is attained.
+
+    The programme takes over at most ``capacity`` words, by default ``DP_LENGTHS`` times the longest length and never
+    less than that length: five bytes a word. Where more remains, which takes more than ``DP_LENGTHS`` documents, single
+    documents evenly spread over the lengths come before it, until half of the capacity remains. So at least as many
+    words are still free to choose from, of all lengths.
     """
     take = np.zeros(len(lengths), dtype=np.int64)
     total = int((lengths * counts).sum())
@@ -75,26 +84,30 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, capacity: i
     # integer arithmetic: counts * budget may pass 2**63
     take[:] = [int(c) * budget // total for c in counts]
     left = budget - int((lengths * take).sum())
+    longest = int(lengths.max())
+    capacity = max(longest, DP_LENGTHS * longest if capacity is None else capacity)
     order = np.argsort(-lengths, kind="stable")
     while left > capacity:
-        before = left
-        for i in order:
-            if left <= capacity:
-                break
-            if lengths[i] <= left and take[i] < counts[i]:
-                take[i] += 1
-                left -= int(lengths[i])
-        if left == before:
-            break
-    left_dp = min(left, capacity)
-    came = np.full(left_dp + 1, -1, dtype=np.int64)
-    reached = np.zeros(left_dp + 1, dtype=bool)
+        # one document of each length that has some left, or of as many as make up the share of their words that is wanted
+        single = order[take[order] < counts[order]]
+        of_all, wanted = int(lengths[single].sum()), left - capacity // 2
+        chosen, passed, taken = [], 0, 0
+        for i in single.tolist():
+            length = int(lengths[i])
+            passed += length
+            if of_all <= wanted or (2 * taken + length) * of_all <= 2 * passed * wanted:
+                chosen.append(i)
+                taken += length
+        take[chosen] += 1
+        left -= taken
+    came = np.full(left + 1, -1, dtype=np.int32)
+    reached = np.zeros(left + 1, dtype=bool)
     reached[0] = True
     parts: list[tuple[int, int]] = []
     for i in order:
         spare, unit = int(counts[i] - take[i]), int(lengths[i])
-        spare, many = min(spare, left_dp // unit), 1
-        while spare > 0 and not reached[left_dp]:
+        spare, many = min(spare, left // unit), 1
+        while spare > 0 and not reached[left]:
             some = min(many, spare)
             step = some * unit
             new = reached.copy()
@@ -103,7 +116,7 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, capacity: i
             came[fresh] = len(parts)
             parts.append((int(i), some))
             reached, spare, many = new, spare - some, many * 2
-        if reached[left_dp]:
+        if reached[left]:
             break
     at = int(np.flatnonzero(reached)[-1])
     while at:
@@ -131,7 +144,8 @@ def mix_sources(
     ``max_epochs`` times; taken / size says how often.
 
     Only (id, source, size) leaves the first scan. Counts by source and length are aggregated before they are
-    shuffled, and a source's fit sees at most one row per distinct length. A source and length with many documents is
+    shuffled, and a source's fit sees at most one row per distinct length. The plan goes to all tasks only after its
+    rows were counted (``BROADCAST_ROWS``); a longer one is joined by shuffles, each length dealt to ``SALTS`` parts. A source and length with many documents is
     cut into ranges of the hash, so no ranking sees more than about ``RANKED_TOGETHER`` documents.
 
     Null text has size 0 and taken 0. Null sources are one source, the last. Rows that repeat an id count as separate
@@ -168,10 +182,18 @@ def mix_sources(
         ),
         "mix-plan",
     )
+    # the plan, one row per source and length, is broadcast only while it is short; else hot lengths are dealt to parts
+    on, left, right = ["source_key", "size"], sizes, plan
+    if plan.count() <= BROADCAST_ROWS:
+        right = F.broadcast(plan)
+    else:
+        left = sizes.withColumn("part", F.pmod("rank_hash", F.lit(SALTS)).cast("int"))
+        right = plan.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
+        on = [*on, "part"]
     ranges = F.ceil(F.col("n") / F.lit(RANKED_TOGETHER))
     # the hash as a share of its whole range, so ranges follow the hash's order
     place = F.col("rank_hash").cast("double") / F.lit(2.0**64) + F.lit(0.5)
-    placed = sizes.join(plan, ["source_key", "size"]).withColumn(
+    placed = left.join(right, on).withColumn(
         "range", F.least(F.floor(place * ranges), ranges - 1).cast("long")
     )
     key = ["source_key", "size", "range"]
@@ -183,7 +205,7 @@ def mix_sources(
     )
     quota = per_range.select(*key, F.greatest(F.col("extra") - before, F.lit(0)).alias("quota"))
     ranked = placed.where(partly).withColumn("nth", F.row_number().over(W.partitionBy(*key).orderBy("rank_hash", "id")))
-    chosen = ranked.join(quota, key).withColumn("once_more", (F.col("nth") <= F.col("quota")).cast("long"))
+    chosen = ranked.join(quota.hint("merge"), key).withColumn("once_more", (F.col("nth") <= F.col("quota")).cast("long"))
     whole = placed.where(~partly).withColumn("once_more", (F.col("extra") > 0).cast("long"))
     columns = ["id", "size", "source_size", "target", "passes", "once_more"]
     return (

@@ -131,6 +131,44 @@ def test_fit_budget_is_exact_where_it_can_be():
     assert mixing.fit_budget(np.array([3]), np.array([10**6]), 10**6, capacity=10).sum() == 333333
 
 
+def test_fit_budget_of_long_documents():
+    rng = np.random.default_rng(6)
+    assert (mixing.fit_budget(np.array([90000, 80000, 70000]), np.ones(3, int), 150000) == [0, 1, 1]).all()
+    assert (mixing.fit_budget(np.array([60000, 50001, 49999]), np.ones(3, int), 100000) == [0, 1, 1]).all()
+    for _ in range(40):
+        lengths = np.unique(rng.integers(60_000, 300_000, int(rng.integers(2, 12))))
+        budget = int(rng.integers(1, lengths.sum()))
+        sums = {0}
+        for length in lengths:
+            sums |= {s + int(length) for s in sums}
+        take = mixing.fit_budget(lengths, np.ones(len(lengths), int), budget)
+        got = int((lengths * take).sum())
+        assert ((0 <= take) & (take <= 1)).all() and got <= budget
+        if budget <= mixing.DP_LENGTHS * lengths.max():
+            assert got == max(s for s in sums if s <= budget)
+
+
+@pytest.mark.parametrize("capacity", [None, 1])
+def test_fit_budget_of_many_lengths(capacity):
+    rng = np.random.default_rng(7)
+    for n, longest, most in ((400, 5000, 1), (900, 2000, 3), (50, 60, 200)):
+        lengths = rng.choice(np.arange(1, longest), n, replace=False)
+        counts = rng.integers(1, most + 1, n)
+        for share in (0.001, 0.2, 0.5, 0.9):
+            budget = int((lengths * counts).sum() * share)
+            take = mixing.fit_budget(lengths, counts, budget, capacity)
+            assert ((0 <= take) & (take <= counts)).all()
+            assert 0 <= budget - (lengths * take).sum() <= (0 if capacity is None else lengths.min() + 1)
+
+
+def test_long_plans_are_shuffled(spark, docs, monkeypatch):
+    want = Counter(map(tuple, mixing.mix_sources(docs).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+    out = mixing.mix_sources(docs)
+    assert "Broadcast" not in out._jdf.queryExecution().optimizedPlan().toString().replace("BroadcastHint", "")
+    assert Counter(map(tuple, out.collect())) == want
+
+
 def test_mixing(spark, empty):
     rng = np.random.default_rng(2)
     rows = [(i, " ".join("w" * int(rng.integers(1, 40))), [None, "a", "b", "é", "B"][int(rng.integers(5)) if i % 3 else 1]) for i in range(400)]
