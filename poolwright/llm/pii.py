@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import materialize
+from .runtime import WHITE, materialize
 
 #: What the base kinds look like, in the order in which spans of one start are listed. Possessive and anchored forms of
 #: the stated patterns: they match the same, in time linear in the text.
@@ -21,29 +21,44 @@ KINDS = (*BASE, FOUND)
 CANDIDATE = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 
-#: Characters before and after a match that its context is looked for in.
-CONTEXT_CHARS = 48
+#: Strings that count as seeds by their form: 128, 160 or 256 bits in hexadecimal digits, as keys and tokens are written.
+#: They are found only if their contexts say so, like any other candidate.
+SEED_FORM = r"^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$"
+#: Words that a pattern has at most.
+PATTERN_WORDS = 3
 ROUNDS = 3
-#: Distinct seed entities that a pattern needs, and confidence from which an identifier is taken.
+#: Different entities that a pattern needs, confidence below which it says nothing, and confidence from which an
+#: identifier is taken.
 MIN_SEEDS = 3
+MIN_WEIGHT = 0.1
 CONFIDENT = 0.7
+#: Patterns up to which their keys, of 8 bytes, are broadcast to the scan that counts them.
+BROADCAST_PATTERNS = 1 << 20
+#: Parts that the edges of one pattern, or the places of one string, are dealt to before a join.
+SALTS = 8
 #: Letters and digits that an identifier has at least.
 MIN_IDENTIFIER_CHARS = 6
 
 
+def _split(text: Column) -> Column:
+    return F.split(text, WHITE, -1)
+
+
 def _matches(text: Column, kind: str, pattern: str, guard: Column) -> Column:
     """All leftmost matches of a pattern, in order: (kind, nth, gap, match, left, right).
 
     The text between matches comes from splitting by the same pattern, so gaps and matches together are the text.
-    ``left`` and ``right`` are the words before and after a match.
+    ``left`` and ``right`` are the words before and after the match's own, up to ``PATTERN_WORDS``, the nearest first.
     """
     number = F.lit(KINDS.index(kind))
+    # what touches the match belongs to its own word
+    said = lambda x: F.filter(x, lambda w: w != "")
     ends = F.transform(
         F.split(text, pattern, -1),
         lambda p: F.struct(
             F.length(p).alias("n"),
-            F.regexp_extract(F.right(p, F.lit(CONTEXT_CHARS)), r"(\S+)\s*$", 1).alias("last"),
-            F.regexp_extract(F.left(p, F.lit(CONTEXT_CHARS)), r"^\s*(\S+)", 1).alias("first"),
+            F.slice(F.reverse(said(F.slice(_split(p), 1, F.size(_split(p)) - 1))), 1, PATTERN_WORDS).alias("last"),
+            F.slice(said(F.slice(_split(p), 2, F.size(_split(p)))), 1, PATTERN_WORDS).alias("first"),
         ),
     )
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -60,7 +75,7 @@ def _matches(text: Column, kind: str, pattern: str, guard: Column) -> Column:
         ),
     )
     rows = F.filter(rows, lambda x: x["match"].isNotNull())  # one gap more than matches
-    empty = "array<struct<kind:int,nth:int,gap:int,match:string,left:string,right:string>>"
+    empty = "array<struct<kind:int,nth:int,gap:int,match:string,left:array<string>,right:array<string>>>"
     return F.when(guard, rows).otherwise(F.array()).cast(empty)
 
 
@@ -111,35 +126,116 @@ def _trimmed(spans: DataFrame) -> DataFrame:
     )
 
 
-def _patterns(spans: DataFrame) -> DataFrame:
-    """Distinct edges (pattern, instance) of the pattern-instance graph. A pattern is the word on one side."""
-    side = lambda mark, c: F.when(
-        F.col(c) != "", F.concat(F.lit(mark), F.lower(F.regexp_replace(c, "[0-9]", "0")))
+def _normal(text: Column) -> Column:
+    """What patterns are made of: lower case, digits alike."""
+    return F.translate(F.lower(text), "123456789", "000000000")
+
+
+def _keys(mark: str, near: list[Column]) -> list[Column]:
+    """The keys of the patterns of one side: of the nearest word, the two nearest and so on. Null where words are missing.
+
+    Words come as their hashes, the nearest first.
+    """
+    return [F.when(near[n].isNotNull(), F.xxhash64(F.lit(mark), *near[: n + 1])) for n in range(PATTERN_WORDS)]
+
+
+def _edges(spans: DataFrame) -> DataFrame:
+    """(pattern, left, instance, seed, n): the edges of the pattern-instance graph, and how often each occurs."""
+    instance = F.lower("match")
+    seed = (F.col("kind") < KINDS.index(FOUND)) | instance.rlike(SEED_FORM)
+
+    def side(mark: str, words: str) -> Column:
+        near = [F.get(F.transform(words, lambda w: F.xxhash64(_normal(w))), F.lit(i)) for i in range(PATTERN_WORDS)]
+        return F.struct(F.lit(mark == "L").alias("left"), F.array_compact(F.array(*_keys(mark, near))).alias("keys"))
+
+    by_side = F.array(side("L", "left"), side("R", "right"))
+    return (
+        spans.select(F.explode(by_side).alias("side"), instance.alias("instance"), seed.alias("seed"))
+        .select(F.explode("side.keys").alias("pattern"), "side.left", "instance", "seed")
+        .groupBy("pattern", "left", "instance", "seed")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    both = F.array_compact(F.array(side("L ", "left"), side("R ", "right")))
-    return spans.select(F.explode(both).alias("pattern"), F.lower("match").alias("instance")).distinct()
 
 
-def discover(spans: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def _totals(texts: DataFrame, patterns: DataFrame, broadcast: bool) -> DataFrame:
+    """(pattern, total): how many words of all texts stand in a pattern's context.
+
+    The patterns go to the tasks if they are few; otherwise the contexts of all words are counted, each once, and joined.
+    Either way what is shuffled was aggregated before, so a frequent context is a row a task.
+    """
+    hashes = F.transform(
+        F.array_remove(F.split(_normal(F.coalesce("text", F.lit(""))), WHITE), ""), lambda w: F.xxhash64(w)
+    )
+
+    def around(word: Column, i: Column) -> Column:
+        left = [F.get("hashes", i - n) for n in range(1, PATTERN_WORDS + 1)]
+        right = [F.get("hashes", i + n) for n in range(1, PATTERN_WORDS + 1)]
+        return F.array(*_keys("L", left), *_keys("R", right))
+
+    keys = texts.select(hashes.alias("hashes")).select(F.flatten(F.transform("hashes", around)).alias("keys"))
+    # an outer explode, as a plain one makes the optimiser filter by the array's size, below both projections
+    keys = keys.select(F.explode_outer("keys").alias("pattern")).where(F.col("pattern").isNotNull())
+    if broadcast:
+        keys = keys.join(F.broadcast(patterns.select("pattern")), "pattern", "left_semi")
+    counted = keys.groupBy("pattern").agg(F.count(F.lit(1)).alias("total"))
+    return counted if broadcast else counted.join(patterns.select("pattern").hint("merge"), "pattern", "left_semi")
+
+
+def _dealt(many: DataFrame, few: DataFrame, on: str, by: Column, how: str = "inner") -> DataFrame:
+    """A join in which the rows of one key of the first table are dealt to ``SALTS`` parts. The second is unique by key."""
+    parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    many = many.withColumn("part", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    return many.join(few.withColumn("part", parts), [on, "part"], how).drop("part")
+
+
+def discover(spans: DataFrame, texts: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(instance) of the candidates whose contexts say that they are identifiers.
 
-    Base entities are the seeds, with confidence 1. In every round a pattern's confidence is the sum of its instances'
-    confidences over their number plus one, nothing if fewer than ``MIN_SEEDS`` different seeds show it, and a
-    candidate's is the mean of its patterns'. Seeds are counted once per pattern; only candidates change. A pattern
-    shared by very many instances is aggregated before the shuffle.
+    ``spans`` has base entities and candidates with the words around them, ``texts`` all texts in a column text. A
+    pattern is the one to ``PATTERN_WORDS`` words on one side. Base entities and candidates of the form ``SEED_FORM`` are
+    the seeds, with confidence 1. In every round
+
+    - a pattern's weight is the sum of its entities' confidences, each as often as it occurs there, over the number of
+      all words that occur there plus one; none if fewer than ``MIN_SEEDS`` different entities that are seeds or
+      ``CONFIDENT`` show it, or if it is below ``MIN_WEIGHT``;
+    - a candidate's confidence is that of its best patterns on either side together: 1 - (1 - left) (1 - right).
+
+    So what is found supports the other contexts that it is found in, and these find more. Words that precede anything
+    say little, as their weight is measured against all that they precede.
+
+    Edges are aggregated to distinct ones; patterns that can't reach ``MIN_WEIGHT`` go before the rounds. Joins deal
+    the edges of a frequent pattern, or of a frequent string, to several parts.
     """
-    seed = F.col("kind") < KINDS.index(FOUND)
-    seeds = _patterns(spans.where(seed)).groupBy("pattern").agg(F.count(F.lit(1)).alias("seeds"))
-    edges = materialize(_patterns(spans.where(~seed)), "pii-edges")
-    scored = edges.withColumn("confidence", F.lit(0.0))
+    edges = materialize(_edges(spans), "pii-edges")
+    shown = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("entities"), F.sum("n").alias("n_all"))
+    shown = materialize(shown.where(F.col("entities") >= MIN_SEEDS), "pii-shown")
+    totals = _totals(texts, shown, shown.count() <= BROADCAST_PATTERNS)
+    total = F.greatest(F.coalesce("total", "n_all"), F.col("n_all"))
+    patterns = shown.join(totals.hint("merge"), "pattern", "left").select("pattern", "n_all", total.alias("total"))
+    patterns = materialize(patterns.where(F.col("n_all") >= MIN_WEIGHT * (F.col("total") + 1)), "pii-patterns")
+    edges = materialize(_dealt(edges, patterns.drop("n_all"), "pattern", F.col("instance")), "pii-graph")
+    seeds = edges.where("seed").groupBy("pattern").agg(F.count(F.lit(1)).alias("seeds"), F.sum("n").alias("of_seeds"))
+    found = None
     for _ in range(rounds):
-        own = scored.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.sum("confidence").alias("sum"))
-        weight = (F.col("seeds") + F.col("sum")) / (F.col("seeds") + F.col("n") + 1)
-        patterns = own.join(seeds, "pattern").where(F.col("seeds") >= MIN_SEEDS).select("pattern", weight.alias("weight"))
-        told = edges.join(patterns, "pattern", "left").groupBy("instance")
-        instances = materialize(told.agg(F.avg(F.coalesce("weight", F.lit(0.0))).alias("confidence")), "pii-round")
-        scored = edges.join(instances, "instance")
-    return instances.where(F.col("confidence") >= CONFIDENT).select("instance")
+        told = edges.select("pattern", "total").distinct().join(seeds, "pattern", "left").fillna(0, ["seeds", "of_seeds"])
+        if found is not None:
+            new = _dealt(edges.where("NOT seed"), found, "instance", F.col("pattern")).groupBy("pattern")
+            sums = new.agg(
+                F.sum(F.col("n") * F.col("confidence")).alias("more"),
+                F.count_if(F.col("confidence") >= CONFIDENT).alias("others"),
+            )
+            told = told.join(sums, "pattern", "left").fillna(0, ["more", "others"])
+        else:
+            told = told.withColumns({"more": F.lit(0.0), "others": F.lit(0)})
+        weight = (F.col("of_seeds") + F.col("more")) / (F.col("total") + 1)
+        weights = told.where(F.col("seeds") + F.col("others") >= MIN_SEEDS).select("pattern", weight.alias("weight"))
+        weights = weights.where(F.col("weight") >= MIN_WEIGHT)
+        best = lambda side: F.coalesce(F.max(F.when(side, F.col("weight"))), F.lit(0.0))
+        sides = _dealt(edges, weights, "pattern", F.col("instance")).groupBy("instance")
+        both = sides.agg(best(F.col("left")).alias("l"), best(~F.col("left")).alias("r"))
+        confidence = 1 - (1 - F.col("l")) * (1 - F.col("r"))
+        found = materialize(both.select("instance", confidence.alias("confidence")), "pii-round")
+    return found.where(F.col("confidence") >= CONFIDENT).select("instance")
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -150,7 +246,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     never touch a base span.
 
     One scan finds what matches in each text, with the words around it; only that goes on. Offsets are running sums
-    within a document. Bootstrapping (:func:`discover`) looks at distinct (context, string) pairs.
+    within a document. Bootstrapping (:func:`discover`) looks at distinct (context, string) pairs, and scans the texts once
+    more to count what else stands in those contexts.
 
     Null and empty texts have no spans. Rows that repeat an id are separate documents. An empty table gives an empty
     result. Other columns of ``docs`` are not read.
@@ -174,8 +271,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     spans = materialize(_apart_from_base(_occurrences(found).where(_valid())), "pii-spans")
     base = spans.where(F.col("kind") < KINDS.index(FOUND))
     candidates = _trimmed(spans.where(F.col("kind") == KINDS.index(FOUND)))
-    identifiers = discover(base.unionByName(candidates))
-    added = candidates.withColumn("instance", F.lower("match")).join(identifiers, "instance", "left_semi")
+    identifiers = discover(base.unionByName(candidates), docs.select(F.col(text_col).alias("text")))
+    added = _dealt(candidates.withColumn("instance", F.lower("match")), identifiers, "instance", F.col("uid"), "left_semi")
     columns = ["uid", "start", "kind", "end"]
     listed = base.select(*columns).unionByName(added.select(*columns))
     names = F.array(*[F.lit(kind) for kind in KINDS])

@@ -11,7 +11,7 @@ from .html_text import extract_text
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
-from .pii import find_pii
+from .pii import FOUND, KINDS, find_pii
 from .quality_classifier import fit, score_documents
 from .quality_rules import quality_report
 from .sentencepiece_codec import encode_documents
@@ -40,7 +40,9 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(_documents(spark, sf_dir))
     digest = F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256")
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", digest, "spans")
+    total = sum((F.col(f"n_{kind}") for kind in KINDS), F.lit(0).cast("long"))
+    counts = [f"n_{kind}" for kind in KINDS if kind != FOUND]
+    return found.select("doc_id", *counts, digest, "spans", f"n_{FOUND}", total.alias("n_spans"))
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

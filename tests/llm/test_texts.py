@@ -264,6 +264,112 @@ def test_pii_bootstraps_from_contexts(spark):
     assert got[101]["spans"] == "" == got[102]["spans"] and got[3]["n_identifier"] == 0
 
 
+def brute_identifiers(texts, rounds):
+    """Of each text the (start, end) of its identifiers, by the definitions, on dictionaries."""
+    blank = re.compile(r"[ \t-\r]+")
+    normal = lambda word: re.sub("[0-9]", "0", word.lower())
+    patterns = BASE | {"identifier": r"(?<![^ \t-\r])[^ \t-\r0-9]*[0-9][^ \t-\r]*"}
+    places, edges, seeds, total = [], Counter(), set(), Counter()
+    for text in texts:
+        words_here = [normal(w) for w in blank.split(text) if w]
+        for i in range(len(words_here)):
+            for n in (1, 2, 3):
+                if i >= n:
+                    total["L", tuple(words_here[i - n : i][::-1])] += 1
+                if i + n < len(words_here):
+                    total["R", tuple(words_here[i + 1 : i + 1 + n])] += 1
+        base = [tuple(map(int, s.split(":")[1:])) for s in base_spans(text).split(",") if s]
+        valid = set(filter(None, base_spans(text).split(",")))
+        here = []
+        for kind, pattern in patterns.items():
+            found = list(re.finditer(pattern, text))
+            ends = [0] + [m.end() for m in found]
+            starts = [m.start() for m in found] + [len(text)]
+            for k, m in enumerate(found):
+                start, end, entity = m.start(), m.end(), m[0]
+                if kind == "identifier":
+                    if any(a < end and start < b for a, b in base):
+                        continue
+                    core = re.search("[A-Za-z0-9].*[A-Za-z0-9]|[A-Za-z0-9]", entity)
+                    start, entity = start + core.start(), core[0]
+                    end = start + len(entity)
+                    if len(re.sub("[^A-Za-z0-9]", "", entity)) < 6:
+                        continue
+                    here.append((start, end, entity.lower()))
+                elif f"{kind}:{start}:{end}" not in valid:
+                    continue
+                left = [normal(w) for w in blank.split(text[ends[k] : m.start()])[:-1] if w][::-1]
+                right = [normal(w) for w in blank.split(text[m.end() : starts[k + 1]])[1:] if w]
+                seed = kind != "identifier" or bool(re.match(pii.SEED_FORM, entity.lower()))
+                for side, near in (("L", left), ("R", right)):
+                    for n in range(1, 4):
+                        if len(near) >= n:
+                            edges[(side, tuple(near[:n])), entity.lower(), seed] += 1
+        places.append(here)
+    of = defaultdict(list)
+    for (pattern, entity, seed), n in edges.items():
+        of[pattern].append((entity, seed, n))
+    of = {p: e for p, e in of.items() if len(e) >= pii.MIN_SEEDS}
+    for p, e in of.items():
+        total[p] = max(total[p], sum(n for *_, n in e))
+    of = {p: e for p, e in of.items() if sum(n for *_, n in e) >= pii.MIN_WEIGHT * (total[p] + 1)}
+    confidence = {}
+    for _ in range(rounds):
+        weight = {}
+        for p, e in of.items():
+            sure = sum(seed or confidence.get(entity, 0) >= pii.CONFIDENT for entity, seed, _ in e)
+            w = sum(n * (1 if seed else confidence.get(entity, 0)) for entity, seed, n in e) / (total[p] + 1)
+            if sure >= pii.MIN_SEEDS and w >= pii.MIN_WEIGHT:
+                weight[p] = w
+        sides = defaultdict(lambda: [0.0, 0.0])
+        for p, w in weight.items():
+            for entity, _, _ in of[p]:
+                sides[entity][p[0] == "L"] = max(sides[entity][p[0] == "L"], w)
+        confidence = {entity: 1 - (1 - a) * (1 - b) for entity, (a, b) in sides.items()}
+    return [[(a, b) for a, b, entity in here if confidence.get(entity, 0) >= pii.CONFIDENT] for here in places]
+
+
+def contextual_texts(seed):
+    rng = np.random.default_rng(seed)
+    filler = ["of", "the", "a", "red", "on", "in", "was", "number", "2024", "v3.1.4-rc77"]
+    some = lambda n: " ".join(rng.choice(filler, n))
+    texts = []
+    for i in range(90):
+        entity = [f"u{i}@mail.org", f"10.0.{i}.7", f"KX-{i % 9}53120-q", f"{i:08x}" * 5][i % 4]
+        where = ["owner id", "id", "the"][int(rng.integers(3))]
+        texts.append(f"{some(4)} {where} {entity} {some(3)}")
+        if i % 4 == 2:  # found by what base entities share with them, and found they tell another context
+            texts.append(f"{some(2)} ticket: {entity}, {some(5)}")
+        if i % 5 == 0:
+            texts.append(f"{some(2)} ticket: ZZ{i}99{i}00 {some(3)}")
+        texts.append(f"{some(3)} the {rng.integers(10**6, 10**7)} {some(2)}")
+    return texts
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_bootstrapping_is_the_graph_scoring(spark, seed, monkeypatch):
+    texts = contextual_texts(seed)
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = brute_identifiers(texts, pii.ROUNDS)
+    if seed:
+        monkeypatch.setattr(pii, "BROADCAST_PATTERNS", 0)
+    for r in pii.find_pii(table).collect():
+        got = re.findall(r"identifier:(\d+):(\d+)", r["spans"])
+        assert [(int(a), int(b)) for a, b in got] == want[r["doc_id"]]
+    cut = [texts[i][a:b] for i, spans in enumerate(want) for a, b in spans]
+    once = {texts[i][a:b] for i, spans in enumerate(brute_identifiers(texts, 1)) for a, b in spans}
+    assert any(x.startswith("KX") for x in once) and any(x.startswith("ZZ") for x in set(cut) - once)
+    assert not any(re.fullmatch("[0-9]{7}|v3.*", x) for x in cut)
+
+
+def test_pii_long_texts_and_repeated_entities(spark):
+    long = "= 1234567 " * 5000 + "key " + "token " * 3000
+    rows = [(i, f"{long} key = {i:040x} {long}") for i in range(4)]
+    rows += [(10 + i, f"secret key = {'ab12' * 10}") for i in range(300)] + [(400, "7" * 300_000), (401, "a1." * 100_000)]
+    got = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and all(r["n_identifier"] for r in got if r["doc_id"] < 400)
+
+
 def test_classifier(spark, docs, empty):
     rng = np.random.default_rng(4)
     good = lambda: " ".join(f"{rng.choice(list('abcdef'))}{rng.integers(400)} the" for _ in range(80)) + "."
