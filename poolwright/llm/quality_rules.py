@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
@@ -9,12 +10,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import words
+from .runtime import materialize, words
 
-#: Rows of the sample that costs and selectivities are estimated on. They decide the order of the rules, and so the
-#: time, but never a verdict. Longer texts are not sampled, which bounds what the driver holds.
-SAMPLE_ROWS = 500
-SAMPLE_TEXT_BYTES = 1 << 16
+#: Rows, on average, of the sample that costs and selectivities are estimated on, and its seed. They decide the order of
+#: the rules, and so the time, but never a verdict.
+SAMPLE_ROWS, SAMPLE_SEED = 500, 11
+#: Times that a measurement is repeated, seconds that the measured rule should take at least, and the most copies of the
+#: sample that are made for that.
+REPEATS, LEAST_SECONDS, MOST_COPIES = 3, 0.1, 64
 
 SYMBOLS = "[#*$%&|<>]"
 A_WORD = r"[^\x20\x09-\x0D]"
@@ -39,19 +42,35 @@ def _packed_windows(n_words: Column) -> Column:
 
 
 def _repeated_places(n_words: Column) -> Column:
-    """Positions of the windows that occur twice or more. Equal hashes are verified word by word."""
+    """Positions of the windows that occur twice or more. Equal hashes are verified word by word.
+
+    Where two different windows have one hash, the windows themselves are sorted instead.
+    """
     bits, w, packed = _place_bits(n_words), F.col(_WORDS), F.col(_PACKED)
     mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
     place = lambda x: x.bitwiseAND(mask).cast("int")
+    alike = lambda x, y: F.call_function("shiftright", x, bits) == F.call_function("shiftright", y, bits)
 
-    def same(x: Column, y: Column) -> Column:
-        hashes = F.call_function("shiftright", x, bits) == F.call_function("shiftright", y, bits)
+    def equal(x: Column, y: Column) -> Column:
+        words_equal = F.lit(True)
         for k in range(3):
-            hashes = hashes & (F.get(w, place(x) + k) == F.get(w, place(y) + k))
-        return hashes
+            words_equal = words_equal & (F.get(w, place(x) + k) == F.get(w, place(y) + k))
+        return words_equal
 
+    same = lambda x, y: alike(x, y) & equal(x, y)
     twice = F.filter(packed, lambda x, i: same(x, F.get(packed, i - 1)) | same(x, F.get(packed, i + 1)))
-    return F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(mask)))
+    following = F.slice(packed, 2, F.greatest(F.size(packed), F.lit(1)))
+    clash = F.exists(F.zip_with(packed, following, lambda x, y: alike(x, y) & ~equal(x, y)), lambda x: x)
+    windows = F.sort_array(
+        F.transform(packed, lambda x: F.struct(*[F.get(w, place(x) + k).alias(f"w{k}") for k in range(3)], place(x).alias("at")))
+    )
+    one = lambda x, y: (x["w0"] == y["w0"]) & (x["w1"] == y["w1"]) & (x["w2"] == y["w2"])
+    exact = F.filter(windows, lambda x, i: one(x, F.get(windows, i - 1)) | one(x, F.get(windows, i + 1)))
+    return F.sort_array(
+        F.when(clash, F.transform(exact, lambda x: x["at"].cast("long"))).otherwise(
+            F.transform(twice, lambda x: x.bitwiseAND(mask))
+        )
+    )
 
 
 def _covered() -> Column:
@@ -149,42 +168,68 @@ def learn_order(
     id_col: str = "doc_id",
     text_col: str = "text",
     sample_rows: int = SAMPLE_ROWS,
+    have: Sequence[str] = (),
 ) -> list[Rule]:
-    """The rules by rejections per cost, best first, both measured on at most ``sample_rows`` rows.
-
-    The sample is what a take() of texts of at most ``SAMPLE_TEXT_BYTES`` gives. A rule's cost is the time of a job over the cached sample that computes its features and counts its rejections,
-    less the time of a job that only counts. A rule that rejects nothing there goes last, the cheaper the sooner.
+    """The rules by rejections per cost, best first, both measured on a sample of about ``sample_rows`` rows.
+
+    Every row of every partition is as likely to be sampled, whatever its length. The sample is written as one partition
+    with the features ``have``, which cost a rule nothing. A rule's cost is the time of a job that computes its features
+    and counts its rejections, less the time of one that only reads the rows: after a warm-up, the least of ``REPEATS``
+    measurements over as many copies of the sample as it takes to make the rule outlast the job around it. Costs are
+    rounded to powers of two, so that noise doesn't decide; rules of equal rank go by name. A rule that rejects nothing
+    there goes last, the cheaper the sooner. An empty sample leaves the rules as they are.
     """
-    texts = docs.select(id_col, text_col).where(F.octet_length(text_col) <= SAMPLE_TEXT_BYTES)
-    # take() reads one partition first and more only while rows are missing; the rows stay in the JVM
-    taken = texts._jdf.takeAsList(sample_rows)
-    if taken.isEmpty():
+    n = docs.count()
+    if not n:
         return list(rules)
-    spark = docs.sparkSession
-    sample = DataFrame(spark._jsparkSession.createDataFrame(taken, texts._jdf.schema()), spark)
-    sample = prepared(sample, id_col, text_col).drop("__qr_id").cache()
-    try:
-        sample.count()
-
-        def timed(df: DataFrame, column: Column) -> tuple[float, int]:
-            began = time.monotonic()
-            n = df.agg(F.count_if(column)).first()[0]
-            return time.monotonic() - began, n
-
-        idle, _ = timed(sample, F.col("n_words") < 0)
-        score = {}
-        for rule in rules:
-            took, rejected = timed(add_features(sample, rule.needs), F.coalesce(rule.rejects(), F.lit(False)))
-            cost = max(took - idle, 1e-3)
-            score[rule.name] = (-rejected / cost, cost)
-    finally:
-        sample.unpersist()
+    texts = docs.select(id_col, text_col).sample(min(1.0, sample_rows / n), SAMPLE_SEED).repartition(1)
+    sample = add_features(prepared(texts, id_col, text_col).drop("__qr_id"), have)
+    sample = materialize(sample, "quality-sample")
+    rows = sample.count()
+    if not rows:
+        return list(rules)
+    idle: dict[int, float] = {}
+
+    def timed(rule: Rule | None, copies: int) -> tuple[float, int]:
+        df = sample.withColumn("__qr_nth", F.explode(F.sequence(F.lit(1), F.lit(copies))))
+        reads = (F.octet_length(_TEXT) < 0) | (F.size(_WORDS) < -1)
+        if rule is not None:
+            df = add_features(df, rule.needs)
+            reads = reads | F.coalesce(rule.rejects(), F.lit(False))
+        job = df.agg(F.count_if(reads))
+        began = time.monotonic()
+        rejected = job.first()[0]
+        return time.monotonic() - began, rejected
+
+    def least(rule: Rule | None, copies: int) -> float:
+        return min(timed(rule, copies)[0] for _ in range(REPEATS))
+
+    def cost_of(rule: Rule) -> tuple[float, int]:
+        timed(rule, 1)
+        took, rejected = timed(rule, 1)
+        copies = LEAST_SECONDS / max(took - idle[1], LEAST_SECONDS / MOST_COPIES)
+        copies = 1 << max(0, math.ceil(math.log2(copies)))
+        if copies not in idle:
+            timed(None, copies)
+            idle[copies] = least(None, copies)
+        cost = max(least(rule, copies) - idle[copies], 1e-4) / (copies * rows)
+        return 2.0 ** round(math.log2(cost)), rejected
+
+    timed(None, 1)
+    idle[1] = least(None, 1)
+    score = {}
+    for rule in rules:
+        cost, rejected = cost_of(rule)
+        score[rule.name] = (-rejected / cost, cost, rule.name)
     return sorted(rules, key=lambda rule: score[rule.name])
 
 
 def _held_up(verdict: Column) -> Column:
-    """The verdict, such that no filter is pushed below the projection that has it: that would put features into one
-    another as often as they are used. A non-deterministic column, here one that is always true, holds filters up."""
+    """The verdict, such that no filter is pushed below the projection that has it.
+
+    The optimiser would put what the verdict is made of into the filter, features into one another as often as they are
+    used. A column that it takes for non-deterministic, here one that is always true, holds filters up.
+    """
     return verdict & (F.spark_partition_id() >= 0)
 
 
@@ -199,9 +244,9 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null and empty texts have no words and fail. Rows that repeat are judged alike. An empty table gives an empty
     result. Other columns of ``docs`` are not read.
     """
-    order = learn_order(docs, METHOD_RULES, id_col, text_col)
-    df = prepared(docs, id_col, text_col)
-    df = add_features(df, ["word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
+    wanted = ["word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    order = learn_order(docs, METHOD_RULES, id_col, text_col, have=wanted)
+    df = add_features(prepared(docs, id_col, text_col), wanted)
     base_failed = F.lit(False)
     for rule in BASE_RULES:
         base_failed = base_failed | rule.rejects()

@@ -73,6 +73,40 @@ def test_order_follows_rejections_per_cost(docs):
     assert learned[0].name != "same_lines"
 
 
+def test_costly_rules_that_reject_little_go_last(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 900, 400)) + " #" * int(300 * (i % 2)) for i in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    costly = lambda: F.aggregate("__qr_words", F.lit(0).cast("long"), lambda n, w: n + F.length(F.sha2(w, 512)))
+    monkeypatch.setitem(quality_rules.FEATURES, "costly", [("costly", costly)])
+    rare = lambda: (F.col("costly") > 0) & (F.col("__qr_words")[0] == "w7")
+    rules = [
+        quality_rules.Rule("costly", rare, ("costly",)),
+        quality_rules.Rule("never", lambda: F.col("n_words") < 0),
+        quality_rules.Rule("symbols", lambda: F.col("n_symbols") > 100, ("n_symbols",)),
+        quality_rules.Rule("many_words", lambda: F.col("n_words") > 500),
+    ]
+    orders = [[r.name for r in quality_rules.learn_order(docs, rules)] for _ in range(2)]
+    assert orders[0] == orders[1] and orders[0][0] == "many_words" and orders[0][1] == "symbols"
+    assert len(quality_rules.learn_order(docs, rules, sample_rows=0)) == 4
+
+
+def test_equal_hashes_of_different_windows(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules.F, "xxhash64", lambda *words: F.length(words[0]).cast("long"))
+    rng = np.random.default_rng(9)
+    texts = [" ".join(rng.choice(["a", "b", "cc", "dd"], int(rng.integers(0, 40)))) for _ in range(60)]
+    df = quality_rules.prepared(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text")
+    for r in quality_rules.add_features(df, ["n_repeat_words"]).collect():
+        assert r["n_repeat_words"] == statistics(texts[r["__qr_id"]])[4]
+
+
+def test_the_verdict_holds_filters_up(docs):
+    held = quality_rules.quality_report(docs).where("kept")
+    plan = held._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.split("\n") if line.strip(" +-:").startswith("Filter")]
+    assert filters and all("xxhash64" not in line and "array_distinct" not in line for line in filters)
+
+
 def low(text):
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
 
