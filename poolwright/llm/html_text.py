@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BATCH_BYTES = 8 << 20
-#: Table cells are padded to at most so many characters; longer ones are whole, but what follows is not aligned.
-WIDEST_PADDING = 40
-MOST_COLUMNS = 1000
+#: Widest column of a table. After a longer cell the row goes on below, so that every cell begins where its column does.
+WIDEST_COLUMN = 80
+# Fixed values of the HTML standard: most columns and rows that a cell spans.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -56,17 +57,38 @@ _TOKEN = re.compile(
     re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.IGNORECASE)
+_NOT_DISPLAYED = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.IGNORECASE)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible)\b", re.IGNORECASE)
+_NUMBER = re.compile(r"\s*([+-]?\d{1,9})")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
 @dataclass(slots=True)
 class Node:
     tag: str
-    hidden: bool = False
+    hidden: bool = False  # with all that it contains
+    visibility: bool | None = None  # of its own text; inherited if None
     attributes: dict[str, str] = field(default_factory=dict)
     children: list[Node | str] = field(default_factory=list)
 
+    def style(self, attributes: dict[str, str]) -> None:
+        """Take in attributes and what they say of the element's visibility."""
+        self.attributes |= attributes
+        style = attributes.get("style", "")
+        self.hidden = self.hidden or "hidden" in attributes or bool(_NOT_DISPLAYED.search(style))
+        for said in _VISIBILITY.findall(style):  # the last one counts
+            self.visibility = said.lower() == "visible"
+
+    def number(self, name: str) -> int | None:
+        said = _NUMBER.match(self.attributes.get(name, ""))
+        return int(said[1]) if said else None
+
+    def shown(self) -> list[Node | str]:
+        """The children that are displayed: of closed details only the first summary."""
+        if self.tag != "details" or "open" in self.attributes:
+            return self.children
+        return [child for child in self.children if isinstance(child, Node) and child.tag == "summary"][:1]
+
 
 def _attributes(text: str) -> dict[str, str]:
     return {
@@ -109,8 +131,8 @@ class TreeBuilder:
 
     def _open(self, tag: str, attributes: dict[str, str] | None = None) -> Node:
         attributes = attributes or {}
-        hidden = tag in INVISIBLE or "hidden" in attributes or bool(_HIDDEN.search(attributes.get("style", "")))
-        node = Node(tag, hidden or (tag == "input" and attributes.get("type", "").lower() == "hidden"), attributes)
+        node = Node(tag, tag in INVISIBLE or (tag == "dialog" and "open" not in attributes))
+        node.style(attributes)
         self.stack[-1].children.append(node)
         if tag not in VOID:
             self.stack.append(node)
@@ -123,9 +145,7 @@ class TreeBuilder:
                 self._end(frozenset(["head"]), frozenset())
                 self._open(tag, attributes)
             else:
-                node = self.root
-                node.attributes |= attributes
-                node.hidden = "hidden" in attributes or bool(_HIDDEN.search(attributes.get("style", "")))
+                self.root.style(attributes)
             return
         if self.stack[-1].tag == "head" and tag not in HEAD_ONLY:
             self._cut(len(self.stack) - 1)
@@ -242,48 +262,113 @@ class Writer:
         return "\n".join(self.lines).strip("\n")
 
 
+@dataclass(slots=True)
+class _Cell:
+    lines: list[str]
+    columns: int = 1
+    rows: int = 1
+    at: int = 0  # its first column
+
+
 @dataclass(slots=True)
 class _Table:
-    rows: list[list[tuple[str, int]]] = field(default_factory=list)
+    rows: list[list[_Cell]] = field(default_factory=list)
+    groups: list[int] = field(default_factory=list)  # rows that a row group begins with
 
 
-def lay_out(table: list[list[tuple[str, int]]]) -> list[str]:
-    """Lines of a table of rows of (cell text, columns it spans): columns aligned, cells two spaces apart."""
+def _placed(table: _Table) -> list[int]:
+    """Give every cell its column: the first that no cell from above reaches into. Returns the widths of the columns."""
     widths: list[int] = []
-    for row in table:
-        at = 0
-        for text, span in row:
-            widths += [0] * (at + span - len(widths))
-            if span == 1:
-                widest = max(map(len, text.split("\n")))
-                widths[at] = max(widths[at], min(widest, WIDEST_PADDING))
-            at += span
+    taken: list[int] = []  # of each column the first row that is free again
+    ends = sorted({*table.groups, len(table.rows)})
+    for n, row in enumerate(table.rows):
+        at, group_end = 0, next(end for end in ends if end > n)
+        for cell in row:
+            while at < len(taken) and taken[at] > n:
+                at += 1
+            cell.at = at
+            cell.columns = min(cell.columns, max(1, MOST_COLUMNS - at))  # so that only cells make a table wider than that
+            taken += [0] * (at + cell.columns - len(taken))
+            until = min(n + cell.rows if cell.rows else group_end, group_end)
+            for column in range(at, at + cell.columns):
+                taken[column] = max(taken[column], until)
+            widths += [0] * (at + cell.columns - len(widths))
+            if cell.columns == 1:
+                widths[at] = max(widths[at], min(max(map(len, cell.lines)), WIDEST_COLUMN))
+            at += cell.columns
+    return widths
+
+
+def lay_out(table: _Table) -> list[str]:
+    """Lines of a table: every line of a cell begins where its column does, columns two spaces apart."""
+    begins = [0]
+    for width in _placed(table):
+        begins.append(begins[-1] + width + 2)
     lines = []
-    for row in table:
-        cells = [text.split("\n") for text, _ in row]
-        for n in range(max(map(len, cells), default=0)):
-            at, line = 0, []
-            for cell, (_, span) in zip(cells, row, strict=True):
-                room = sum(widths[at : at + span]) + 2 * (span - 1)
-                line.append((cell[n] if n < len(cell) else "").ljust(room))
-                at += span
-            lines.append("  ".join(line).rstrip())
+    for row in table.rows:
+        if not any(any(cell.lines) for cell in row):
+            continue
+        for n in range(max(len(cell.lines) for cell in row)):
+            parts, length = [], 0
+            for cell in row:
+                text, begin = cell.lines[n] if n < len(cell.lines) else "", begins[cell.at]
+                if not text:
+                    continue
+                if parts and length + 2 > begin:  # a longer cell reaches into this column
+                    lines.append("".join(parts))
+                    parts, length = [], 0
+                parts += [" " * (begin - length), text]
+                length = begin + len(text)
+            lines.append("".join(parts).rstrip())
     return lines
 
 
+@dataclass(slots=True)
+class _List:
+    """An open list: what its next item is numbered, by how much that grows; no number for bullets."""
+
+    number: int | None = None
+    step: int = 1
+
+
+def _opened_list(node: Node) -> _List:
+    if node.tag != "ol":
+        return _List()
+    start = node.number("start")
+    if "reversed" not in node.attributes:
+        return _List(1 if start is None else start)
+    items = sum(isinstance(child, Node) and child.tag == "li" for child in node.children)
+    return _List(items if start is None else start, -1)
+
+
+def _marker(node: Node, lists: list[_List]) -> str:
+    if not lists or lists[-1].number is None:
+        return "- "
+    own = node.number("value")
+    if own is not None:
+        lists[-1].number = own
+    number = lists[-1].number
+    lists[-1].number += lists[-1].step
+    return f"{number}. "
+
+
 def visible_text(page: str | None) -> str:
     """The page's visible text. Iterative, so depth is no limit."""
     if not page:
         return ""
     writers = [Writer()]
     tables: list[_Table] = []
-    counters: list[int | None] = []  # of each open list the next number, None for bullets
+    lists: list[_List] = []
+    indents: list[int] = []  # of each open list item, by how much it is indented
+    visible = [True]  # of each open element, whether its own text is
     pre = 0
     todo: list[tuple[Node | str, bool]] = [(parse(page), True)]
     while todo:
         node, opening = todo.pop()
         out = writers[-1]
         if isinstance(node, str):
+            if not visible[-1]:
+                continue
             if pre:
                 out.verbatim(node)
             elif not tables or len(writers) > len(tables) or node.strip():
@@ -301,28 +386,32 @@ def visible_text(page: str | None) -> str:
                 out.parts.append("---")
                 out.block(True)
                 continue
+            if tag == "input":
+                shown = visible[-1] if node.visibility is None else node.visibility
+                if shown and node.attributes.get("type", "").lower() in ("submit", "reset", "button"):
+                    out.text(node.attributes.get("value", ""))
+                continue
+            visible.append(visible[-1] if node.visibility is None else node.visibility)
             todo.append((node, False))
-            todo += [(child, True) for child in reversed(node.children)]
+            todo += [(child, True) for child in reversed(node.shown())]
             if tag == "table":
                 out.block(True)
                 tables.append(_Table())
+            elif tables and tag in ("thead", "tbody", "tfoot"):
+                tables[-1].groups.append(len(tables[-1].rows))
             elif tables and tag == "tr":
                 tables[-1].rows.append([])
             elif tables and tag in ("td", "th"):
                 writers.append(Writer())
             elif tag in BLOCKS:
-                out.block(tag in SPACED and not (tag in ("ul", "ol", "menu") and counters))
-            if tag in ("ul", "menu"):
-                counters.append(None)
-            elif tag == "ol":
-                start = node.attributes.get("start", "1")
-                counters.append(int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1)
+                out.block(tag in SPACED and not (tag in ("ul", "ol", "menu") and lists))
+            if tag in ("ul", "menu", "ol"):
+                lists.append(_opened_list(node))
             elif tag == "li":
-                number = counters[-1] if counters else None
-                out.marker = "- " if number is None else f"{number}. "
-                if number is not None:
-                    counters[-1] = number + 1
-                out.indent += " " * len(out.marker)
+                marker = _marker(node, lists)
+                out.marker = marker if visible[-1] else ""
+                indents.append(len(marker))
+                out.indent += " " * len(marker)
             elif tag in ("dd", "blockquote"):
                 out.indent += "  "
             elif tag == "pre":
@@ -330,27 +419,27 @@ def visible_text(page: str | None) -> str:
                 if node.children and isinstance(node.children[0], str) and node.children[0][:1] == "\n":
                     todo[-1] = (node.children[0][1:], True)
             continue
+        visible.pop()
         if tag == "table":
-            table = tables.pop()
-            for line in lay_out([row for row in table.rows if row]):
+            for line in lay_out(tables.pop()):
                 out.parts.append(line)
                 out.line(keep=True)
             out.block(True)
         elif tables and tag in ("td", "th"):
-            text = writers.pop().done()
-            span = node.attributes.get("colspan", "1")
-            columns = min(max(int(span), 1), MOST_COLUMNS) if re.fullmatch(r"\d{1,9}", span) else 1
+            lines = writers.pop().done().split("\n")
+            columns, rows = node.number("colspan"), node.number("rowspan")
+            columns = min(columns, MOST_COLUMNS) if columns and columns > 0 else 1
+            rows = 1 if rows is None or rows < 0 else min(rows, MOST_ROWS)
             if not tables[-1].rows:
                 tables[-1].rows.append([])
-            tables[-1].rows[-1].append((text, columns))
+            tables[-1].rows[-1].append(_Cell(lines, columns, rows))
         else:
             if tag in BLOCKS:
-                out.block(tag in SPACED and not (tag in ("ul", "ol", "menu") and len(counters) > 1))
-            if tag in ("ul", "ol", "menu") and counters:
-                counters.pop()
+                out.block(tag in SPACED and not (tag in ("ul", "ol", "menu") and len(lists) > 1))
+            if tag in ("ul", "ol", "menu") and lists:
+                lists.pop()
             elif tag == "li":
-                width = len(f"{counters[-1] - 1}. ") if counters and counters[-1] is not None else 2
-                out.indent, out.marker = out.indent[:-width], ""
+                out.indent, out.marker = out.indent[: len(out.indent) - indents.pop()], ""
             elif tag in ("dd", "blockquote"):
                 out.indent = out.indent[:-2]
             elif tag == "pre":
@@ -373,11 +462,13 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """One row per page: ``id_col`` and text, the page's visible text.
 
-    A tree builder opens and closes what tags imply. Elements that a browser does not show (scripts, styles, the head,
-    templates, ``hidden``, ``display: none``, ``visibility: hidden``) are left out with all they contain; everything
+    A tree builder opens and closes what tags imply. Elements that a browser does not display (scripts, styles, the head,
+    templates, ``hidden``, ``display: none``, a ``dialog`` that isn't open, what closed ``details`` hold but their summary)
+    are left out with all they contain. ``visibility`` is inherited, so visible parts of invisible elements are there. All
     else is emitted. Paragraphs, headings, lists and tables have an empty line around them, other blocks a line break;
-    list items have bullets or numbers and nested ones are indented; table cells are aligned in columns; ``pre`` keeps
-    its white space. Pages are independent: no shuffle.
+    list items have bullets or numbers (``start``, ``value`` and ``reversed`` count) and nested ones are indented; table
+    cells begin where their columns do, with what spans columns or rows in its place; ``pre`` keeps its white space. Pages
+    are independent: no shuffle.
 
     Null and empty pages give empty texts; broken markup is no error. Repeated rows and null ids are passed through.
     Other columns are not read. An empty table gives an empty result.

@@ -253,6 +253,117 @@ def test_page_layout():
     assert visible_text(PAGE) == TEXT
 
 
+class Pages:
+    """Random pages, each with its text rendered recursively from what it was made of; None stands for an empty line."""
+
+    def __init__(self, seed):
+        self.rng = random.Random(seed)
+
+    def words(self, most=5):
+        return " ".join(self.rng.choice(["a", "bb", "Ccc", "d1", "eé"]) for _ in range(self.rng.randint(1, most)))
+
+    def end(self, tag):
+        return self.rng.choice([f"</{tag}>", f"</{tag.upper()}>\n", ""])
+
+    def block(self, depth, visible=True):
+        kind = self.rng.choice(["p", "div", "list", "table", "hidden", "unseen", "details", "dialog", "h2"])
+        if depth > 2 or kind in ("p", "h2"):
+            text = self.words()
+            close = self.end("p") if kind != "h2" else "</h2>"
+            tag = "h2" if kind == "h2" else "p"
+            return f"<{tag}> {text}\n{close}", [None, text, None] if visible else [None]
+        if kind == "list":
+            page, lines = self.list(0)
+            return page, [None, *(lines if visible else []), None]
+        if kind == "table":
+            page, lines = self.table()
+            return page, [None, *(lines if visible else []), None]
+        page, lines = self.blocks(depth + 1, visible or kind == "unseen")
+        if kind == "div":
+            return f"<div>{page}</div>", lines
+        if kind == "hidden":
+            return self.rng.choice(["<div hidden>%s</div>", '<div style="color:red;display: none">%s</div>']) % page, []
+        if kind == "unseen":
+            inner, unseen = self.blocks(depth + 1, False)
+            return f'<div style="visibility:hidden">lost{inner}<div style="visibility: visible">{page}</div></div>', [*unseen, *lines]
+        is_open = self.rng.random() < 0.5
+        if kind == "dialog":
+            return f"<dialog{' open' * is_open}>{page}</dialog>", lines if is_open else []
+        title = [self.words()] if visible else []
+        return f"<details{' open' * is_open}><summary>{''.join(title)}</summary>{page}</details>", [*title, *(lines if is_open else [])]
+
+    def blocks(self, depth, visible=True):
+        made = [self.block(depth, visible) for _ in range(self.rng.randint(1, 4))]
+        return "".join(page for page, _ in made), [line for _, lines in made for line in lines]
+
+    def list(self, depth):
+        numbered, n = self.rng.random() < 0.6, self.rng.randint(1, 4)
+        start, backwards = self.rng.choice([None, 7, -2]), numbered and self.rng.random() < 0.3
+        number, page, out = (n if backwards else 1) if start is None else start, "", []
+        for _ in range(n):
+            value = self.rng.choice([None, None, 30])
+            number = number if value is None else value
+            marker = f"{number}. " if numbered else "- "
+            text = self.words()
+            inner, lines = self.list(depth + 1) if depth < 2 and self.rng.random() < 0.3 else ("", [])
+            shown = f' value="{value}"' * (numbered and value is not None)
+            page += f"<li{shown}>{text}{inner}{self.end('li')}"
+            out += [marker + text, *(" " * len(marker) + line for line in lines)]
+            number += -1 if backwards else 1
+        tag = "ol" if numbered else "ul"
+        opening = tag + f" start={start}" * (numbered and start is not None) + " reversed" * backwards
+        return f"<{opening}>{page}</{tag}>", out
+
+    def table(self):
+        n_rows, page, grid, starts = self.rng.randint(1, 4), "", {}, []
+        for r in range(n_rows):
+            page, at = page + "<tr>", 0
+            for _ in range(self.rng.randint(1, 3)):
+                while (r, at) in grid:
+                    at += 1
+                lines = [self.words(2) for _ in range(self.rng.randint(1, 2))]
+                columns, rows = self.rng.choice([1, 1, 2]), self.rng.choice([1, 1, 1, 2, 0])
+                starts.append((r, at, columns, lines))
+                for below in range(r, n_rows if not rows else min(n_rows, r + rows)):
+                    for c in range(at, at + columns):
+                        grid[below, c] = True
+                page += f"<td colspan={columns} rowspan={rows}>{'<br>'.join(lines)}{self.end('td')}"
+                at += columns
+            page += self.end("tr")
+        wide = [max((len(x) for _, c, n, lines in starts if (c, n) == (i, 1) for x in lines), default=0) for i in range(99)]
+        out = []
+        for r in range(n_rows):
+            row = [x for x in starts if x[0] == r]
+            for k in range(max(len(lines) for *_, lines in row)):
+                line = ""
+                for _, at, _, lines in row:
+                    if k < len(lines):
+                        begin = sum(wide[:at]) + 2 * at
+                        if line and len(line) + 2 > begin:
+                            out.append(line)
+                            line = ""
+                        line = line.ljust(begin) + lines[k]
+                out.append(line)
+        return f"<table>{page}</table>", out
+
+
+def test_pages_as_a_second_renderer_has_them():
+    for seed in range(400):
+        page, lines = Pages(seed).blocks(0)
+        want = []
+        for line in lines:
+            if line is not None:
+                want.append(line)
+            elif want and want[-1] is not None:
+                want.append(None)
+        assert visible_text(f"<body>{page}") == "\n".join(line or "" for line in want).strip("\n"), page
+
+
+def test_long_cells_stay_aligned():
+    rows = visible_text(f"<table><tr><td>{'x' * 60}<td>q<tr><td>s<td>t<tr><td>{'y' * 200}<td>u</table>").split("\n")
+    assert [row.find(c) for row, c in zip(rows, "qt")] == [82, 82] and rows[3] == " " * 82 + "u"
+
+
 def test_broken_pages():
     for page in (None, "", "<", "<a", "<a href='x", "<!--", "</p></table>", "<table><td>x", "<p" * 9999, "<div>" * 9999 + "x"):
         visible_text(page)
