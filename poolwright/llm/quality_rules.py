@@ -22,7 +22,7 @@ REPEATS, LEAST_SECONDS, MOST_COPIES = 3, 0.1, 64
 SYMBOLS = "[#*$%&|<>]"
 A_WORD = r"[^\x20\x09-\x0D]"
 
-_TEXT, _WORDS, _PACKED, _PLACES = "__qr_text", "__qr_words", "__qr_packed", "__qr_places"
+_TEXT, _WORDS, _PACKED, _ALIKE, _PLACES = "__qr_text", "__qr_words", "__qr_packed", "__qr_alike", "__qr_places"
 
 
 def _place_bits(n_words: Column) -> Column:
@@ -41,34 +41,42 @@ def _packed_windows(n_words: Column) -> Column:
     ).otherwise(F.array().cast("array<long>"))
 
 
+def _hash(packed: Column, n_words: Column) -> Column:
+    return F.call_function("shiftright", packed, _place_bits(n_words))
+
+
+def _alike(n_words: Column) -> Column:
+    """Of the packed windows those that share their hash with a neighbour, and so with any other."""
+    packed = F.col(_PACKED)
+    alike = lambda x, i: _hash(x, n_words) == _hash(F.get(packed, i), n_words)
+    return F.filter(packed, lambda x, i: alike(x, i - 1) | alike(x, i + 1))
+
+
 def _repeated_places(n_words: Column) -> Column:
-    """Positions of the windows that occur twice or more. Equal hashes are verified word by word.
+    """Positions of the windows that occur twice or more. Windows of one hash are compared word by word.
 
-    Where two different windows have one hash, the windows themselves are sorted instead.
+    Where two different ones have one hash, the windows themselves are sorted instead.
     """
-    bits, w, packed = _place_bits(n_words), F.col(_WORDS), F.col(_PACKED)
-    mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
+    w, alike = F.col(_WORDS), F.col(_ALIKE)
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), _place_bits(n_words)) - 1
     place = lambda x: x.bitwiseAND(mask).cast("int")
-    alike = lambda x, y: F.call_function("shiftright", x, bits) == F.call_function("shiftright", y, bits)
 
-    def equal(x: Column, y: Column) -> Column:
+    def differ(x: Column, y: Column) -> Column:
         words_equal = F.lit(True)
         for k in range(3):
             words_equal = words_equal & (F.get(w, place(x) + k) == F.get(w, place(y) + k))
-        return words_equal
+        return (_hash(x, n_words) == _hash(y, n_words)) & ~words_equal
 
-    same = lambda x, y: alike(x, y) & equal(x, y)
-    twice = F.filter(packed, lambda x, i: same(x, F.get(packed, i - 1)) | same(x, F.get(packed, i + 1)))
-    following = F.slice(packed, 2, F.greatest(F.size(packed), F.lit(1)))
-    clash = F.exists(F.zip_with(packed, following, lambda x, y: alike(x, y) & ~equal(x, y)), lambda x: x)
+    following = F.slice(alike, 2, F.greatest(F.size(alike), F.lit(1)))
+    clash = F.exists(F.zip_with(alike, following, differ), lambda x: x)
     windows = F.sort_array(
-        F.transform(packed, lambda x: F.struct(*[F.get(w, place(x) + k).alias(f"w{k}") for k in range(3)], place(x).alias("at")))
+        F.transform(alike, lambda x: F.struct(*[F.get(w, place(x) + k).alias(f"w{k}") for k in range(3)], place(x).alias("at")))
     )
     one = lambda x, y: (x["w0"] == y["w0"]) & (x["w1"] == y["w1"]) & (x["w2"] == y["w2"])
     exact = F.filter(windows, lambda x, i: one(x, F.get(windows, i - 1)) | one(x, F.get(windows, i + 1)))
     return F.sort_array(
         F.when(clash, F.transform(exact, lambda x: x["at"].cast("long"))).otherwise(
-            F.transform(twice, lambda x: x.bitwiseAND(mask))
+            F.transform(alike, lambda x: x.bitwiseAND(mask))
         )
     )
 
@@ -102,6 +110,7 @@ FEATURES: dict[str, list[tuple[str, Callable[[], Column]]]] = {
     ],
     "n_repeat_words": [
         (_PACKED, lambda: _packed_windows(F.col("n_words"))),
+        (_ALIKE, lambda: _alike(F.col("n_words"))),
         (_PLACES, lambda: _repeated_places(F.col("n_words"))),
         ("n_repeat_words", _covered),
     ],
