@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,8 @@ MAX_MODEL_BYTES = 64 << 20
 MAX_WORDS, MAX_PAIRS = 500_000, 1_000_000
 #: Longer chunks are searched like any other and not remembered.
 REMEMBERED_CHARS = 48
+#: Characters that a class has at least to be told apart from the rest when a text is cut into chunks.
+LARGE_CLASS = 16
 #: Characters that the search is fed at a time.
 FED_CHARS = 4096
 BATCH_BYTES = 8 << 20
@@ -72,6 +74,34 @@ class PieceModel:
             return cls(f.read(MAX_MODEL_BYTES + 1))
 
 
+def _chunks(pieces: Iterable[str]) -> re.Pattern | None:
+    """What cuts a text where the search can start anew: between characters that stand side by side in no piece.
+
+    Characters of pieces fall into classes, such as scripts and punctuation, in which each is linked to the others by
+    pieces. A chunk is a run of one of the large classes, or of anything else, with the space marks before it. None if a
+    piece has a space mark after another character.
+    """
+    parent: dict[str, str] = {}
+
+    def top(char: str) -> str:
+        while parent.setdefault(char, char) != char:
+            char = parent[char]
+        return char
+
+    for piece in pieces:
+        body = piece.lstrip(SPACE)
+        if SPACE in body:
+            return None
+        for one, other in zip(body, body[1:] or body):
+            parent[top(one)] = top(other)
+    classes: dict[str, str] = {}
+    for char in sorted(parent):
+        classes[top(char)] = classes.get(top(char), "") + char
+    large = ["".join(map(re.escape, chars)) for chars in classes.values() if len(chars) >= LARGE_CLASS]
+    runs = [f"[{chars}]+" for chars in large] + [f"[^{''.join(large)}{SPACE}]+"]
+    return re.compile("|".join(f"{SPACE}*{run}" for run in runs) + f"|{SPACE}+")
+
+
 class _Words(dict):
     """The ids of words, searched for when first asked for. When full, words not asked for since it was last full go.
 
@@ -101,12 +131,7 @@ class SentencePieceCodec:
     def __init__(self, model: PieceModel):
         self.model = model
         self.longest = max(map(len, model.ids), default=1)
-        in_pieces = set("".join(model.ids))
-        # No piece has a space mark after another character, and none a line break: the search can start anew there.
-        crossing = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in model.ids)
-        breaks = "" if "\n" in in_pieces else "\n"
-        pattern = f"{SPACE}*[^{SPACE}{breaks}]+|{SPACE}+" + "|\n" * bool(breaks)
-        self.chunks = None if crossing else re.compile(pattern)
+        self.chunks = _chunks(model.ids)
         self.words = _Words(self._packed)
         self.pairs: dict[int, bool] = {}
         self.pieces = {i: p for p, i in model.ids.items()}

@@ -135,11 +135,11 @@ def test_every_word_goes_through_the_streaming_search(monkeypatch):
     seen, search = [], codec.search
     monkeypatch.setattr(codec, "search", lambda: seen.append(search()) or seen[-1])
     monkeypatch.setattr(sentencepiece_codec, "MAX_WORDS", 3)
-    words = [f"word{i}" for i in range(10)] + ["x" * 200]
+    words = ["word" + "abcdefghij"[i] for i in range(10)] + ["x" * 200]
     codec.encode(" ".join(words))
     assert sum(s.at for s in seen) == sum(map(len, words)) + len(words)
     assert len(codec.words) <= 3 and len(codec.words.before) <= 3
-    codec.encode("word9")
+    codec.encode("wordj")
     assert len(seen) == len(words)
 
 
