@@ -6,13 +6,15 @@ update are partial before the shuffle.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
@@ -23,14 +25,31 @@ PLACES = 6
 BLOCK_ROWS = 256
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, which ``spark.checkpoint.dir`` names. Only a local master may leave it
+    unset: a temporary folder then does."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("poolwright.shared.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="poolwright-")
+        spark.conf.set("poolwright.shared.dir", named)
+    return named.rstrip("/")
+
+
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the shared folder; it goes when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/poolwright/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a checkpoint in the shared folder; a temporary one is set only where none is."""
+    """Cut the lineage by a checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="poolwright-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 
@@ -219,9 +238,13 @@ STARTS = {"first": first_centroids, "farthest": farthest_first_centroids, "kmean
 
 
 def kmeans(rows: DataFrame, k: int, rounds: int = 10, seed: int = 1, start: str = "first", tries: int = 1) -> np.ndarray:
-    """Centroids of k clusters (of fewer if there are fewer rows); of several tries the one of least potential."""
+    """Centroids of k clusters (of fewer if there are fewer rows); of several tries the one of least potential.
+
+    The rows are written once, so that no round repeats the joins that they come from.
+    """
     if start not in STARTS:
         raise ValueError(f"unknown start {start!r}")
+    rows = cut(rows.select("id", "vec"))
     best: tuple[float, np.ndarray] | None = None
     for i in range(tries):
         centroids = lloyd(rows, STARTS[start](rows, k, seed + i), rounds)

@@ -22,17 +22,27 @@ def hierarchical_kmeans(
     seed: int = 1,
     sample_sizes: tuple[int, ...] | None = None,
     resamples: int = 10,
+    start: str = "kmeans++",
 ) -> list[DataFrame]:
     """Levels by k-means of the rows, then of the centroids of the level below.
 
     With ``sample_sizes``, a level whose size is above 1 is refined: so often the nearest members of each cluster are
     taken, k-means is run on these, and all points are assigned again. ValueError if lengths differ. k is clamped to
-    what there is to cluster.
+    what there is to cluster. ``start`` is that of all k-means but the lowest one, which starts from the first rows in
+    seeded order: greedy k-means++, or the first points there are (first). ValueError for another.
     """
+    if start not in ("kmeans++", "first"):
+        raise ValueError(f"unknown start {start!r}")
     if sample_sizes is not None and len(sample_sizes) != len(n_clusters):
         raise ValueError("one sample size for each level is needed")
     rng = np.random.default_rng(seed)
     spark, levels = features.sparkSession, []
+
+    def clustered(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        k = min(k, len(x))
+        first = np.arange(k) if start == "first" else kernels.greedy_kmeans_plus_plus(x, k, rng)
+        return kernels.lloyd(x, x[first], rounds)[:2]
+
     rows = features.select("id", "vec")
     centroids = np.zeros((0, 0))
     for level, k in enumerate(n_clusters):
@@ -43,17 +53,17 @@ def hierarchical_kmeans(
                 nearest = clustering.sorted_by_distance(clustering.assign_clusters(rows, centroids), 12)
                 sample = nearest.where(F.col("nth") <= size).join(rows, "id").orderBy("id").select("vec").collect()
                 x = kernels.checked(np.array([r["vec"] for r in sample]))
-                centroids, _, _ = kernels.kmeans(x, min(k, len(x)), rounds, rng)
+                centroids, _ = clustered(x, k)
             assigned = clustering.cut(clustering.assign_clusters(rows, centroids))
             levels.append(assigned.withColumnRenamed("id", "child"))
             continue
         x = centroids  # the centroids below are few by their check
         k = min(k, len(x))
-        centroids, which, _ = kernels.kmeans(x, k, rounds, rng)
+        centroids, which = clustered(x, k)
         for _ in range(resamples if size > 1 else 0):
             d2 = kernels.squared_distances(x, centroids)
             take = [i for c in range(len(centroids)) for i in np.flatnonzero(which == c)[np.argsort(d2[which == c, c], kind="stable")][:size]]
-            centroids, _, _ = kernels.kmeans(x[take], k, rounds, rng)
+            centroids, _ = clustered(x[take], k)
             which, _ = kernels.nearest(x, centroids)
         which, d2 = kernels.nearest(x, centroids)
         rows_of_level = list(zip(range(len(x)), which.tolist(), d2.tolist(), strict=True))

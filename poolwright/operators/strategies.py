@@ -10,6 +10,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ from ..functions.kernels import matrix_of, squared_distances
 from ..functions.vectors import literal, negative_entropy, rounded, seeded, squared_distance
 from . import clustering, hierarchy
 from .pool import unlabeled
-from .scorers import Scorer, mean_of_passes
+from .scorers import Scorer
 
 PASSES = 10
 #: Places that scores are ranked by: beyond them engines differ.
@@ -72,9 +74,9 @@ def uncertainty_dropout(
 
 def disagreement(passes: DataFrame) -> DataFrame:
     """(id, score): mean entropy of the passes less the entropy of their mean, which is minus mutual information."""
-    own = passes.groupBy("id").agg(F.avg(-negative_entropy(F.col("p"))).alias("h2"))
-    mean = mean_of_passes(passes).select("id", (-negative_entropy(F.col("p"))).alias("h1"))
-    return own.join(mean, "id").select("id", (F.col("h2") - F.col("h1")).alias("score"))
+    mean = vector_to_array(Summarizer.mean(array_to_vector("p")))
+    both = passes.groupBy("id").agg(F.avg(-negative_entropy(F.col("p"))).alias("h2"), mean.alias("p"))
+    return both.select("id", (F.col("h2") + negative_entropy(F.col("p"))).alias("score"))
 
 
 def bald(pool: DataFrame, labels: DataFrame, n: int, scorer: Scorer, passes: int = PASSES, seed: int = 1) -> DataFrame:

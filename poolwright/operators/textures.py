@@ -79,6 +79,12 @@ def vctex(image: np.ndarray, hidden: tuple[int, ...] = VCTEX_HIDDEN) -> np.ndarr
 EXTRACTORS = {"ssrae": ssrae, "vctex": vctex}
 
 
+def feature_key(extractor: str) -> str:
+    """A name for an extractor with its parameters, for caches; KeyError for an unknown one."""
+    hidden = {"ssrae": (SSRAE_HIDDEN,), "vctex": VCTEX_HIDDEN}[extractor]
+    return f"{extractor}-w{WINDOW}-q{'-'.join(map(str, hidden))}"
+
+
 def extract_features(images: DataFrame, extractor: str = "ssrae") -> DataFrame:
     """(id, vec array<float>) from (id, height, width, pixels): pixels are bytes, RGB by row. Rows are independent.
 

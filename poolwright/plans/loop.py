@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import metrics, pool as state
-from ..operators.clustering import cut
+from ..operators.clustering import cut, shared_path
 from ..operators.scorers import Scorer
 from ..sources import results
+from ..sources.tables import checked_table
 from . import registry
 
 log = logging.getLogger("poolwright")
@@ -61,10 +62,17 @@ def learn(
     seed: int = 1,
     dataset: str = "pool",
     features: DataFrame | None = None,
+    images: DataFrame | None = None,
 ) -> Run:
     """Run a strategy for so many rounds from a labelled state. The state is cut from its lineage every round, so plans
-    do not grow; the scorer is fitted from scratch."""
+    do not grow; the scorer is fitted from scratch.
+
+    A strategy on texture features takes them from ``features`` or extracts them, once, from ``images`` (id, height,
+    width, pixels).
+    """
     choose = registry.strategy(strategy)
+    if features is None and images is not None and strategy in registry.FEATURES:
+        features = registry.features_for(strategy, images, shared_path(pool.sparkSession, "features"))
     run = Run(dataset, strategy, seed, labels.count(), n_query, n_round)
     labels = cut(labels)
     for round_no in range(n_round + 1):
@@ -108,7 +116,13 @@ def main(argv: list[str] | None = None) -> None:
     held = F.pmod(F.xxhash64("id"), F.lit(5)) == 0
     train, test = rows.where(~held), rows.where(held)
     labels = state.initial_labels(train, a.n_init_labeled, a.seed)
-    run = learn(train, test, a.strategy_name, registry.scorer(a.scorer), labels, a.n_query, a.n_round, a.seed, a.table)
+    images = None
+    if a.strategy_name in registry.FEATURES:
+        images = checked_table(spark, a.table, (a.id, "height", "width", "pixels"))
+        images = images.withColumnRenamed(a.id, "id").join(train.select("id"), "id", "left_semi")
+    run = learn(
+        train, test, a.strategy_name, registry.scorer(a.scorer), labels, a.n_query, a.n_round, a.seed, a.table, images=images
+    )
     results.write_run(run.result(), a.out)
 
 

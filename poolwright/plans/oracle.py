@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from math import log
+
 from .queries import K, N, PASSES, ROUNDS, SEED
 
+_SEED_ORDER = f"md5('{SEED}:' || id), id"
+
 _POOL = """
 pool AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: x::DOUBLE) AS vec FROM embeddings),
 lab AS (SELECT * FROM pool WHERE id % 5 = 0),
@@ -167,7 +171,106 @@ g2t AS (SELECT child AS parent, target FROM g2),"""
     + _allocate("low", "g2t", "g1", SEED + 1)
 )
 
-_SEED_ORDER = f"md5('{SEED}:' || id), id"
+
+
+def _farthest(n: int) -> str:
+    """Farthest-first picks unrolled."""
+    out = _POOL + """,
+d0 AS (SELECT u.id, u.vec, min(list_distance(u.vec, l.vec)) ** 2 AS d2 FROM unl u, lab l GROUP BY ALL)"""
+    for i in range(1, n + 1):
+        out += f""",
+p{i} AS MATERIALIZED (SELECT * FROM d{i - 1} ORDER BY round(d2, 6) DESC, id LIMIT 1),
+d{i} AS MATERIALIZED (SELECT d.id, d.vec, least(d.d2, list_distance(d.vec, p.vec) ** 2) AS d2 FROM d{i - 1} d, p{i} p WHERE d.id <> p.id)"""
+    picks = " UNION ALL ".join(f"SELECT * FROM p{i}" for i in range(1, n + 1))
+    return f"WITH {out} SELECT id, round(-sqrt(d2), 6) AS score FROM ({picks})"
+
+
+#: The least squared distance to a class boundary. For scores linear in the vector the first step lands on it.
+_BOUNDARY = _PREDICTED + """,
+g AS (SELECT z.id, (z.z - y.z) ** 2 / ((list_distance(mc.mean, my.mean) * 2 / CAST(0.1 AS DOUBLE)) ** 2) AS s
+      FROM z JOIN called c USING (id) JOIN z y ON y.id = z.id AND y.cls = c.predicted
+      JOIN m mc ON mc.cls = z.cls JOIN m my ON my.cls = y.cls WHERE z.cls <> y.cls),
+b AS (SELECT id, min(s) AS s FROM g GROUP BY id)"""
+
+#: Steps of 0.05 by the gradient's sign while the class is the first one, at most 100. Scores are 2 (mean . x) / 0.1 less
+#: mean . mean / 0.1; the gradient is the mean of the weights by probability less the predicted class's.
+_BIM = f"""WITH RECURSIVE {_MODEL.strip()},
+w AS MATERIALIZED (SELECT cls, list_transform(mean, lambda v: 20 * v) AS w, -10 * list_dot_product(mean, mean) AS o FROM m),
+steps AS (
+  SELECT 0 AS step, id, vec AS x, list_transform(vec, lambda v: 0.0::DOUBLE) AS eta,
+         (SELECT arg_max(cls, (list_dot_product(u.vec, w.w) + w.o, -cls)) FROM w) AS first, true AS same
+  FROM unl u
+  UNION ALL
+  SELECT step + 1, id, x,
+         CASE WHEN now = first THEN list_transform(eta, lambda v, i: v + 0.05 * sign(gradient[i])) ELSE eta END, first, now = first
+  FROM (
+    SELECT step, id, x, eta, first, any_value(now) AS now,
+           list(g ORDER BY d) AS gradient
+    FROM (
+      SELECT step, id, x, eta, first, now, d, sum(p * v) - any_value(v) FILTER (WHERE cls = now) AS g
+      FROM (
+        SELECT step, id, x, eta, first, cls, e / sum(e) OVER (PARTITION BY id) AS p,
+               arg_max(cls, (z, -cls)) OVER (PARTITION BY id) AS now, unnest(w) AS v, generate_subscripts(w, 1) AS d
+        FROM (
+          SELECT *, exp(z - max(z) OVER (PARTITION BY id)) AS e
+          FROM (SELECT s.*, cls, w, list_dot_product(list_transform(x, lambda v, i: v + eta[i]), w) + o AS z
+                FROM steps s, w WHERE same AND step < 100)))
+      GROUP BY ALL)
+    GROUP BY ALL))
+SELECT id, score FROM (
+  SELECT id, round(list_dot_product(arg_max(eta, step), arg_max(eta, step)), 6) AS score FROM steps GROUP BY id)
+ORDER BY score, id LIMIT {N}"""
+
+
+def _rounds(rows: str, rounds: int, name: str) -> str:
+    """Lloyd's rounds from the centroids ``name``0 (cid, vec)."""
+    out = ""
+    for i in range(rounds):
+        out += "," + _assign(f"{name}a{i}", f"{name}{i}", rows) + "," + _means(f"{name}a{i}", "cid", f"{name}m{i}") + f""",
+{name}{i + 1} AS MATERIALIZED (SELECT c.cid, coalesce(m.mean, c.vec) AS vec FROM {name}{i} c LEFT JOIN {name}m{i} m USING (cid))"""
+    return out
+
+
+def _plus_plus(k: int, rounds: int) -> str:
+    """Greedy k-means++ unrolled: rows of least -ln(u) / d2 are tried, the one that leaves the least potential stays."""
+    out = _POOL + f""",
+ch1 AS MATERIALIZED (SELECT 0 AS cid, vec FROM (SELECT * FROM unl ORDER BY md5('{SEED}:' || id), id LIMIT 1))"""
+    for n in range(1, k):
+        u = f"(('0x' || substr(md5('{SEED * 1000003 + n}:' || id), 1, 12))::BIGINT + 1) / 2.0::DOUBLE ** 48"
+        out += f""",
+at{n} AS MATERIALIZED (SELECT u.id, u.vec, min(list_distance(u.vec, c.vec)) ** 2 AS d2 FROM unl u, ch{n} c GROUP BY ALL),
+try{n} AS MATERIALIZED (SELECT id, vec, row_number() OVER (ORDER BY -ln({u}) / d2, id) AS nth FROM at{n} WHERE d2 > 0
+  ORDER BY nth LIMIT {2 + int(log(k))}),
+left{n} AS (SELECT t.nth, t.vec, sum(least(a.d2, list_distance(a.vec, t.vec) ** 2)) AS potential FROM at{n} a, try{n} t GROUP BY ALL),
+ch{n + 1} AS MATERIALIZED (SELECT * FROM ch{n} UNION ALL
+  SELECT {n}, vec FROM (SELECT * FROM left{n} ORDER BY potential, nth LIMIT 1))"""
+    out += f", k0 AS (SELECT * FROM ch{k})" + _rounds("unl", rounds, "k") + "," + _assign("a", f"k{rounds}")
+    return f"WITH {out} SELECT cid, count(*) AS n FROM a GROUP BY cid"
+
+
+def _hierarchy_first(low: int, high: int, rounds: int) -> str:
+    """Clusters of rows, and of their centroids; both start from the first ones."""
+    out = _POOL + f""",
+low0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY {_SEED_ORDER}) - 1 AS cid, vec FROM unl ORDER BY {_SEED_ORDER} LIMIT {low})"""
+    out += _rounds("unl", rounds, "low") + "," + _assign("bottom", f"low{rounds}")
+    out += f""",
+points AS (SELECT cid AS id, vec FROM low{rounds}), high0 AS (SELECT id AS cid, vec FROM points WHERE id < {high})"""
+    out += _rounds("points", rounds, "high") + "," + _assign("top", f"high{rounds}", "points")
+    return f"""WITH {out},
+s AS (SELECT 1 AS level, cid, count(*) AS size FROM bottom GROUP BY cid
+      UNION ALL SELECT 2, top.cid, count(*) FROM bottom JOIN top ON top.id = bottom.cid GROUP BY ALL)
+SELECT level, cid, size, row_number() OVER (PARTITION BY level ORDER BY size DESC, cid) AS place FROM s"""
+
+
+#: The congruential sequence in single precision, standardised.
+_LCG = """WITH RECURSIVE shapes AS (SELECT unnest([13, 5, 17]) AS q, unnest([9, 27, 27]) AS p),
+v AS (
+  SELECT q, p, q * (p + 1) AS n, 0 AS pos, (q * (p + 1) + 1)::FLOAT AS x FROM shapes
+  UNION ALL
+  SELECT q, p, n, pos + 1, (((n + 2)::FLOAT * x)::FLOAT + (n + 3)::FLOAT)::FLOAT % (n * n)::FLOAT FROM v WHERE pos + 1 < n)
+SELECT q, p, pos, round((x::DOUBLE - avg(x::DOUBLE) OVER w) / stddev_samp(x::DOUBLE) OVER w, 4) + 0.0::DOUBLE AS v
+FROM v WINDOW w AS (PARTITION BY q, p)"""
+
 
 ORACLE_SQL: dict[str, str] = {
     "pool_state_counts": f"""WITH {_POOL} SELECT (SELECT count(*) FROM lab) AS n_labeled, (SELECT count(*) FROM unl) AS n_unlabeled,
@@ -181,9 +284,9 @@ ORACLE_SQL: dict[str, str] = {
         WHERE (id % 5 = 0 OR id % 3 = 0) AND id % 2 <> 0""",
     "class_dictionary": "SELECT (row_number() OVER (ORDER BY name) - 1)::INT AS idx, name FROM (SELECT DISTINCT source AS name FROM documents WHERE source IS NOT NULL)",
     "feature_eviction": f"WITH {_POOL} SELECT id FROM unl WHERE id NOT IN (SELECT id FROM unl ORDER BY {_SEED_ORDER} LIMIT {N})",
-    "pixel_normalization": f"""WITH {_POOL} SELECT id, (d - 1)::INT AS pos, round((floor((v + 1) * 100) / 255
+    "pixel_normalization_whole": f"""WITH {_POOL} SELECT id, (d - 1)::INT AS pos, round((floor((v + 1) * 100) / 255
         - [0.485, 0.456, 0.406][(d - 1) % 3 + 1]::DOUBLE) / [0.229, 0.224, 0.225][(d - 1) % 3 + 1]::DOUBLE, 6) + 0.0::DOUBLE AS value
-        FROM (SELECT id, unnest(vec) AS v, generate_subscripts(vec, 1) AS d FROM pool) WHERE d <= 6""",
+        FROM (SELECT id, unnest(vec) AS v, generate_subscripts(vec, 1) AS d FROM pool)""",
     "class_prototypes": f"WITH {_MODEL} SELECT cls, (generate_subscripts(mean, 1) - 1)::INT AS dim, round(unnest(mean), 6) + 0.0::DOUBLE AS v FROM m",
     "predict_prob": f"WITH {_PROB} SELECT id, cls, round(p, 6) + 0.0::DOUBLE AS p FROM p",
     "predict_class": f"WITH {_PREDICTED} SELECT id, predicted FROM pred",
@@ -195,10 +298,10 @@ ORACLE_SQL: dict[str, str] = {
 own AS (SELECT id, avg(-{_ENTROPY}) AS h2 FROM pl GROUP BY id), both_h AS (SELECT id, h2 + {_ENTROPY} AS s FROM own JOIN mpl USING (id))""",
         "both_h", "s",
     ),
-    "pairwise_l2": f"""WITH {_POOL} SELECT a.id, b.id AS other, round(list_distance(a.vec, b.vec) ** 2, 6) + 0.0::DOUBLE AS distance
-        FROM pool a, pool b WHERE b.id < 20""",
-    "pairwise_cosine": f"""WITH {_POOL} SELECT a.id, b.id AS other, round(2 - 2 * list_dot_product(a.vec, b.vec), 6) + 0.0::DOUBLE AS distance
-        FROM pool a, pool b WHERE b.id < 20""",
+    "pairwise_l2_whole": f"""WITH {_POOL} SELECT a.id, b.id AS other, round(list_distance(a.vec, b.vec) ** 2, 6) + 0.0::DOUBLE AS distance
+        FROM pool a, pool b WHERE b.id % 20 = 0""",
+    "pairwise_cosine_whole": f"""WITH {_POOL} SELECT a.id, b.id AS other, round(2 - 2 * list_dot_product(a.vec, b.vec), 6) + 0.0::DOUBLE AS distance
+        FROM pool a, pool b WHERE b.id % 20 = 0""",
     "assign_clusters": f"WITH {_ASSIGNED} SELECT id, cid, round(d2, 6) + 0.0::DOUBLE AS d2 FROM a",
     "compute_centroids": f"WITH {_ASSIGNED},{_means('a', 'cid', 'mm')} SELECT cid, (generate_subscripts(mean, 1) - 1)::INT AS dim, round(unnest(mean), 6) + 0.0::DOUBLE AS v FROM mm",
     "sort_cluster_by_distance": f"""WITH {_ASSIGNED} SELECT cid, id, round(d2, 6) AS d2,
@@ -221,11 +324,7 @@ p2 AS (SELECT * FROM d1 ORDER BY round(d2, 6) DESC, id LIMIT 1),
 d2 AS (SELECT d.id, d.vec, least(d.d2, list_distance(d.vec, p.vec) ** 2) AS d2 FROM d1 d, p2 p WHERE d.id <> p.id),
 p3 AS (SELECT * FROM d2 ORDER BY round(d2, 6) DESC, id LIMIT 1)
 SELECT id, round(-sqrt(d2), 6) AS score FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3)""",
-    "deepfool_linear": f"""WITH {_PREDICTED},
-g AS (SELECT z.id, (z.z - y.z) ** 2 / ((list_distance(mc.mean, my.mean) * 2 / CAST(0.1 AS DOUBLE)) ** 2) AS s
-      FROM z JOIN called c USING (id) JOIN z y ON y.id = z.id AND y.cls = c.predicted
-      JOIN m mc ON mc.cls = z.cls JOIN m my ON my.cls = y.cls WHERE z.cls <> y.cls),
-b AS (SELECT id, min(s) AS s FROM g GROUP BY id)
+    "deepfool_linear": f"""WITH {_BOUNDARY}
 SELECT id, round(s, 10) AS score FROM b ORDER BY round(s, 10), id LIMIT {N}""",
     "hierarchy_flat_sizes": f"""WITH {_ASSIGNED}, s AS (SELECT 1 AS level, cid, count(*) AS size FROM a GROUP BY cid
         UNION ALL SELECT 2, cid % 2, count(*) FROM a GROUP BY ALL)
@@ -253,8 +352,14 @@ SELECT id, round(s, 10) AS score FROM b ORDER BY round(s, 10), id LIMIT {N}""",
     "report_pivot": f"""WITH {_RUNS} SELECT strategy, seed, {", ".join(f"round(max(value) FILTER (WHERE metric = '{m}'), 6) AS {m}" for m in ("acc", "precision", "recall", "f1"))}
         FROM l GROUP BY ALL""",
     "report_curves": f"WITH {_RUNS} SELECT metric, strategy, round, round(avg(value), 6) AS mean FROM runs GROUP BY ALL",
-    "index_export": f"""WITH {_POOL} SELECT 'train' AS split, id, label AS class_name, 'vec/' || id AS path FROM pool WHERE id % 5 = 0
-        UNION ALL SELECT 'test', id, label, 'vec/' || id FROM pool WHERE id % 5 = 1""",
+    "index_export_whole": f"""WITH {_POOL} SELECT CASE WHEN id % 10 = 1 THEN 'test' ELSE 'train' END AS split, id,
+        label AS class_name, 'vec/' || id AS path FROM pool""",
+    "kcenter_greedy_whole": _farthest(N),
+    "deepfool_iterative": f"""WITH {_BOUNDARY} SELECT id, round(s, 12) AS score FROM b ORDER BY round(s, 12), id LIMIT {N}""",
+    "adversarial_bim": _BIM,
+    "kmeans_plus_plus": _plus_plus(K, ROUNDS),
+    "hierarchical_kmeans_first": _hierarchy_first(20, 5, 5),
+    "texture_lcg_weights": _LCG,
 }
 for _name, _score in _SCORE.items():
     ORACLE_SQL[_name] = _least(_PROB, "pl", _score)

@@ -17,7 +17,7 @@ from ..operators import hierarchy as h
 from ..operators import metrics, pool, reports, strategies, textures
 from ..operators.scorers import PrototypeScorer, mean_of_passes
 from ..sources import results, tables
-from . import loop
+from . import loop, registry
 
 N, K, ROUNDS, SEED, PASSES = 10, 5, 3, 1, 10
 
@@ -110,11 +110,6 @@ def _pixels(spark: SparkSession, sf: str, vec: Column) -> DataFrame:
     return at.select("id", "pos", rounded(F.col("value")).alias("value"))
 
 
-@query
-def pixel_normalization(spark, sf):  # noqa: ANN001, ANN201
-    return _pixels(spark, sf, F.slice("vec", 1, 6))
-
-
 @query
 def pixel_normalization_whole(spark, sf):  # noqa: ANN001, ANN201
     return _pixels(spark, sf, F.col("vec"))
@@ -179,19 +174,6 @@ def bald_dropout(spark, sf):  # noqa: ANN001, ANN201
     return strategies.bald(_pool(spark, sf), _labels(spark, sf), N, _scorer(spark, sf), PASSES, SEED)
 
 
-def _pairs(distance: str) -> Query:
-    def pairs(spark: SparkSession, sf: str) -> DataFrame:
-        p = _pool(spark, sf)
-        out = c.pairwise(p, p.where("id < 20"), distance)
-        return out.select("id", "other", rounded(F.col("distance")).alias("distance"))
-
-    return pairs
-
-
-QUERIES["pairwise_l2"] = _pairs("l2")
-QUERIES["pairwise_cosine"] = _pairs("cos")
-
-
 def _pairs_whole(distance: str) -> Query:
     """Every row against every row whose id is divisible by 20: that set grows with the table."""
 
@@ -333,6 +315,12 @@ def hierarchical_kmeans_resampled(spark, sf):  # noqa: ANN001, ANN201
     return h.flat_sizes(levels)
 
 
+@query
+def hierarchical_kmeans_first(spark, sf):  # noqa: ANN001, ANN201
+    levels = h.hierarchical_kmeans(_unlabeled(spark, sf), (20, 5), 5, SEED, start="first")
+    return h.flat_sizes(levels)
+
+
 @query
 def hc_sampling(spark, sf):  # noqa: ANN001, ANN201
     return strategies.hierarchical_sampling(_unlabeled(spark, sf), N, (20, 5), (5, 2), 2, 5, SEED)
@@ -424,12 +412,6 @@ def _paths(spark: SparkSession, sf: str) -> DataFrame:
     return _pool(spark, sf).withColumn("path", F.concat(F.lit("vec/"), F.col("id")))
 
 
-@query
-def index_export(spark, sf):  # noqa: ANN001, ANN201
-    rows = _paths(spark, sf)
-    return results.index_export(rows.where("id % 5 = 0"), rows.where("id % 5 = 1"))
-
-
 @query
 def index_export_whole(spark, sf):  # noqa: ANN001, ANN201
     rows = _paths(spark, sf)
@@ -439,7 +421,8 @@ def index_export_whole(spark, sf):  # noqa: ANN001, ANN201
 @query
 def texture_lcg_weights(spark, sf):  # noqa: ANN001, ANN201
     rows = [(q, p, i, float(v)) for q, p in ((13, 9), (5, 27), (17, 27)) for i, v in enumerate(textures.hidden_weights(q, p).ravel())]
-    return spark.createDataFrame(rows, "q int, p int, pos int, v double")
+    rows = spark.createDataFrame(rows, "q int, p int, pos int, v double")
+    return rows.select("q", "p", "pos", rounded(F.col("v"), 4).alias("v"))
 
 
 def _images(spark: SparkSession, sf: str) -> DataFrame:
@@ -458,3 +441,18 @@ def ssrae_features(spark, sf):  # noqa: ANN001, ANN201
 @query
 def vctex_features(spark, sf):  # noqa: ANN001, ANN201
     return textures.extract_features(_images(spark, sf), "vctex")
+
+
+def _texture_sampling(strategy: str) -> Query:
+    """Features of every unlabelled image, written once for the extractor and its parameters, and rows chosen by them."""
+
+    def chosen(spark: SparkSession, sf: str) -> DataFrame:
+        features = registry.features_for(strategy, _images(spark, sf), c.shared_path(spark, "features"))
+        return registry.strategy(strategy)(None, None, N, None, features, SEED)
+
+    return chosen
+
+
+QUERIES["ssrae_kmeans_sampling"] = _texture_sampling("SSRAEKmeansSampling")
+QUERIES["vctex_kmeans_sampling"] = _texture_sampling("VCTexKmeansSampling")
+QUERIES["ssrae_kmeans_hc_sampling"] = _texture_sampling("SSRAEKmeansHCSampling")

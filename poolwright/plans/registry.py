@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from ..operators import strategies as s
+from ..operators import textures
 from ..operators.scorers import MLScorer, PrototypeScorer, Scorer
+from ..sources.tables import cached_features
 
 #: name -> function of (pool, labels, n, scorer, features, seed)
 STRATEGIES: dict[str, Callable[..., DataFrame]] = {
@@ -23,7 +25,11 @@ for _name in s.SCORES:
     STRATEGIES[f"{_name}Dropout"] = lambda pool, labels, n, scorer, features, seed, _n=_name: s.uncertainty_dropout(
         pool, labels, n, scorer, _n, seed=seed
     )
+#: strategy -> extractor of the features that it works on
+FEATURES: dict[str, str] = {}
 for _kind in ("SSRAE", "VCTex"):
+    for _how in ("KmeansSampling", "KmeansHCSampling"):
+        FEATURES[f"{_kind}{_how}"] = _kind.lower()
     STRATEGIES[f"{_kind}KmeansSampling"] = lambda pool, labels, n, scorer, features, seed: s.feature_kmeans_sampling(
         features, n, seed=seed, tries=10
     )
@@ -38,6 +44,16 @@ def strategy(name: str) -> Callable[..., DataFrame]:
     return STRATEGIES[name]
 
 
+def features_for(strategy: str, images: DataFrame, root: str) -> DataFrame:
+    """(id, vec): the features that a strategy works on, of all of (id, height, width, pixels).
+
+    They are extracted once and read from then on; the folder under ``root`` is named by the extractor and its parameters.
+    """
+    extractor = FEATURES[strategy]
+    features = cached_features(textures.extract_features(images, extractor), f"{root}/{textures.feature_key(extractor)}")
+    return features.select("id", features["vec"].cast("array<double>").alias("vec"))
+
+
 def scorer(name: str) -> Scorer:
     if name not in SCORERS:
         raise NotImplementedError(name)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.clustering import cut
+
 #: Side in pixels that the image sets of each name are resized to: fixed values.
 SIZES = {"daninhas": 128, "cifar10": 32}
 
@@ -26,7 +28,7 @@ def image_folder(spark: SparkSession, root: str, split: str, size: int | None =
     kind = "path string, height int, width int, pixels binary"
     rows = rows.mapInPandas(lambda parts: _rgb(parts, size), kind)
     ordered = rows.repartitionByRange("path").sortWithinPartitions("path")
-    numbered = _numbered(ordered)
+    numbered = _numbered(cut(ordered))  # written once: ranges are sampled anew each time they are made
     name = F.element_at(F.split("path", "/"), -2)
     return numbered.select("id", name.alias("name"), "path", "height", "width", "pixels")
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from poolwright.functions import kernels
-from poolwright.operators import clustering, strategies
+from poolwright.operators import clustering, strategies, textures
 from poolwright.plans import registry
 from poolwright.plans.queries import QUERIES
 
@@ -103,3 +103,58 @@ def test_best_of_ten_starts(spark, monkeypatch, name):
     rows = spark.createDataFrame([(i, [float(i)]) for i in range(10)], "id long, vec array<double>")
     got = registry.strategy(name)(None, None, 2, None, rows, 1).collect()
     assert asked == [10] and sorted(r["id"] for r in got) == [0, 9]
+
+
+def naive_weights(x, y, q, ridge):
+    """Ridge weights from the hidden layer to y, one product at a time."""
+    hidden = textures.hidden_weights(q, len(x)).astype(np.float64)
+    z = np.array([[-1.0] * x.shape[1]] + [[1 / (1 + np.exp(-(h[1:] @ x[:, i] - h[0]))) for i in range(x.shape[1])] for h in hidden])
+    return (y @ z.T) @ np.linalg.inv(z @ z.T + ridge * np.eye(q + 1))
+
+
+def naive_windows(channel):
+    height, width = channel.shape
+    at = lambda i, j: channel[min(max(i, 0), height - 1), min(max(j, 0), width - 1)]
+    places = [(i, j) for i in range(height) for j in range(width)]
+    return np.array([[at(i + a, j + b) for i, j in places] for a in (-1, 0, 1) for b in (-1, 0, 1)], dtype=np.float64)
+
+
+def naive_standard(rows):
+    return np.array([(r - r.mean()) / (np.sqrt(((r - r.mean()) ** 2).sum() / (len(r) - 1)) + 1e-3) for r in rows])
+
+
+def test_textures_by_hand():
+    image = np.random.default_rng(3).integers(0, 256, (7, 6, 3)).astype(np.uint8)
+    raw = [naive_windows(image[:, :, c]) for c in range(3)]
+    std = [naive_standard(r) for r in raw]
+    pairs = [(0, 0), (1, 1), (2, 2), (0, 1), (1, 2), (2, 0)]
+    want = np.hstack([naive_weights(std[a], std[b], 13, 1e-3) for a, b in pairs]).ravel()
+    assert np.allclose(textures.ssrae(image), want, rtol=2e-3, atol=2e-3)
+    x, y = np.vstack(std), np.vstack(raw)
+    want = np.concatenate([naive_weights(x, y, q, 1e3).ravel() for q in (5, 17)])
+    assert np.allclose(textures.vctex(image), want, rtol=1e-4, atol=1e-4)
+
+
+@tables_here
+@pytest.mark.parametrize("name", ["ssrae_kmeans_sampling", "vctex_kmeans_sampling", "ssrae_kmeans_hc_sampling"])
+def test_texture_strategies_choose_by_texture(spark, embeddings, name, monkeypatch):
+    seen = []
+    monkeypatch.setattr(registry, "features_for", lambda *args, f=registry.features_for: seen.append(f(*args)) or seen[-1])
+    ids = [r["id"] for r in QUERIES[name](spark, SF).collect()]
+    assert len(set(ids)) == len(ids) <= 10 and all(i % 5 for i in ids)
+    features = {r["id"]: np.array(r["vec"]) for r in seen[0].collect()}
+    assert sorted(features) == sorted(i for i in embeddings if i % 5)
+    if "hc" not in name:
+        centroids = clustering.kmeans(seen[0], 10, 10, 1, tries=10)
+        near = {min(features, key=lambda i: (round(((features[i] - m) ** 2).sum(), 6), i)) for m in centroids}
+        assert near == set(ids)
+
+
+def test_features_are_extracted_once(spark, tmp_path, monkeypatch):
+    pixels = bytes(np.random.default_rng(1).integers(0, 256, 5 * 5 * 3).astype(np.uint8))
+    images = spark.createDataFrame([(i, 5, 5, pixels) for i in range(3)], "id long, height int, width int, pixels binary")
+    first = registry.features_for("SSRAEKmeansSampling", images, str(tmp_path))
+    assert first.count() == 3 and len(first.first()["vec"]) == 756
+    again = registry.features_for("SSRAEKmeansHCSampling", images.limit(0), str(tmp_path))
+    other = registry.features_for("VCTexKmeansSampling", images, str(tmp_path))
+    assert again.count() == 3 and len(other.first()["vec"]) == 648
