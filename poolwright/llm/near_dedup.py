@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import WHITE, drop_path, work_path
+from .runtime import WHITE, dealt_join, drop_path, work_path
 
 SHINGLE = 5
 #: Weighted Jaccard similarity, as a fraction, from which two texts are near duplicates.
@@ -328,7 +328,8 @@ def _with_labels(members: DataFrame, labels: DataFrame) -> DataFrame:
 def _inside(tables: _Tables, members: DataFrame) -> DataFrame:
     """(key, uid, centre) for the nodes of each bucket of two or more, its centre, the least node, aside."""
     buckets = members.groupBy("key").agg(F.min("uid").alias("centre"), F.count(F.lit(1)).alias("size"))
-    return tables.put(members.join(buckets.where("size > 1").drop("size"), "key").where("uid <> centre"), "inside")
+    inside = dealt_join(members, buckets.where("size > 1").drop("size"), "key", F.col("uid"))
+    return tables.put(inside.where("uid <> centre"), "inside")
 
 
 def _stars(tables: _Tables, inside: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
@@ -357,13 +358,14 @@ def _rest(tables: _Tables, inside: DataFrame, labels: DataFrame, texts: DataFram
     """
     known = _with_labels(inside.select("key", "uid"), labels)
     classes = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    nodes = tables.put(known.join(classes.select("key"), "key").select("uid", "label").distinct(), "open")
+    known = dealt_join(known, classes.select("key"), "key", F.col("uid"))
+    nodes = tables.put(known.select("uid", "label").distinct(), "open")
     if not nodes.limit(1).count():
         return labels
     ids = nodes.select("uid")
     layers = tables.put(_needed(tables, ids, texts).mapInArrow(_layer_rows, "uid long, layer long"), "layers")
     shared = layers.groupBy("layer").agg(F.count(F.lit(1)).alias("nodes"))
-    ordered = layers.join(shared, "layer").groupBy("uid").agg(
+    ordered = dealt_join(layers, shared, "layer", F.col("uid")).groupBy("uid").agg(
         F.sort_array(F.collect_list(F.struct("nodes", "layer"))).alias("order")
     )
     n = F.size("order")
@@ -377,25 +379,30 @@ def _rest(tables: _Tables, inside: DataFrame, labels: DataFrame, texts: DataFram
         lists = per_class.groupBy("layer").agg(
             F.count(F.lit(1)).alias("classes"), F.max_by("label", F.struct("nodes", "label")).alias("largest")
         )
-        mixed = tables.put(now.join(lists.where("classes > 1").drop("classes"), "layer"), "mixed")
-        others = mixed
+        lists = lists.where("classes > 1").drop("classes")
+        mixed = tables.put(dealt_join(now, lists, "layer", F.col("uid")), "mixed")
+        few, others = mixed.where("label <> largest"), mixed
         if turn < REST_STARS:
             # most of what shares a rare layer is similar: one member of the largest class stands for it at first
             member = F.struct(F.xxhash64("uid", F.lit(turn)).alias("h"), "uid", "label", "n", "at")
             others = mixed.where("label = largest").groupBy("layer").agg(F.min(member).alias("m")).select("layer", "m.*")
-        pairs = _possible(mixed.where("label <> largest"), others)
+            few, others = others, few
+        pairs = _possible(few, others)
         labels = connect(tables, labels, _verify(tables, pairs, texts))
         tables.drop("mixed")
     return labels
 
 
 def _possible(few: DataFrame, others: DataFrame) -> DataFrame:
-    """Distinct pairs (x, y) of different classes that share a layer, where sizes and places let them be similar."""
+    """Distinct pairs (x, y) of different classes that share a layer, where sizes and places let them be similar.
+
+    The second table's rows of a frequent layer are dealt to several parts, each of which has the first one's.
+    """
     end = lambda rows, x: rows.select("layer", *[F.col(c).alias(f"{c}_{x}") for c in ("uid", "label", "n", "at")])
     least, most = F.least("n_x", "n_y"), F.greatest("n_x", "n_y")
     room = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
     could = (F.col("label_x") != F.col("label_y")) & (5 * least >= 4 * most) & (9 * room >= 4 * (least + most))
-    pairs = end(few, "x").join(end(others, "y"), "layer").where(could)
+    pairs = dealt_join(end(others, "y"), end(few, "x"), "layer", F.col("uid_y")).where(could)
     return pairs.select(F.least("uid_x", "uid_y").alias("x"), F.greatest("uid_x", "uid_y").alias("y")).distinct()
 
 

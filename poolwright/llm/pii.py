@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import WHITE, materialize
+from .runtime import WHITE, dealt_join, materialize
 
 #: What the base kinds look like, in the order in which spans of one start are listed. Possessive and anchored forms of
 #: the stated patterns: they match the same, in time linear in the text.
@@ -34,8 +34,6 @@ MIN_WEIGHT = 0.1
 CONFIDENT = 0.7
 #: Patterns up to which their keys, of 8 bytes, are broadcast to the scan that counts them.
 BROADCAST_PATTERNS = 1 << 20
-#: Parts that the edges of one pattern, or the places of one string, are dealt to before a join.
-SALTS = 8
 #: Letters and digits that an identifier has at least.
 MIN_IDENTIFIER_CHARS = 6
 
@@ -181,13 +179,6 @@ def _totals(texts: DataFrame, patterns: DataFrame, broadcast: bool) -> DataFrame
     return counted if broadcast else counted.join(patterns.select("pattern").hint("merge"), "pattern", "left_semi")
 
 
-def _dealt(many: DataFrame, few: DataFrame, on: str, by: Column, how: str = "inner") -> DataFrame:
-    """A join in which the rows of one key of the first table are dealt to ``SALTS`` parts. The second is unique by key."""
-    parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    many = many.withColumn("part", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
-    return many.join(few.withColumn("part", parts), [on, "part"], how).drop("part")
-
-
 def discover(spans: DataFrame, texts: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(instance) of the candidates whose contexts say that they are identifiers.
 
@@ -213,13 +204,13 @@ def discover(spans: DataFrame, texts: DataFrame, rounds: int = ROUNDS) -> DataFr
     total = F.greatest(F.coalesce("total", "n_all"), F.col("n_all"))
     patterns = shown.join(totals.hint("merge"), "pattern", "left").select("pattern", "n_all", total.alias("total"))
     patterns = materialize(patterns.where(F.col("n_all") >= MIN_WEIGHT * (F.col("total") + 1)), "pii-patterns")
-    edges = materialize(_dealt(edges, patterns.drop("n_all"), "pattern", F.col("instance")), "pii-graph")
+    edges = materialize(dealt_join(edges, patterns.drop("n_all"), "pattern", F.col("instance")), "pii-graph")
     seeds = edges.where("seed").groupBy("pattern").agg(F.count(F.lit(1)).alias("seeds"), F.sum("n").alias("of_seeds"))
     found = None
     for _ in range(rounds):
         told = edges.select("pattern", "total").distinct().join(seeds, "pattern", "left").fillna(0, ["seeds", "of_seeds"])
         if found is not None:
-            new = _dealt(edges.where("NOT seed"), found, "instance", F.col("pattern")).groupBy("pattern")
+            new = dealt_join(edges.where("NOT seed"), found, "instance", F.col("pattern")).groupBy("pattern")
             sums = new.agg(
                 F.sum(F.col("n") * F.col("confidence")).alias("more"),
                 F.count_if(F.col("confidence") >= CONFIDENT).alias("others"),
@@ -231,7 +222,7 @@ def discover(spans: DataFrame, texts: DataFrame, rounds: int = ROUNDS) -> DataFr
         weights = told.where(F.col("seeds") + F.col("others") >= MIN_SEEDS).select("pattern", weight.alias("weight"))
         weights = weights.where(F.col("weight") >= MIN_WEIGHT)
         best = lambda side: F.coalesce(F.max(F.when(side, F.col("weight"))), F.lit(0.0))
-        sides = _dealt(edges, weights, "pattern", F.col("instance")).groupBy("instance")
+        sides = dealt_join(edges, weights, "pattern", F.col("instance")).groupBy("instance")
         both = sides.agg(best(F.col("left")).alias("l"), best(~F.col("left")).alias("r"))
         confidence = 1 - (1 - F.col("l")) * (1 - F.col("r"))
         found = materialize(both.select("instance", confidence.alias("confidence")), "pii-round")
@@ -272,7 +263,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     base = spans.where(F.col("kind") < KINDS.index(FOUND))
     candidates = _trimmed(spans.where(F.col("kind") == KINDS.index(FOUND)))
     identifiers = discover(base.unionByName(candidates), docs.select(F.col(text_col).alias("text")))
-    added = _dealt(candidates.withColumn("instance", F.lower("match")), identifiers, "instance", F.col("uid"), "left_semi")
+    added = dealt_join(candidates.withColumn("instance", F.lower("match")), identifiers, "instance", F.col("uid"), "left_semi")
     columns = ["uid", "start", "kind", "end"]
     listed = base.select(*columns).unionByName(added.select(*columns))
     names = F.array(*[F.lit(kind) for kind in KINDS])

@@ -16,11 +16,13 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Where that is unset (tests on one machine), a temporary
-    folder is made once for the session and remembered in the session's own settings.
+    A cluster names it in ``spark.checkpoint.dir``. Only a local master may leave that unset (tests on one machine): a
+    temporary folder is then made once for the session and remembered in the session's own settings.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("poolwright.shared.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="poolwright-")
         spark.conf.set("poolwright.shared.dir", named)
         spark.sparkContext.setCheckpointDir(named)
@@ -48,6 +50,20 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Parts that the rows of one key are dealt to in :func:`dealt_join`.
+SALTS = 8
+
+
+def dealt_join(many: DataFrame, few: DataFrame, on: str, by: Column, how: str = "inner") -> DataFrame:
+    """A join on ``on`` in which the rows of a frequent key of ``many`` are dealt to ``SALTS`` parts, by ``by``.
+
+    Every row of ``few`` goes to each part, so pairs are those of the plain join.
+    """
+    parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    many = many.withColumn("__part", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    return many.join(few.withColumn("__part", parts), [on, "__part"], how).drop("__part")
+
+
 def words(text: Column) -> Column:
     """The words of a text, in order; none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WHITE), "")
