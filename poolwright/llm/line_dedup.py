@@ -106,7 +106,13 @@ class LineRuns:
                 drop_path(self.spark, path)
 
     def owners(self) -> DataFrame:
-        return self._union([run for level in self.levels for run in level])
+        """All runs, (h1, h2, owner), read as files from now on: nothing stays in the catalog, and nothing can be added."""
+        runs = [run for level in self.levels for run in level]
+        schema = self.spark.table(runs[0][0]).schema
+        for table, _ in runs:
+            self.spark.sql(f"DROP TABLE {table}")  # the files stay until the driver ends
+        self.levels = []
+        return self.spark.read.schema(schema).parquet(*[path for _, path in runs])
 
 
 def _batch_of(docs: DataFrame, batches: int) -> Column:
