@@ -147,6 +147,11 @@ def test_line_dedup(docs, empty, batches):
     assert dedup_lines(empty).count() == 0
 
 
+def test_line_runs_leave_nothing_in_the_catalog(spark, docs):
+    assert dedup_lines(docs, batches=5).count() == docs.count()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("line_run")]
+
+
 def test_fit_budget_is_exact_where_it_can_be():
     rng = np.random.default_rng(1)
     for _ in range(60):
@@ -422,3 +427,30 @@ def test_classifier(spark, docs, empty):
     assert quality_classifier.score_documents(table, one_class).where("predicted = 0").count() == 0
     none = quality_classifier.fit(empty, labels.limit(0))
     assert quality_classifier.score_documents(empty, none).count() == 0
+
+
+def test_classifier_learns_from_what_texts_are_made_of(spark):
+    """Texts of one shape, good or bad by their words alone; against a plain logistic fit on the same differences."""
+    rng = np.random.default_rng(5)
+    good, bad = [f"{c}{i}" for c in "abc" for i in range(40)], [f"{c}{i}" for c in "xyz" for i in range(40)]
+    make = lambda own, other: " ".join(rng.choice(own if rng.random() < 0.6 else other) for _ in range(60))
+    rows = [(i, make(good, bad) if i % 2 else make(bad, good)) for i in range(600)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = table.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    model = quality_classifier.fit(table, labels)
+    out = quality_classifier.score_documents(table, model).toPandas().sort_values("doc_id")
+    held, y = out.held_out.to_numpy(), out.doc_id.to_numpy() % 2 == 1
+    x = np.array([quality_classifier.text_features(t) for _, t in rows])
+    z = np.clip((x - x[~held].mean(axis=0)) / np.maximum(x[~held].std(axis=0), 1e-9), -6, 6)
+    plain = np.zeros(z.shape[1])
+    pairs = np.random.default_rng(6)
+    a, b = pairs.choice(np.flatnonzero(~held & y), 4000), pairs.choice(np.flatnonzero(~held & ~y), 4000)
+    for _ in range(3000):  # gradient descent
+        d = z[a] - z[b]
+        plain += 0.05 * ((1 / (1 + np.exp(d @ plain))) @ d / len(d) - quality_classifier.RIDGE * plain)
+    strength = model._standard(x) @ model.weights
+    def loss(s):  # of held-out pairs
+        gap = s[held & y][:, None] - s[held & ~y][None, :]
+        return np.log1p(np.exp(-gap)).mean()
+    assert loss(strength) < 0.2 and loss(strength) < 1.2 * loss(z @ plain) + 0.02
+    assert (out.predicted.to_numpy()[held] == y[held]).mean() > 0.9
