@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -406,3 +407,77 @@ def test_pipeline(spark, tmp_path):
     assert Counter(map(str, out.collect())) == Counter(map(str, seen["sentencepiece"].collect()))
     again = hashlib.sha256(str(sorted(ids("source_mixing").items())).encode()).hexdigest()
     assert len(again) == 64
+
+
+@needs_model
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Empty tables, nulls, repeated rows and columns named as an operator might name its own."""
+    import corpus_pipeline
+
+    words = " ".join(f"w{i}" for i in range(70))
+    rows = [(1, words, "en", "s", 9, "u", 1), (1, words, "en", "s", 9, "u", 1), (None, None, None, None, None, None, None), (2, "", "en", None, 0, "", 2)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, uid string, __nth int"
+    docs = spark.createDataFrame(rows, schema)
+    want = {"quality_rules": 2, "line_dedup": 4, "near_dedup": 3, "source_mixing": None, "sentencepiece": 4}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        n = out.count()
+        assert want[name] in (n, None) and stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+        if name != "sentencepiece":
+            assert out.columns == docs.columns
+    assert {r["doc_id"] for r in corpus_pipeline.mixing_stage(spark, docs, "").collect()} <= {1}
+
+
+def test_registered_queries_agree_with_their_sql(spark):
+    import duckdb
+
+    import __spark_entry__
+
+    sf, queries, sql = "/root/testdata/sf0.001", __spark_entry__.queries(), __spark_entry__.oracle_sql()
+    if not os.path.isdir(sf):
+        pytest.skip("the tables are not here")
+    con = duckdb.connect()
+    for table in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
+    for name in ("op3_quality_rules", "op4_exact_dedup", "op7_chat_format", "op9_line_dedup"):
+        df = queries[name](spark, sf)
+        columns = sorted(df.columns)
+        found = con.execute(sql[name])
+        at = [[d[0] for d in found.description].index(c) for c in columns]
+        assert Counter(map(tuple, df.select(*columns).collect())) == Counter(tuple(r[i] for i in at) for r in found.fetchall())
+
+
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def test_near_duplicates_on_plain_counters(spark):
+    """Classes by multisets of five-word tuples, without any code of the operator."""
+    rng = random.Random(11)
+    vocabulary = [f"v{i}" for i in range(900)]
+    rows = []
+    for family in range(12):
+        base = [rng.choice(vocabulary) for _ in range(rng.choice([6, 30, 90]))]
+        for _ in range(6):
+            copy = list(base)
+            for _ in range(rng.randrange(3)):
+                copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+            rows.append((len(rows), rng.choice([" ", "\n", "  "]).join(copy + copy[: rng.choice([0, 0, 20])])))
+    grams = []
+    for _, text in rows:
+        w = words_of(text)
+        grams.append(Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))))
+    parent = list(range(len(rows)))
+
+    def top(x):
+        return x if parent[x] == x else top(parent[x])
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both, either = (grams[i] & grams[j]).total(), (grams[i] | grams[j]).total()
+            if 5 * both >= 4 * either:
+                parent[max(top(i), top(j))] = min(top(i), top(j))
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["class_id"], r["class_size"]) for r in near_dedup.near_duplicates(table).collect()}
+    sizes = Counter(top(i) for i in range(len(rows)))
+    assert got == {i: (top(i), sizes[top(i)]) for i in range(len(rows))}
