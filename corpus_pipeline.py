@@ -1,7 +1,12 @@
 """A corpus pipeline of five stages over the documents table.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; what it returns is written as Parquet and read again as
-the next stage's docs. All but the last return the columns of documents.
+the next stage's docs. All but the last return the columns of documents, in their order, whatever their names.
+
+Null and empty texts have too few words for the quality rules, so only a stage that is called alone sees them: they are
+kept as one empty line, are nobody's near copies, weigh nothing in the mix, so it takes none, and have no pieces. Rows that
+repeat are near copies, of which one stays; null ids and null sources are ids and a source like any other. An empty table
+gives an empty table at every stage.
 """
 
 from __future__ import annotations
@@ -40,9 +45,10 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice. Rows that share an id are taken alike."""
     mix = mix_sources(docs).where("taken > 0")
-    times = mix.groupBy("doc_id").agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("__times"))
-    joined = docs.join(times, docs["doc_id"].eqNullSafe(times["doc_id"])).drop(times["doc_id"])
-    return joined.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    times = mix.groupBy(F.col("doc_id").alias("taken_id")).agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("times"))
+    rows = docs.select(F.col("doc_id").alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    joined = rows.join(times, F.col("id").eqNullSafe(F.col("taken_id")))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def tokenize_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
