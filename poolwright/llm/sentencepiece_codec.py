@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import threading
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 
@@ -16,8 +17,10 @@ from pyspark.sql import functions as F
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 #: A model goes to every task; larger files are refused.
 MAX_MODEL_BYTES = 64 << 20
-#: Remembered words (twice as many at most) and piece pairs, per Python worker.
-MAX_WORDS, MAX_PAIRS = 500_000, 1_000_000
+#: Remembered words (twice as many at most) and piece pairs, per Python worker: about 200 MB.
+MAX_WORDS, MAX_PAIRS = 300_000, 500_000
+#: Seconds that a worker without a task still remembers them.
+KEPT_SECONDS = 5.0
 #: Longer chunks are searched like any other and not remembered.
 REMEMBERED_CHARS = 48
 #: Characters that a class has at least to be told apart from the rest when a text is cut into chunks.
@@ -337,41 +340,68 @@ class StreamingViterbi:
         return pieces
 
 
-#: Of each model the codec, with the words and pairs it knows, for the tasks that a Python worker runs one after another.
-_CODECS: dict[str, SentencePieceCodec] = {}
-
-
-def _codec_of(model: PieceModel) -> SentencePieceCodec:
-    if model.digest not in _CODECS:
-        _CODECS.clear()
-        _CODECS[model.digest] = SentencePieceCodec(model)
-    return _CODECS[model.digest]
+class _Kept:
+    """The codec of a model, with the words and pairs it knows, for the tasks that a worker runs one after another."""
+
+    def __init__(self):
+        self.codec: SentencePieceCodec | None = None
+        self.digest = ""
+        self.timer: threading.Timer | None = None
+
+    def take(self, model: PieceModel) -> SentencePieceCodec:
+        if self.timer:
+            self.timer.cancel()
+        codec = self.codec  # the timer may still run
+        if codec is None or self.digest != model.digest:
+            codec = self.codec = SentencePieceCodec(model)
+            self.digest = model.digest
+        return codec
+
+    def leave(self) -> None:
+        """No task needs it now; unless one comes soon, its memory is given back."""
+        self.timer = threading.Timer(KEPT_SECONDS, self.forget)
+        self.timer.daemon = True
+        self.timer.start()
+
+    def forget(self) -> None:
+        self.codec = None
+
+
+_KEPT = _Kept()
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], codec: SentencePieceCodec) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        start, size, ids, whole = 0, 0, [], []
+        for i in range(batch.num_rows):
+            text = batch.column(1)[i].as_py() or ""
+            ids.append(codec.encode(text))
+            whole.append(codec.decode(ids[-1]) == text.replace(SPACE, " "))
+            size += ids[-1].nbytes
+            if size >= BATCH_BYTES or i == batch.num_rows - 1:
+                lengths = [len(x) for x in ids]
+                offsets = pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32))
+                flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32))
+                yield pa.record_batch(
+                    [
+                        batch.column(0).slice(start, i + 1 - start),
+                        pa.array(lengths, pa.int64()),
+                        pa.ListArray.from_arrays(offsets, flat),
+                        pa.array(whole, pa.bool_()),
+                    ],
+                    names=["id", "n_ids", "ids", "round_trip"],
+                )
+                start, size, ids, whole = i + 1, 0, [], []
 
 
 def _encoder(model: PieceModel) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec_of(model)
-        for batch in batches:
-            start, size, ids, whole = 0, 0, [], []
-            for i in range(batch.num_rows):
-                text = batch.column(1)[i].as_py() or ""
-                ids.append(codec.encode(text))
-                whole.append(codec.decode(ids[-1]) == text.replace(SPACE, " "))
-                size += ids[-1].nbytes
-                if size >= BATCH_BYTES or i == batch.num_rows - 1:
-                    lengths = [len(x) for x in ids]
-                    offsets = pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32))
-                    flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32))
-                    yield pa.record_batch(
-                        [
-                            batch.column(0).slice(start, i + 1 - start),
-                            pa.array(lengths, pa.int64()),
-                            pa.ListArray.from_arrays(offsets, flat),
-                            pa.array(whole, pa.bool_()),
-                        ],
-                        names=["id", "n_ids", "ids", "round_trip"],
-                    )
-                    start, size, ids, whole = i + 1, 0, [], []
+        from poolwright.llm.sentencepiece_codec import _KEPT  # the worker's, not a copy that came with this function
+
+        try:
+            yield from _encoded(batches, _KEPT.take(model))
+        finally:
+            _KEPT.leave()
 
     return encoded
 
@@ -403,7 +433,7 @@ def decode_documents(encoded: DataFrame, ids_col: str = "ids", model_file: str =
 
     @F.pandas_udf("string")
     def decoded(column):  # noqa: ANN001, ANN202
-        codec = _codec_of(model)
+        codec = SentencePieceCodec(model)
         return column.map(lambda x: "" if x is None else codec.decode(np.asarray(x, dtype=np.int64)))
 
     return encoded.withColumn("text", decoded(F.col(ids_col)))
