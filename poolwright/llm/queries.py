@@ -123,7 +123,7 @@ def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = lambda spans: F.array_join(
         F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ","
     )
-    kinds = F.array(*[F.lit(k) for k in SECRET_KINDS])
+    kinds = F.array(*[F.lit(k) for k in (*SECRET_KINDS, ENTROPY)])
     order = lambda x: F.array_position(kinds, x["kind"]).cast("int")
     both = F.array_sort(
         F.concat("base", "found"),
@@ -290,7 +290,7 @@ o AS (
 r AS (
   SELECT n, 3 AS kind, p + min(k) AS s, p + max(k) + {WINDOW} AS e
   FROM (SELECT *, sum(opens::INT) OVER (PARTITION BY n, p ORDER BY k) AS g FROM o) GROUP BY n, p, g),
-a AS (SELECT * FROM b UNION ALL SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.n = r.n AND b.s < r.e AND b.e > r.s)),
+a AS (SELECT * FROM b UNION ALL SELECT * FROM r WHERE e - s - coalesce((SELECT sum(least(b.e, r.e) - greatest(b.s, r.s)) FROM b WHERE b.n = r.n AND b.s < r.e AND b.e > r.s), 0) >= {WINDOW}),
 t AS (
   SELECT n, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
          count(*) FILTER (WHERE kind = 3) AS n_entropy, string_agg(x, ',' ORDER BY s, kind) FILTER (WHERE kind < 3) AS base, string_agg(x, ',' ORDER BY s, kind) AS spans

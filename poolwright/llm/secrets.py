@@ -196,7 +196,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A candidate is a longest string of letters, digits and ``+/_=-`` of ``WINDOW`` or more; its windows of ``WINDOW``
     characters are hot from as many bits as their characters call for (``HEX_BITS``, ``WORD_BITS``, ``MIXED_BITS``),
     and the stretches that hot windows cover are found. Candidates that match one of the patterns ``allowed`` are not, nor
-    are stretches that overlap a base span, which stands already.
+    are stretches of which the base spans, which stand already, leave fewer than ``WINDOW`` characters.
 
     Null text is empty; ids may be null or repeat, a row in is a row out. An empty table gives an empty result; other
     columns are not read. Nothing is shuffled, and no Python runs.
@@ -211,7 +211,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     no_secret = lambda c: F.greatest(*[c["text"].rlike(p) for p in (OF_BASE, *allowed)])
     candidates = F.filter("__candidates", lambda c: ~no_secret(c))
     found = F.flatten(F.transform(candidates, _entropy_spans))
-    apart = lambda x: ~F.exists("__base", lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]))
+    shared = lambda x, b: F.greatest(F.lit(0), F.least(x["end"], b["end"]) - F.greatest(x["start"], b["start"]))
+    apart = lambda x: x["end"] - x["start"] - F.aggregate("__base", F.lit(0), lambda n, b: n + shared(x, b)) >= WINDOW
     names = F.array(*[F.lit(k) for k in KINDS])
     named = lambda spans: F.transform(
         spans, lambda x: F.struct(x["start"].alias("start"), F.get(names, x["kind"]).alias("kind"), x["end"].alias("end"), x["text"].alias("text"))
