@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .runtime import materialize, words
+from .runtime import count_words, materialize
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MAX_EPOCHS = 2
 SEED = 17
-#: Budget that the dynamic programme takes over at most, in lengths of the longest document: a bound on its memory.
-DP_LENGTHS = 8
+#: Words that the dynamic programme covers: so many, and at least so many lengths of the longest document.
+WINDOW_WORDS, WINDOW_LENGTHS = 1 << 20, 12
 #: Rows of a plan, one for each source and length, up to which it is broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 50_000
 #: Parts that a source's documents of one length are dealt to where the plan is shuffled.
@@ -62,35 +62,13 @@ def source_targets(
     )
 
 
-def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, capacity: int | None = None) -> np.ndarray:
-    """How many documents of each length to take so that their words come as near to ``budget`` from below as found.
-
-    ``lengths`` are distinct and positive, ``counts`` bound the answer. A proportional share of every length comes
-    first. What remains of the budget is a bounded subset sum over the remaining counts, solved exactly: dynamic
-    programming over attainable sums, each length's remaining count split into powers of two. It ends as soon as the
-    budget itself is attained.
-
-    The programme takes over at most ``capacity`` words, by default ``DP_LENGTHS`` times the longest length and never
-    less than that length: five bytes a word. Where more remains, which takes more than ``DP_LENGTHS`` documents, single
-    documents evenly spread over the lengths come before it, until half of the capacity remains. So at least as many
-    words are still free to choose from, of all lengths.
-    """
-    take = np.zeros(len(lengths), dtype=np.int64)
-    total = int((lengths * counts).sum())
-    if budget <= 0 or total == 0:
-        return take
-    if budget >= total:
-        return counts.astype(np.int64).copy()
-    # integer arithmetic: counts * budget may pass 2**63
-    take[:] = [int(c) * budget // total for c in counts]
-    left = budget - int((lengths * take).sum())
-    longest = int(lengths.max())
-    capacity = max(longest, DP_LENGTHS * longest if capacity is None else capacity)
+def _spread(lengths: np.ndarray, counts: np.ndarray, take: np.ndarray, left: float, window: int) -> float:
+    """Adds single documents, evenly spread over the lengths, until at most ``window`` words are left; gives what is."""
     order = np.argsort(-lengths, kind="stable")
-    while left > capacity:
+    while left > window:
         # one document of each length that has some left, or of as many as make up the share of their words that is wanted
         single = order[take[order] < counts[order]]
-        of_all, wanted = int(lengths[single].sum()), left - capacity // 2
+        of_all, wanted = int(lengths[single].sum()), left - window // 2
         chosen, passed, taken = [], 0, 0
         for i in single.tolist():
             length = int(lengths[i])
@@ -100,29 +78,60 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, capacity: i
                 taken += length
         take[chosen] += 1
         left -= taken
-    came = np.full(left + 1, -1, dtype=np.int32)
-    reached = np.zeros(left + 1, dtype=bool)
-    reached[0] = True
+    return left
+
+
+def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: float, window: int | None = None) -> np.ndarray:
+    """How many documents of each length to take so that their words come as near to ``budget`` as can be.
+
+    ``lengths`` are distinct and positive, ``counts`` bound the answer. A bounded subset sum, solved exactly: dynamic
+    programming over attainable sums, kept as the bits of a number, each length's count split into powers of two. Of
+    sums equally near the lesser one is taken. It ends as soon as no sum can be nearer.
+
+    The programme covers ``window`` words, by default ``WINDOW_WORDS`` and at least ``WINDOW_LENGTHS`` times the longest
+    length, at a few bytes a word. Of a larger budget only what passes the window is given away before, as a
+    proportional share of every length and single documents evenly spread over them; all others are free to choose from.
+    """
+    take = np.zeros(len(lengths), dtype=np.int64)
+    total = int((lengths * counts).sum())
+    if budget <= 0 or total == 0:
+        return take
+    if budget >= total:
+        return counts.astype(np.int64).copy()
+    longest, unit = int(lengths.max()), int(np.gcd.reduce(lengths))
+    window = max(window or WINDOW_WORDS, WINDOW_LENGTHS * longest)
+    # integer arithmetic: counts * budget may pass 2**63
+    beyond = max(0, int(budget) - window)
+    take[:] = [int(c) * beyond // total for c in counts]
+    left = _spread(lengths, counts, take, budget - int((lengths * take).sum()), window)
+
+    # sums in units of what divides all lengths; a document more than needed is never nearer than a longest length above
+    below, size = int(left // unit), int(left // unit) + longest // unit + 1
+    nearest = min((abs(left - k * unit), k) for k in (below, below + 1))[1]
+    came, whole, reached = np.full(size, -1, dtype=np.int32), (1 << size) - 1, 1
     parts: list[tuple[int, int]] = []
-    for i in order:
-        spare, unit = int(counts[i] - take[i]), int(lengths[i])
-        spare, many = min(spare, left // unit), 1
-        while spare > 0 and not reached[left]:
+    for i in np.argsort(-lengths, kind="stable"):
+        length, many = int(lengths[i]) // unit, 1
+        spare = min(int(counts[i] - take[i]), size // length)
+        while spare > 0 and not reached >> nearest & 1:
             some = min(many, spare)
-            step = some * unit
-            new = reached.copy()
-            new[step:] |= reached[:-step]
-            fresh = new & ~reached
-            came[fresh] = len(parts)
-            parts.append((int(i), some))
-            reached, spare, many = new, spare - some, many * 2
-        if reached[left]:
-            break
-    at = int(np.flatnonzero(reached)[-1])
+            fresh = (reached << some * length) & whole & ~reached
+            if fresh:
+                words = np.frombuffer(fresh.to_bytes(-(-size // 64) * 8, "little"), dtype="<u8")
+                at = np.flatnonzero(words)
+                bit = np.unpackbits(words[at].view(np.uint8), bitorder="little").reshape(len(at), 64)
+                row, column = np.nonzero(bit)
+                came[at[row] * 64 + column] = len(parts)
+                parts.append((int(i), some))
+                reached |= fresh
+            spare, many = spare - some, many * 2
+    found = np.flatnonzero(came >= 0)
+    found = np.concatenate([[0], found[found > 0]])
+    at = int(found[np.argmin(np.abs(left - found * float(unit)))])
     while at:
         i, some = parts[came[at]]
         take[i] += some
-        at -= some * int(lengths[i])
+        at -= some * (int(lengths[i]) // unit)
     return take
 
 
@@ -157,7 +166,7 @@ def mix_sources(
             F.col(id_col).alias("id"),
             F.col(source_col).cast("string").alias("source"),
             F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n")).alias("source_key"),
-            F.size(words(F.col(text_col))).cast("long").alias("size"),
+            count_words(F.col(text_col)).alias("size"),
         ).withColumn("rank_hash", F.xxhash64(F.lit(seed), F.col("id"))),
         "sizes",
     )
@@ -170,7 +179,7 @@ def mix_sources(
         passes = int(target // source_size) if source_size else 0
         extra = np.zeros(len(group), dtype=np.int64)
         some = size > 0
-        extra[some] = fit_budget(size[some], n[some], int(target) - passes * source_size)
+        extra[some] = fit_budget(size[some], n[some], target - passes * source_size)
         return group.assign(passes=passes, extra=extra)
 
     plan = materialize(

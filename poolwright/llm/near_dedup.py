@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from functools import cache
+from collections.abc import Callable, Iterator
+from functools import cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import WHITE, drop_path, work_path
+from .runtime import WHITE, drop_path, give_back, work_path
 
 SHINGLE = 5
 #: Weighted Jaccard similarity, as a fraction, from which two texts are near duplicates.
@@ -164,6 +164,23 @@ def _word_hashes() -> WordHashes:
     return WordHashes()
 
 
+_Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def _lent(task: _Task) -> _Task:
+    """The task, after which its worker keeps no word hashes and no freed memory: it may idle while others need it."""
+
+    @wraps(task)
+    def lent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            _word_hashes.cache_clear()
+            give_back()
+
+    return lent
+
+
 def _layers_of(text: str | None) -> np.ndarray:
     return shingle_layers(_word_hashes()(text_words(text or "")))
 
@@ -174,6 +191,7 @@ def _long_lists(lists: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
 
 
+@_lent
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """uid, id, text and more -> the same, the digest of the words (null without any) and the bands."""
     for batch in batches:
@@ -204,6 +222,7 @@ def _slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator
         start = end
 
 
+@_lent
 def _layer_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """uid, text -> (uid, layer) for each layer."""
     for batch in batches:
@@ -213,6 +232,7 @@ def _layer_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(uid), pa.array(layers.view(np.int64))], names=["uid", "layer"])
 
 
+@_lent
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """x, y, text_x, text_y -> the pairs (x, y) that are similar. Texts met again are seldom taken apart again."""
     known: dict[int, np.ndarray] = {}

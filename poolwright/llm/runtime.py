@@ -69,6 +69,27 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WHITE), "")
 
 
+def count_words(text: Column) -> Column:
+    """How many words a text has (long), without a list of them; 0 for null."""
+    white, word = WHITE.replace("+", "*+"), WHITE.replace("[", "[^").replace("+", "++")
+    marks = F.regexp_replace(text, white + word + white, "x")
+    return F.when(text.rlike(word), F.length(marks).cast("long")).otherwise(F.lit(0).cast("long"))
+
+
+def give_back() -> None:
+    """Lets a Python worker that may now idle give memory that it has freed back to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim:
+        trim(0)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else. Pure ASCII takes the fast path: there lower() does just that."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(

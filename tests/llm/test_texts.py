@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from poolwright.llm import mixing, pii, quality_classifier, quality_rules
 from poolwright.llm.exact_dedup import exact_dedup
 from poolwright.llm.line_dedup import dedup_lines
+from poolwright.llm.runtime import count_words
 
 SCHEMA = "doc_id long, text string, source string, n_lines int, uid string, id string, label string"
 PROSE = " ".join(f"word{i} of text" for i in range(30))
@@ -38,6 +40,12 @@ def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
 
+def test_words_are_counted_without_lists(spark):
+    texts = [*TEXTS, " ", "\t a\x0b\x0cb\r\n", "x", " x", "x ", "a\xa0b c\u3000d\x1ce"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert [r[0] for r in df.select(count_words(F.col("text"))).collect()] == [len(words(t)) for t in texts]
+
+
 def statistics(text):
     w = words(text)
     grams = Counter(zip(w, w[1:], w[2:]))
@@ -152,52 +160,59 @@ def test_line_runs_leave_nothing_in_the_catalog(spark, docs):
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("line_run")]
 
 
-def test_fit_budget_is_exact_where_it_can_be():
+def attainable(lengths, counts):
+    sums = {0}
+    for length, n in zip(lengths.tolist(), counts.tolist()):
+        sums = {s + k * length for s in sums for k in range(n + 1)}
+    return sums
+
+
+def check_fit(lengths, counts, budget, **options):
+    take = mixing.fit_budget(lengths, counts, budget, **options)
+    assert ((0 <= take) & (take <= counts)).all()
+    return int((lengths * take).sum())
+
+
+def test_fit_budget_is_as_near_as_can_be():
     rng = np.random.default_rng(1)
-    for _ in range(60):
-        lengths = np.sort(rng.choice(np.arange(1, 60), 6, replace=False))
-        counts = rng.integers(1, 5, 6)
-        budget = int(rng.integers(0, (lengths * counts).sum() + 3))
-        take = mixing.fit_budget(lengths, counts, budget)
-        assert ((0 <= take) & (take <= counts)).all() and (lengths * take).sum() <= budget
-        rest, left = counts * (lengths * counts).sum() * 0, budget
-        base = np.array([int(c) * budget // max(1, int((lengths * counts).sum())) for c in counts])
-        if budget < (lengths * counts).sum():
-            left, rest, sums = budget - int((lengths * base).sum()), counts - base, {0}
-            for length, n in zip(lengths, rest):
-                sums |= {s + k * int(length) for s in sums for k in range(int(n) + 1)}
-            assert (lengths * take).sum() == budget - left + max(s for s in sums if s <= left)
-    assert mixing.fit_budget(np.array([3]), np.array([10**6]), 10**6, capacity=10).sum() == 333333
-
-
-def test_fit_budget_of_long_documents():
+    for _ in range(1500):
+        n = int(rng.integers(1, 7))
+        lengths = np.sort(rng.choice(np.arange(1, 60), n, replace=False))
+        counts = rng.integers(1, 5, n)
+        budget = float(rng.integers(0, 2 * (lengths * counts).sum() + 6)) / 2
+        best = min(abs(s - budget) for s in attainable(lengths, counts))
+        assert abs(check_fit(lengths, counts, budget) - budget) == best
+    for lengths, counts, budget, want in (([1, 52], [3, 1], 53, 53), ([10, 58], [3, 1], 76, 78), ([31, 52], [3, 1], 55, 52), ([40], [2], 72.5, 80), ([3], [10**6], 10**6, 999999)):
+        assert check_fit(np.array(lengths), np.array(counts), budget) == want
+
+
+def test_fit_budget_of_few_long_documents():
     rng = np.random.default_rng(6)
-    assert (mixing.fit_budget(np.array([90000, 80000, 70000]), np.ones(3, int), 150000) == [0, 1, 1]).all()
-    assert (mixing.fit_budget(np.array([60000, 50001, 49999]), np.ones(3, int), 100000) == [0, 1, 1]).all()
     for _ in range(40):
-        lengths = np.unique(rng.integers(60_000, 300_000, int(rng.integers(2, 12))))
-        budget = int(rng.integers(1, lengths.sum()))
-        sums = {0}
-        for length in lengths:
-            sums |= {s + int(length) for s in sums}
-        take = mixing.fit_budget(lengths, np.ones(len(lengths), int), budget)
-        got = int((lengths * take).sum())
-        assert ((0 <= take) & (take <= 1)).all() and got <= budget
-        if budget <= mixing.DP_LENGTHS * lengths.max():
-            assert got == max(s for s in sums if s <= budget)
-
-
-@pytest.mark.parametrize("capacity", [None, 1])
-def test_fit_budget_of_many_lengths(capacity):
+        lengths = np.unique(rng.integers(60_000, 300_000, int(rng.integers(1, 11))))
+        ones, budget = np.ones(len(lengths), int), float(rng.integers(1, lengths.sum()))
+        best = min(abs(s - budget) for s in attainable(lengths, ones))
+        assert abs(check_fit(lengths, ones, budget) - budget) == best
+
+
+def test_fit_budget_of_many_lengths():
+    """Beyond the window too: with many documents to choose from a budget is met."""
     rng = np.random.default_rng(7)
     for n, longest, most in ((400, 5000, 1), (900, 2000, 3), (50, 60, 200)):
         lengths = rng.choice(np.arange(1, longest), n, replace=False)
         counts = rng.integers(1, most + 1, n)
         for share in (0.001, 0.2, 0.5, 0.9):
             budget = int((lengths * counts).sum() * share)
-            take = mixing.fit_budget(lengths, counts, budget, capacity)
-            assert ((0 <= take) & (take <= counts)).all()
-            assert 0 <= budget - (lengths * take).sum() <= (0 if capacity is None else lengths.min() + 1)
+            assert check_fit(lengths, counts, budget) == check_fit(lengths, counts, budget, window=1) == budget
+
+
+def test_fit_budget_takes_no_time():
+    even, odd_budget = np.arange(2, 40_002, 2), 200_000_001
+    begun = time.process_time()
+    assert abs(check_fit(even, np.ones(len(even), int), odd_budget) - odd_budget) == 1
+    lengths = np.random.default_rng(1).choice(np.arange(500_000, 1_000_000), 2000, replace=False)
+    assert abs(check_fit(lengths, np.ones(2000, int), 7.3e8) - 7.3e8) <= 1
+    assert time.process_time() - begun < 5
 
 
 def test_long_plans_are_shuffled(spark, docs, monkeypatch):
