@@ -197,6 +197,7 @@ def closed_itemsets(pairs: DataFrame, items: DataFrame, min_support: int, task_c
     rows = materialize(_rows(pairs, items).withColumn("id", F.lit(-1).cast("long")), "rows")
     none = "cast(array() as array<struct<item:long,witness:array<long>>>)"
     root = spark.range(1).selectExpr("cast(-1 as bigint) AS id", "cast(array() as array<bigint>) AS intent", "cast(-1 as bigint) AS last", f"{none} AS failed")
+    root = materialize(root, "root")
     own = items.select(F.lit(-1).cast("long").alias("id"), F.col("code").alias("a"), F.col("code").alias("b"), F.col("support").alias("n"))
     done, concepts = [], root
     while True:

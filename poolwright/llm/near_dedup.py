@@ -24,6 +24,8 @@ SEED = 0
 SIGNED_TOGETHER = 200_000
 #: Rounds in which one member stands for the largest class of a list, before all are paired with it.
 REST_STARS = 2
+#: Rounds after those, over every so many-th layer by hash, before all are gone through.
+REST_PARTS = (32, 8)
 #: Weight layers of texts that verification remembers per task.
 REMEMBERED = 4_000_000
 #: Ids (of 8 bytes) that may be broadcast, by a count made first, so that only their texts are shuffled. With more,
@@ -372,8 +374,9 @@ def _rest(tables: _Tables, inside: DataFrame, labels: DataFrame, texts: DataFram
     the rarest first. Nodes of n and m layers that are similar have at least 4/9 (n + m) in common, thus one of the
     first n - ceil(0.8 n) + 1 of each; and if the first such stands at places i and j, then no more than
     min(n - i, m - j). Rare layers are shared by close relatives only. Nothing is paired within the largest class of a
-    layer, only the others with all; and first in rounds in which one member stands for the largest class, so that most
-    of what is similar is of one class by the time all are paired.
+    layer, only the others with all; and first in rounds in which one member stands for the largest class, then in rounds
+    over a part of the layers. Similar nodes share many layers, so most of them are of one class, and no pair any more, by
+    the time all layers are gone through.
     """
     known = _with_labels(inside.select("key", "uid"), labels)
     classes = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
@@ -391,8 +394,8 @@ def _rest(tables: _Tables, inside: DataFrame, labels: DataFrame, texts: DataFram
     posts = ordered.select("uid", n.alias("n"), F.posexplode(prefix).alias("at", "x")).where("x.nodes > 1")
     posts = tables.put(posts.select(F.col("x.layer").alias("layer"), "uid", "n", "at"), "posts")
     tables.drop("layers")
-    for turn in range(REST_STARS + 1):
-        now = _with_labels(posts, labels)
+    for turn, part in enumerate((*[1] * REST_STARS, *REST_PARTS, 1)):
+        now = _with_labels(posts.where(F.pmod(F.xxhash64("layer"), F.lit(part)) == 0), labels)
         per_class = now.groupBy("layer", "label").agg(F.count(F.lit(1)).alias("nodes"))
         lists = per_class.groupBy("layer").agg(
             F.count(F.lit(1)).alias("classes"), F.max_by("label", F.struct("nodes", "label")).alias("largest")
