@@ -24,6 +24,21 @@ def matrix_of(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Every bit of the result depends on every bit of a number: multiplications and shifts, modulo 2**64."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+    return x ^ (x >> np.uint64(33))
+
+
+def hashed_uniform(seed: int, step: int, ids: np.ndarray, width: int) -> np.ndarray:
+    """For each id ``width`` numbers from 0 to below 1 that depend on seed, step and id alone."""
+    base = _mixed(np.array([seed % 2**64], np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(step))
+    row = _mixed(ids.astype(np.int64).view(np.uint64) + base)
+    cell = _mixed(row[:, None] + np.arange(1, width + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return (cell >> np.uint64(11)) * 2.0**-53
+
+
 def squared_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """All pairs, by expansion, never below zero."""
     d = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * (x @ y.T)

@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
@@ -137,22 +138,109 @@ def farthest_first_centroids(rows: DataFrame, k: int, seed: int) -> np.ndarray:
     return kernels.checked(chosen)
 
 
-def kmeans_plus_plus(rows: DataFrame, k: int, seed: int) -> np.ndarray:
+def _lowered(rows: DataFrame, centres: np.ndarray) -> DataFrame:
+    """(id, vec, d2): the squared distance to the nearest centre, or what d2 says already if that is less."""
+    known = "d2" in rows.columns
+
+    def lowered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = kernels.matrix_of(batch.column(1))
+            d2 = batch.column(2).to_numpy() if known else np.full(len(x), np.inf)
+            if len(x) and len(centres):
+                d2 = np.minimum(d2, kernels.nearest(x, centres)[1])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(d2)], names=["id", "vec", "d2"])
+
+    kind = rows.schema["vec"].dataType.simpleString()
+    return rows.select("id", "vec", *["d2"] * known).mapInArrow(lowered, f"id long, vec {kind}, d2 double")
+
+
+def _uniform(seed: int, key: Column) -> Column:
+    """A number above 0 and up to 1 from the seeded hash of a row."""
+    return (F.conv(F.substring(seeded(seed, key), 1, 12), 16, 10).cast("double") + 1) / 2.0**48
+
+
+#: Centres after which the distances so far are written.
+WRITTEN_AFTER = 16
+
+
+def kmeans_plus_plus(
+    rows: DataFrame, k: int, seed: int, chosen: np.ndarray | None = None, after: Callable[[np.ndarray], None] | None = None
+) -> np.ndarray:
     """Greedy k-means++: candidates are drawn by squared distance as the rows of least -ln(u) / d2, with u from the
-    seeded hash of each row, so any number of tasks draws the same; the one that leaves the least potential stays."""
-    chosen = first_centroids(rows, 1, seed)
+    seeded hash of each row, so any number of tasks draws the same; the one that leaves the least potential stays.
+
+    Distances stand beside the vectors and are only lowered: nothing is joined or shuffled, and a table is written for
+    every ``WRITTEN_AFTER`` centres. ``chosen`` has the centres of a run to go on with; ``after`` gets them at each one.
+    """
+    if chosen is None:
+        chosen = first_centroids(rows, 1, seed)
+        if after and len(chosen):
+            after(chosen)
     trials = 2 + int(np.log(max(k, 1)))
+    known, written = cut(_lowered(rows, chosen)), len(chosen)
     while 0 < len(chosen) < k:
-        at = assign_clusters(rows, chosen).join(rows, "id")
-        u = (F.conv(F.substring(seeded(seed * 1000003 + len(chosen), F.col("id")), 1, 12), 16, 10).cast("double") + 1) / 2.0**48
+        if len(chosen) - written >= WRITTEN_AFTER:
+            known, written = cut(_lowered(known, chosen[written:])), len(chosen)
+        at = _lowered(known, chosen[written:])
+        u = _uniform(seed * 1000003 + len(chosen), F.col("id"))
         drawn = at.where("d2 > 0").orderBy(-F.ln(u) / F.col("d2"), "id").limit(trials).select("vec").collect()
         if not drawn:
             break
         candidates = np.array([r["vec"] for r in drawn], dtype=np.float64)
         chosen = np.vstack([chosen, candidates[int(np.argmin(_potentials(at, candidates)))]])
+        if after:
+            after(chosen)
     return kernels.checked(chosen)
 
 
+#: Passes of the parallel start, and rows drawn in each, in k.
+PARALLEL_ROUNDS, OVERSAMPLING = 5, 2
+
+
+def kmeans_parallel(
+    rows: DataFrame, k: int, seed: int, rounds: int = PARALLEL_ROUNDS, oversampling: float = OVERSAMPLING
+) -> np.ndarray:
+    """A start in a few passes where k-means++ takes k of them: whole samples are drawn, weighed and clustered again.
+
+    From the first row in seeded order on, each round draws every row with probability ``oversampling`` * k * d2 / sum
+    of d2, by the row's seeded hash, so about ``oversampling`` * k rows come to the driver, however many there are. Each
+    candidate then weighs as many rows as are nearest to it, and weighted k-means++ over the candidates, again by seeded
+    hashes, picks k of them: first the heaviest, then those of least -ln(u) / (weight * d2). Of fewer different rows than
+    k all are centres.
+    """
+    drawn = rows.select("id", "vec").orderBy(seeded(seed, F.col("id")), "id").limit(1).collect()
+    if not drawn:
+        return np.zeros((0, 0))
+    ids, parts, at = [], [], rows
+    for n in range(1, rounds + 2):
+        if drawn:
+            ids += [r["id"] for r in drawn]
+            parts.append(np.array([r["vec"] for r in drawn], dtype=np.float64))
+        if n > rounds:
+            break
+        at = cut(_lowered(at, parts[-1]))
+        potential = at.agg(F.sum("d2")).first()[0]
+        if not potential:
+            break
+        share = F.lit(float(oversampling * k)) * F.col("d2") / F.lit(potential)
+        drawn = at.where(_uniform(seed * 1000003 + n, F.col("id")) < share).select("id", "vec").collect()
+    points = np.vstack(parts)
+    order = np.argsort(ids, kind="stable")  # of equal distances the candidate of the least id has the row
+    ids, points = np.array(ids)[order], kernels.checked(points[order])
+    sizes = assign_clusters(rows, points).groupBy("cid").agg(F.count(F.lit(1)).alias("n")).collect()
+    weight = np.zeros(len(points))
+    weight[[r["cid"] for r in sizes]] = [r["n"] for r in sizes]
+    centres = [int(np.argmax(weight))]
+    d2 = kernels.squared_distances(points, points[centres])[:, 0]
+    while len(centres) < k and (weight * d2 > 0).any():
+        u = np.array([(int(md5(f"{seed * 1000003 + 1000 + len(centres)}:{i}".encode()).hexdigest()[:12], 16) + 1) / 2.0**48 for i in ids])
+        free = weight * d2 > 0
+        key = np.where(free, -np.log(u) / np.where(free, weight * d2, 1), np.inf)
+        centres.append(int(np.argmin(key)))
+        d2 = np.minimum(d2, kernels.squared_distances(points, points[centres[-1:]])[:, 0])
+    return points[centres]
+
+
 def _potentials(rows: DataFrame, candidates: np.ndarray) -> list[float]:
     """The potential that each candidate would leave: partial sums by task."""
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +322,7 @@ def potential(rows: DataFrame, assignment: DataFrame) -> DataFrame:
     return joined.groupBy("cid").agg(F.count(F.lit(1)).alias("n"), F.sum(gap).alias("potential"))
 
 
-STARTS = {"first": first_centroids, "farthest": farthest_first_centroids, "kmeans++": kmeans_plus_plus}
+STARTS = {"first": first_centroids, "farthest": farthest_first_centroids, "kmeans++": kmeans_plus_plus, "kmeans||": kmeans_parallel}
 
 
 def kmeans(rows: DataFrame, k: int, rounds: int = 10, seed: int = 1, start: str = "first", tries: int = 1) -> np.ndarray:

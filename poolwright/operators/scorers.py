@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import importlib
+import io
+import json
 from abc import ABC, abstractmethod
 from collections.abc import Callable
 
 import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.kernels import checked
 from ..functions.vectors import dot, first_argmax, literal, seeded, squared_distance, total
+from ..sources import files
 
 TEMPERATURE = 0.1
 
@@ -83,6 +87,38 @@ class Scorer(ABC):
         """(id, vec): the representation that geometric strategies work on; here the input."""
         return rows.select("id", "vec")
 
+    def state(self) -> tuple[dict, dict[str, np.ndarray]]:
+        """What a saved scorer is made of: plain values and arrays."""
+        raise NotImplementedError(f"{type(self).__name__} cannot be saved")
+
+    def restore(self, said: dict, arrays: dict[str, np.ndarray]) -> Scorer:
+        raise NotImplementedError
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Writes the fitted scorer to a folder, replacing what is there. A model of pyspark.ml is saved beside by itself."""
+        said, arrays = self.state()
+        model = getattr(self, "model", None)
+        if model is not None:
+            model.write().overwrite().save(f"{path}/model")
+            said = {**said, "model": f"{type(model).__module__}.{type(model).__name__}"}
+        out = io.BytesIO()
+        np.savez(out, said=np.frombuffer(json.dumps(said).encode(), np.uint8), **{f"a_{k}": v for k, v in arrays.items()})
+        files.write_bytes(spark, f"{path}/scorer", files.sealed(out.getvalue()))
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Scorer:
+        """A saved scorer of this class, with its class order, in any session. ValueError if its file is damaged."""
+        with np.load(io.BytesIO(files.opened(files.read_bytes(spark, f"{path}/scorer")))) as state:
+            said = json.loads(state["said"].tobytes())
+            arrays = {k.removeprefix("a_"): state[k] for k in state.files if k != "said"}
+        scorer = cls().restore(said, arrays)
+        if "model" in said:
+            module, _, name = said["model"].rpartition(".")
+            if not module.startswith("pyspark.ml."):
+                raise ValueError(f"{said['model']} is no model of pyspark.ml")
+            scorer.model = getattr(importlib.import_module(module), name).load(f"{path}/model")
+        return scorer
+
 
 def mean_of_passes(passes: DataFrame) -> DataFrame:
     mean = vector_to_array(Summarizer.mean(F.col("v")))
@@ -109,6 +145,13 @@ class PrototypeScorer(Scorer):
 
         return F.array(*[score(mean) for mean in self.means])
 
+    def state(self) -> tuple[dict, dict[str, np.ndarray]]:
+        return {"temperature": self.temperature, "classes": self.classes}, {"means": self.means}
+
+    def restore(self, said: dict, arrays: dict[str, np.ndarray]) -> PrototypeScorer:
+        self.temperature, self.classes, self.means = said["temperature"], said["classes"], arrays["means"]
+        return self
+
     def linear(self) -> tuple[np.ndarray, np.ndarray]:
         return 2 * self.means / self.temperature, -(self.means**2).sum(axis=1) / self.temperature
 
@@ -137,6 +180,13 @@ class MLScorer(Scorer):
             *[dot(vector, literal(w)) + F.lit(float(b)) for w, b in zip(weights, offsets, strict=True)]
         )
 
+    def state(self) -> tuple[dict, dict[str, np.ndarray]]:
+        return {"classes": self.classes}, {}
+
+    def restore(self, said: dict, arrays: dict[str, np.ndarray]) -> MLScorer:
+        self.classes = said["classes"]
+        return self
+
     def linear(self) -> tuple[np.ndarray, np.ndarray]:
         weights = self.model.coefficientMatrix.toArray()
         offsets = self.model.interceptVector.toArray()

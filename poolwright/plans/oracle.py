@@ -248,6 +248,29 @@ ch{n + 1} AS MATERIALIZED (SELECT * FROM ch{n} UNION ALL
     return f"WITH {out} SELECT cid, count(*) AS n FROM a GROUP BY cid"
 
 
+def _parallel(k: int, rounds: int, passes: int = 5, oversampling: int = 2) -> str:
+    """Whole samples by squared distance, unrolled; then weighted k-means++ over them, and rounds over all rows."""
+    u = lambda n: f"(('0x' || substr(md5('{SEED * 1000003 + n}:' || id), 1, 12))::BIGINT + 1) / 2.0::DOUBLE ** 48"
+    out = _POOL + f""",
+c1 AS MATERIALIZED (SELECT id, vec FROM unl ORDER BY md5('{SEED}:' || id), id LIMIT 1)"""
+    for n in range(1, passes + 1):
+        out += f""",
+far{n} AS MATERIALIZED (SELECT u.id, u.vec, min(list_distance(u.vec, c.vec)) ** 2 AS d2 FROM unl u, c{n} c GROUP BY ALL),
+c{n + 1} AS MATERIALIZED (SELECT * FROM c{n} UNION SELECT id, vec FROM far{n} WHERE {u(n)} < {oversampling * k} * d2 / (SELECT sum(d2) FROM far{n}))"""
+    out += f""",
+w AS MATERIALIZED (
+  SELECT c.id, c.vec, count(near.id) AS w FROM c{passes + 1} c
+  LEFT JOIN (SELECT u.id, arg_min(c.id, (round(list_distance(u.vec, c.vec), 9), c.id)) AS cand FROM unl u, c{passes + 1} c GROUP BY u.id) near ON near.cand = c.id GROUP BY ALL),
+p1 AS MATERIALIZED (SELECT 0 AS cid, id, vec FROM (SELECT * FROM w ORDER BY w DESC, id LIMIT 1))"""
+    for n in range(1, k):
+        out += f""",
+p{n + 1} AS MATERIALIZED (SELECT * FROM p{n} UNION ALL SELECT {n}, id, vec FROM (
+  SELECT w.id, w.vec, w.w * min(list_distance(w.vec, p.vec)) ** 2 AS x FROM w, p{n} p GROUP BY w.id, w.vec, w.w
+  HAVING x > 0 ORDER BY -ln({u(1000 + n).replace("|| id", "|| w.id")}) / x, w.id LIMIT 1))"""
+    out += f", k0 AS (SELECT cid, vec FROM p{k})" + _rounds("unl", rounds, "k") + "," + _assign("a", f"k{rounds}")
+    return f"WITH {out} SELECT cid, count(*) AS n FROM a GROUP BY cid"
+
+
 def _hierarchy_first(low: int, high: int, rounds: int) -> str:
     """Clusters of rows, and of their centroids; both start from the first ones."""
     out = _POOL + f""",
@@ -358,9 +381,12 @@ SELECT id, round(s, 10) AS score FROM b ORDER BY round(s, 10), id LIMIT {N}""",
     "deepfool_iterative": f"""WITH {_BOUNDARY} SELECT id, round(s, 12) AS score FROM b ORDER BY round(s, 12), id LIMIT {N}""",
     "adversarial_bim": _BIM,
     "kmeans_plus_plus": _plus_plus(K, ROUNDS),
+    "kmeans_resumed": _plus_plus(K, ROUNDS),
+    "kmeans_parallel": _parallel(K, ROUNDS),
     "hierarchical_kmeans_first": _hierarchy_first(20, 5, 5),
     "texture_lcg_weights": _LCG,
 }
+ORACLE_SQL["saved_scorer_predict_prob"] = ORACLE_SQL["predict_prob"]
 for _name, _score in _SCORE.items():
     ORACLE_SQL[_name] = _least(_PROB, "pl", _score)
     ORACLE_SQL[f"{_name}_dropout"] = _least(_MEAN_PROB, "mpl", _score)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import rounded
 from ..operators import clustering as c
 from ..operators import hierarchy as h
-from ..operators import metrics, pool, reports, strategies, textures
+from ..operators import discriminant, head, metrics, pool, reports, resume, strategies, textures
 from ..operators.scorers import PrototypeScorer, mean_of_passes
 from ..sources import results, tables
 from . import loop, registry
@@ -230,6 +230,46 @@ def kmeans_plus_plus(spark, sf):  # noqa: ANN001, ANN201
     return c.assign_clusters(_unlabeled(spark, sf), centroids).groupBy("cid").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def saved_scorer_predict_prob(spark, sf):  # noqa: ANN001, ANN201
+    """Probabilities of a scorer that was saved and loaded again."""
+    path = c.shared_path(spark, "scorer")
+    _scorer(spark, sf).save(spark, path)
+    scored = PrototypeScorer.load(spark, path).predict_prob(_unlabeled(spark, sf))
+    return scored.select("id", F.posexplode("p").alias("cls", "p")).select("id", "cls", rounded(F.col("p")).alias("p"))
+
+
+@query
+def kmeans_parallel(spark, sf):  # noqa: ANN001, ANN201
+    centroids = c.kmeans(_unlabeled(spark, sf), K, ROUNDS, SEED, start="kmeans||")
+    return c.assign_clusters(_unlabeled(spark, sf), centroids).groupBy("cid").agg(F.count(F.lit(1)).alias("n"))
+
+
+class _Stopped(Exception):
+    pass
+
+
+@query
+def kmeans_resumed(spark, sf):  # noqa: ANN001, ANN201
+    """A run that is stopped at its third centre, again after its first round, and then goes on to the end."""
+    path, rows = c.shared_path(spark, "kmeans-states"), c.cut(_unlabeled(spark, sf).select("id", "vec"))
+
+    def stop_at(*place):  # noqa: ANN002, ANN202
+        def after(phase, step):  # noqa: ANN001, ANN202
+            if (phase, step) == place:
+                raise _Stopped
+
+        return after
+
+    for place in (("start", 3), ("round", 1)):
+        try:
+            resume.resumable_kmeans(rows, K, ROUNDS, SEED, path, after=stop_at(*place))
+        except _Stopped:
+            continue
+    centroids = resume.resumable_kmeans(rows, K, ROUNDS, SEED, path)
+    return c.assign_clusters(rows, centroids).groupBy("cid").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def kmeans_sampling(spark, sf):  # noqa: ANN001, ANN201
     out = strategies.kmeans_sampling(_pool(spark, sf), _labels(spark, sf), K, ROUNDS, SEED)
@@ -336,6 +376,34 @@ def accuracy(spark, sf):  # noqa: ANN001, ANN201
     return metrics.accuracy(_predictions(spark, sf)).select(rounded(F.col("acc")).alias("acc"))
 
 
+@query
+def lda_cross_validation(spark, sf):  # noqa: ANN001, ANN201
+    out = discriminant.cross_validated(_pool(spark, sf), 10, SEED)
+    return out.select("fold", "n", "hits", rounded(F.col("accuracy")).alias("accuracy"))
+
+
+def _head(spark: SparkSession, sf: str) -> head.HeadScorer:
+    return head.HeadScorer(hidden=16, epochs=4, batches=3, seed=SEED).fit(pool.labeled(_pool(spark, sf), _labels(spark, sf)))
+
+
+@query
+def head_training_summary(spark, sf):  # noqa: ANN001, ANN201
+    out = _head(spark, sf).summary(spark)
+    return out.select("epoch", rounded(F.col("loss")).alias("loss"), rounded(F.col("accuracy")).alias("accuracy"))
+
+
+@query
+def head_predict_prob(spark, sf):  # noqa: ANN001, ANN201
+    out = _head(spark, sf).predict_prob(_unlabeled(spark, sf)).select("id", F.posexplode("p").alias("cls", "p"))
+    return out.select("id", "cls", rounded(F.col("p")).alias("p"))
+
+
+@query
+def bald_dropout_head(spark, sf):  # noqa: ANN001, ANN201
+    out = strategies.bald(_pool(spark, sf), _labels(spark, sf), N, _head(spark, sf), PASSES, SEED)
+    return out.select("id", rounded(F.col("score")).alias("score"))
+
+
 @query
 def weighted_prf(spark, sf):  # noqa: ANN001, ANN201
     out = metrics.weighted_scores(_predictions(spark, sf))

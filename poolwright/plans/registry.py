@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from ..operators import strategies as s
 from ..operators import textures
+from ..operators.head import HeadScorer
 from ..operators.scorers import MLScorer, PrototypeScorer, Scorer
 from ..sources.tables import cached_features
 
@@ -35,7 +36,7 @@ for _kind in ("SSRAE", "VCTex"):
     )
     STRATEGIES[f"{_kind}KmeansHCSampling"] = lambda pool, labels, n, scorer, features, seed: s.hierarchical_sampling(features, n, seed=seed)
 
-SCORERS: dict[str, Callable[[], Scorer]] = {"prototype": PrototypeScorer, "logistic": MLScorer}
+SCORERS: dict[str, Callable[[], Scorer]] = {"prototype": PrototypeScorer, "logistic": MLScorer, "head": HeadScorer}
 
 
 def strategy(name: str) -> Callable[..., DataFrame]:
