@@ -30,11 +30,23 @@ def hierarchical_kmeans(
     taken, k-means is run on these, and all points are assigned again. ValueError if lengths differ. k is clamped to
     what there is to cluster. ``start`` is that of all k-means but the lowest one, which starts from the first rows in
     seeded order: greedy k-means++, or the first points there are (first). ValueError for another.
+
+    With start "seeded" or "parallel" points, samples and the centroids of every level are tables, and all k-means run
+    over them, from the first rows in seeded order or from :func:`clustering.kmeans_parallel`; the driver has no more
+    than the centroids of a level. Samples too large for a driver's matrix go that way in any case.
     """
-    if start not in ("kmeans++", "first"):
+    if start not in ("kmeans++", "first", "seeded", "parallel"):
         raise ValueError(f"unknown start {start!r}")
     if sample_sizes is not None and len(sample_sizes) != len(n_clusters):
         raise ValueError("one sample size for each level is needed")
+    if start not in ("seeded", "parallel"):
+        head = features.select(F.size("vec")).limit(1).collect()
+        largest = max(k * s for k, s in zip(n_clusters, sample_sizes, strict=True)) if sample_sizes else 0
+        if head and 8 * largest * head[0][0] > kernels.MAX_MATRIX_BYTES:
+            start = "seeded" if start == "first" else "parallel"
+    if start in ("seeded", "parallel"):
+        how = "first" if start == "seeded" else "kmeans||"
+        return _levels_of_tables(features, n_clusters, rounds, seed, sample_sizes, resamples, how)
     rng = np.random.default_rng(seed)
     spark, levels = features.sparkSession, []
 
@@ -71,6 +83,25 @@ def hierarchical_kmeans(
     return levels
 
 
+def _levels_of_tables(
+    features: DataFrame, n_clusters: tuple[int, ...], rounds: int, seed: int, sample_sizes: tuple[int, ...] | None, resamples: int, start: str
+) -> list[DataFrame]:
+    spark, levels = features.sparkSession, []
+    points = clustering.cut(features.select("id", "vec"))
+    for level, k in enumerate(n_clusters):
+        size = sample_sizes[level] if sample_sizes else 0
+        centroids = clustering.kmeans(points, k, rounds, seed, start)
+        for _ in range(resamples if size > 1 else 0):
+            nearest = clustering.sorted_by_distance(clustering.assign_clusters(points, centroids), 12)
+            sample = nearest.where(F.col("nth") <= size).join(points, "id").select("id", "vec")
+            centroids = clustering.kmeans(sample, k, rounds, seed, start)
+        assigned = clustering.cut(clustering.assign_clusters(points, centroids))
+        levels.append(assigned.withColumnRenamed("id", "child"))
+        # as many rows as clusters, whose matrix has been checked
+        points = clustering.cut(spark.createDataFrame(list(enumerate(centroids.tolist())), "id long, vec array<double>"))
+    return levels
+
+
 def flat_members(levels: list[DataFrame]) -> DataFrame:
     """(level, cid, id): the rows below each cluster of each level."""
     below = levels[0].select(F.col("child").alias("id"), "cid")

@@ -285,6 +285,35 @@ s AS (SELECT 1 AS level, cid, count(*) AS size FROM bottom GROUP BY cid
 SELECT level, cid, size, row_number() OVER (PARTITION BY level ORDER BY size DESC, cid) AS place FROM s"""
 
 
+def _hierarchy_seeded(clusters: tuple[int, ...], sizes: tuple[int, ...], rounds: int, resamples: int) -> str:
+    """Levels over rows and over centroids; each is clustered, then again over the nearest members of its clusters."""
+    out, points = _POOL, "unl"
+    for level, (k, size) in enumerate(zip(clusters, sizes, strict=True)):
+        rows = points
+        for i in range(resamples + 1):
+            name = f"h{level}r{i}c"
+            out += f""",
+{name}0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY {_SEED_ORDER}) - 1 AS cid, vec FROM {rows} ORDER BY {_SEED_ORDER} LIMIT {k})"""
+            out += _rounds(rows, rounds, name) + "," + _assign(f"h{level}r{i}", f"{name}{rounds}", points)
+            rows = f"h{level}s{i}"
+            out += f""",
+{rows} AS MATERIALIZED (SELECT id, vec FROM (
+  SELECT *, row_number() OVER (PARTITION BY cid ORDER BY round(d2, 12), id) AS nth FROM h{level}r{i}) WHERE nth <= {size})"""
+        points = f"h{level}p"
+        out += f", {points} AS (SELECT cid AS id, vec FROM h{level}r{resamples}c{rounds})"
+    return f"""WITH {out},
+s AS (SELECT 1 AS level, cid, count(*) AS size FROM h0r{resamples} GROUP BY cid
+      UNION ALL SELECT 2, top.cid, count(*) FROM h0r{resamples} b JOIN h1r{resamples} top ON top.id = b.cid GROUP BY ALL)
+SELECT level, cid, size, row_number() OVER (PARTITION BY level ORDER BY size DESC, cid) AS place FROM s"""
+
+
+_DRAWS = f"""WITH {_POOL},
+f AS (SELECT vec FROM unl ORDER BY {_SEED_ORDER} LIMIT 1),
+w AS (SELECT u.id, list_distance(u.vec, f.vec) ** 2 AS w FROM unl u, f),
+h AS (SELECT id, sum(w) OVER (ORDER BY id) AS high, sum(w) OVER (ORDER BY id) - w AS low FROM w WHERE w > 0),
+d AS (SELECT k AS draw, ('0x' || substr(md5('{SEED}:' || k), 1, 12))::BIGINT / 2.0::DOUBLE ** 48 * (SELECT sum(w) FROM w) AS place FROM range(1000) t(k))
+SELECT draw, id FROM d ASOF JOIN h ON d.place >= h.low"""
+
 #: The congruential sequence in single precision, standardised.
 _LCG = """WITH RECURSIVE shapes AS (SELECT unnest([13, 5, 17]) AS q, unnest([9, 27, 27]) AS p),
 v AS (
@@ -384,6 +413,11 @@ SELECT id, round(s, 10) AS score FROM b ORDER BY round(s, 10), id LIMIT {N}""",
     "kmeans_resumed": _plus_plus(K, ROUNDS),
     "kmeans_parallel": _parallel(K, ROUNDS),
     "hierarchical_kmeans_first": _hierarchy_first(20, 5, 5),
+    "hierarchical_kmeans_seeded": _hierarchy_seeded((12, 4), (5, 2), 3, 2),
+    "weighted_draws": _DRAWS,
+    "feature_table_refreshed": """WITH n AS (SELECT count(*) FILTER (WHERE vec_id % 2 = 0) AS half, count(*) AS whole FROM embeddings WHERE vec_id % 5 <> 0)
+SELECT 0 AS step, half AS extracted, half AS n_rows, half AS n_ids FROM n UNION ALL SELECT 1, whole - half, whole, whole FROM n
+UNION ALL SELECT 2, 0, whole, whole FROM n""",
     "texture_lcg_weights": _LCG,
 }
 ORACLE_SQL["saved_scorer_predict_prob"] = ORACLE_SQL["predict_prob"]

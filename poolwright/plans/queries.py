@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from ..functions.vectors import rounded
 from ..operators import clustering as c
 from ..operators import hierarchy as h
-from ..operators import discriminant, head, metrics, pool, reports, resume, strategies, textures
+from ..operators import discriminant, draws, head, metrics, pool, reports, resume, strategies, textures
 from ..operators.scorers import PrototypeScorer, mean_of_passes
 from ..sources import results, tables
+from ..sources.features import FeatureTable
 from . import loop, registry
 
 N, K, ROUNDS, SEED, PASSES = 10, 5, 3, 1, 10
@@ -361,6 +362,31 @@ def hierarchical_kmeans_first(spark, sf):  # noqa: ANN001, ANN201
     return h.flat_sizes(levels)
 
 
+@query
+def hierarchical_kmeans_seeded(spark, sf):  # noqa: ANN001, ANN201
+    """All levels and their resampling over tables, from seeded starts."""
+    levels = h.hierarchical_kmeans(_unlabeled(spark, sf), (12, 4), 3, SEED, (5, 2), 2, start="seeded")
+    return h.flat_sizes(levels)
+
+
+@query
+def weighted_draws(spark, sf):  # noqa: ANN001, ANN201
+    """Rows drawn by their squared distance to the first centroid."""
+    at = c.assign_clusters(_unlabeled(spark, sf), c.first_centroids(_unlabeled(spark, sf), 1, SEED))
+    return draws.weighted_draws(at.select("id", F.col("d2").alias("weight")), 1000, SEED)
+
+
+@query
+def feature_table_refreshed(spark, sf):  # noqa: ANN001, ANN201
+    """Features of half of the images, then of all, then again of all: how many were extracted each time, and stand then."""
+    table = FeatureTable(spark, c.shared_path(spark, "features"), "embeddings", "ssrae", key=textures.feature_key("ssrae"))
+    images, found = _images(spark, sf), []
+    for step, rows in enumerate((images.where("id % 2 = 0"), images, images)):
+        features, fresh = table.refresh(rows, textures.extract_features)
+        found.append((step, fresh, features.count(), features.select("id").distinct().count()))
+    return spark.createDataFrame(found, "step int, extracted long, n_rows long, n_ids long")
+
+
 @query
 def hc_sampling(spark, sf):  # noqa: ANN001, ANN201
     return strategies.hierarchical_sampling(_unlabeled(spark, sf), N, (20, 5), (5, 2), 2, 5, SEED)
