@@ -30,6 +30,31 @@ def mean_std(long: DataFrame, plus_minus: str = "%.4f (±%.4f)") -> DataFrame:
     return out.withColumn("shown", F.format_string(plus_minus, "mean", "std"))
 
 
+#: What the roll-up is taken over; metrics are never mixed.
+ROLLED = (("seed", "n_query", "strategy"), ("n_query", "strategy"), ("seed", "strategy"), ("strategy",), ("n_query",), ())
+
+
+def rolled_up(long: DataFrame) -> DataFrame:
+    """Runs, mean, population deviation, least and greatest of the last rounds, by each of ``ROLLED`` and metric.
+
+    One pass by grouping sets: ``over`` names what a row is grouped by, joined by commas, and what it is not grouped by
+    is null. A run without rounds or with a null last value counts in no figure. No runs, no rows.
+    """
+    columns = ("seed", "n_query", "strategy")
+    last = last_round(long).where("value IS NOT NULL")
+    sets = [[F.col(c) for c in (*names, "metric")] for names in ROLLED]
+    out = last.groupingSets(sets, *columns, "metric").agg(
+        F.count("value").alias("runs"),
+        F.avg("value").alias("mean"),
+        F.stddev_pop("value").alias("std"),
+        F.min("value").alias("least"),
+        F.max("value").alias("greatest"),
+        *[F.grouping(c).alias(f"__{c}") for c in columns],
+    )
+    over = F.concat_ws(",", *[F.when(F.col(f"__{c}") == 0, F.lit(c)) for c in columns])
+    return out.select(over.alias("over"), *columns, "metric", "runs", "mean", "std", "least", "greatest")
+
+
 def strategy_table(long: DataFrame) -> DataFrame:
     """A row for each strategy, seed and n_query with a column for each metric."""
     return last_round(long).groupBy("strategy", "seed", "n_query").pivot("metric", list(METRICS)).agg(F.first("value"))

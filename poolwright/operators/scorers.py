@@ -9,10 +9,11 @@ from abc import ABC, abstractmethod
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions.kernels import checked
 from ..functions.vectors import dot, first_argmax, literal, seeded, squared_distance, total
@@ -217,3 +218,37 @@ class UDFScorer(Scorer):
             return pd.Series(list(function(np.stack(vectors.to_numpy()).astype(np.float64))))
 
         return scored(vector)
+
+
+class BatchModelScorer(Scorer):
+    """A trained model of the user's, loaded where the rows are: once for each Python worker, not for each batch.
+
+    ``load`` is called on the executors and gives an object with ``scores(x)``, class scores of a matrix of vectors, and
+    ``embeddings(x)`` if geometric strategies are to work on its representation. It reads the model from wherever executors
+    can, such as a file that was given to ``SparkContext.addFile``; nothing large goes with the tasks.
+    """
+
+    def __init__(self, load: Callable[[], object], classes: list[int], features: int, batch_size: int = 1024):
+        self.load, self.classes, self.features, self.batch_size = load, classes, features, batch_size
+
+    def fit(self, labeled: DataFrame) -> BatchModelScorer:
+        """The model is trained already."""
+        return self
+
+    def _applied(self, name: str, vector: Column) -> Column:
+        load = self.load
+
+        def make() -> Callable[[np.ndarray], np.ndarray]:
+            model = load()
+            return lambda x: np.asarray(getattr(model, name)(np.asarray(x, dtype=np.float64)), dtype=np.float64)
+
+        udf = predict_batch_udf(
+            make, return_type=ArrayType(DoubleType()), batch_size=self.batch_size, input_tensor_shapes=[[self.features]]
+        )
+        return udf(vector)
+
+    def scores(self, vector: Column) -> Column:
+        return self._applied("scores", vector)
+
+    def embeddings(self, rows: DataFrame) -> DataFrame:
+        return rows.select("id", self._applied("embeddings", F.col("vec")).alias("vec"))

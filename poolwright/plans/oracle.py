@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from math import log
 
-from .queries import K, N, PASSES, ROUNDS, SEED
+from .queries import EXPERIMENT, K, N, PASSES, ROUNDS, SEED
 
 _SEED_ORDER = f"md5('{SEED}:' || id), id"
 
@@ -100,13 +100,13 @@ f AS (SELECT *, CASE WHEN called > 0 THEN hits / called ELSE 0 END AS pr, CASE W
       FROM s)"""
 
 
-def _curve() -> str:
-    """The learning loop unrolled: state, model, predictions and choice of each round."""
+def _curve(rounds: int = ROUNDS, n: int = N, seed: int | None = None, places: int = 6) -> str:
+    """The learning loop unrolled: state, model, predictions and choice of each round, by entropy or, with a seed, at random."""
     out = _POOL.replace("WHERE id % 5 = 0", "WHERE id % 5 = 0 AND id % 10 <> 1") + """,
 test AS (SELECT * FROM pool WHERE id % 10 = 1), train AS (SELECT * FROM pool WHERE id % 10 <> 1),
 l0 AS (SELECT id FROM pool WHERE id % 5 = 0)"""
     parts = []
-    for r in range(ROUNDS + 1):
+    for r in range(rounds + 1):
         out += "," + _means(f"(SELECT label AS cls, vec FROM train WHERE id IN (SELECT id FROM l{r}))", "cls", f"m{r}")
         out += f""",
 t{r} AS (SELECT id, label, arg_min(cls, (list_distance(vec, mean), cls)) AS predicted FROM test, m{r} GROUP BY id, label),
@@ -120,14 +120,19 @@ w{r} AS (SELECT sum(hits) / sum(support) AS acc, sum(support * pr) / sum(support
                 sum(support * re) / sum(support) AS recall,
                 sum(support * CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END) / sum(support) AS f1 FROM f{r})"""
         for metric in ("acc", "precision", "recall", "f1"):
-            parts.append(f"SELECT {r} AS round, '{metric}' AS metric, round({metric}, 6) AS value FROM w{r}")
-        if r < ROUNDS:
+            parts.append(f"SELECT {r} AS round, '{metric}' AS metric, round({metric}, {places}) AS value FROM w{r}")
+        if r < rounds:
             prob = _prob(f"(SELECT * FROM train WHERE id NOT IN (SELECT id FROM l{r}))", "id", f"m{r}")
             for name in ("z", "e", "p", "pl"):
                 prob = prob.replace(f"\n{name} AS", f"\n{name}_{r} AS").replace(f"FROM {name})", f"FROM {name}_{r})")
                 prob = prob.replace(f"FROM {name} GROUP", f"FROM {name}_{r} GROUP")
+            if seed is not None:  # random sampling
+                out += f""",
+q{r} AS (SELECT id FROM train WHERE id NOT IN (SELECT id FROM l{r}) ORDER BY md5('{seed}:' || id), id LIMIT {n}),
+l{r + 1} AS (SELECT id FROM l{r} UNION SELECT id FROM q{r})"""
+                continue
             out += "," + prob + f""",
-q{r} AS (SELECT id FROM pl_{r} ORDER BY round({_ENTROPY}, 6), id LIMIT {N}),
+q{r} AS (SELECT id FROM pl_{r} ORDER BY round({_ENTROPY}, 6), id LIMIT {n}),
 l{r + 1} AS (SELECT id FROM l{r} UNION SELECT id FROM q{r})"""
     return f"WITH {out} " + " UNION ALL ".join(parts)
 
@@ -307,6 +312,18 @@ s AS (SELECT 1 AS level, cid, count(*) AS size FROM h0r{resamples} GROUP BY cid
 SELECT level, cid, size, row_number() OVER (PARTITION BY level ORDER BY size DESC, cid) AS place FROM s"""
 
 
+def _experiment() -> str:
+    runs = " UNION ALL ".join(
+        f"SELECT '{name}' AS strategy, {n} AS n_query, {seed} AS seed, metric, value FROM ({_curve(1, n, seed if name == 'RandomSampling' else None, 12)}) WHERE round = 1"
+        for name, n, seed in EXPERIMENT
+    )
+    over = "concat_ws(',', " + ", ".join(f"CASE WHEN grouping({c}) = 0 THEN '{c}' END" for c in ("seed", "n_query", "strategy")) + ")"
+    return f"""WITH r AS ({runs})
+SELECT {over} AS over, seed, n_query, strategy, metric, count(*) AS runs, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) + 0.0::DOUBLE AS std,
+       round(min(value), 6) AS least, round(max(value), 6) AS greatest
+FROM r GROUP BY GROUPING SETS ((seed, n_query, strategy, metric), (n_query, strategy, metric), (seed, strategy, metric), (strategy, metric), (n_query, metric), (metric))"""
+
+
 _DRAWS = f"""WITH {_POOL},
 f AS (SELECT vec FROM unl ORDER BY {_SEED_ORDER} LIMIT 1),
 w AS (SELECT u.id, list_distance(u.vec, f.vec) ** 2 AS w FROM unl u, f),
@@ -415,6 +432,7 @@ SELECT id, round(s, 10) AS score FROM b ORDER BY round(s, 10), id LIMIT {N}""",
     "hierarchical_kmeans_first": _hierarchy_first(20, 5, 5),
     "hierarchical_kmeans_seeded": _hierarchy_seeded((12, 4), (5, 2), 3, 2),
     "weighted_draws": _DRAWS,
+    "experiment_rolled_up": _experiment(),
     "feature_table_refreshed": """WITH n AS (SELECT count(*) FILTER (WHERE vec_id % 2 = 0) AS half, count(*) AS whole FROM embeddings WHERE vec_id % 5 <> 0)
 SELECT 0 AS step, half AS extracted, half AS n_rows, half AS n_ids FROM n UNION ALL SELECT 1, whole - half, whole, whole FROM n
 UNION ALL SELECT 2, 0, whole, whole FROM n""",

@@ -5,9 +5,12 @@ The pool is ``embeddings``; rows whose id is a multiple of five are labelled and
 
 from __future__ import annotations
 
+import io
+import uuid
 from collections.abc import Callable
 
 import numpy as np
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +18,8 @@ from ..functions.vectors import rounded
 from ..operators import clustering as c
 from ..operators import hierarchy as h
 from ..operators import discriminant, draws, head, metrics, pool, reports, resume, strategies, textures
-from ..operators.scorers import PrototypeScorer, mean_of_passes
-from ..sources import results, tables
+from ..operators.scorers import BatchModelScorer, PrototypeScorer, mean_of_passes
+from ..sources import files, results, tables
 from ..sources.features import FeatureTable
 from . import loop, registry
 
@@ -430,6 +433,34 @@ def bald_dropout_head(spark, sf):  # noqa: ANN001, ANN201
     return out.select("id", rounded(F.col("score")).alias("score"))
 
 
+class _TwoLayers:
+    """A model of plain numpy, read from the file that went to the executors."""
+
+    def __init__(self, name: str):
+        with np.load(SparkFiles.get(name)) as file:
+            self.w1, self.b1, self.w2, self.b2 = (file[f"w{i}"] for i in range(4))
+
+    def embeddings(self, x: np.ndarray) -> np.ndarray:
+        return np.maximum(x @ self.w1 + self.b1, 0)
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        return self.embeddings(x) @ self.w2 + self.b2
+
+
+@query
+def user_model_kmeans_sampling(spark, sf):  # noqa: ANN001, ANN201
+    """A model that was trained elsewhere, as a file; k-means works on its hidden units."""
+    trained, name = _head(spark, sf), f"two-layers-{uuid.uuid4().hex[:8]}.npz"
+    out = io.BytesIO()
+    np.savez(out, **{f"w{i}": w for i, w in enumerate(trained.weights)})
+    path = f"{c.shared_path(spark, 'model')}/{name}"
+    files.write_bytes(spark, path, out.getvalue())
+    spark.sparkContext.addFile(path)
+    scorer = BatchModelScorer(lambda: _TwoLayers(name), trained.classes, len(trained.weights[0]))
+    picked = strategies.kmeans_sampling(_pool(spark, sf), _labels(spark, sf), K, ROUNDS, SEED, scorer)
+    return picked.select("id", rounded(F.col("score"), 5).alias("score"))
+
+
 @query
 def weighted_prf(spark, sf):  # noqa: ANN001, ANN201
     out = metrics.weighted_scores(_predictions(spark, sf))
@@ -456,6 +487,23 @@ def active_learning_curve(spark, sf):  # noqa: ANN001, ANN201
     return spark.createDataFrame(rows, "round int, metric string, value double")
 
 
+#: Runs of the experiment: strategy, n_query, seed.
+EXPERIMENT = (("EntropySampling", 10, 1), ("EntropySampling", 5, 1), ("RandomSampling", 10, 1), ("RandomSampling", 10, 2), ("RandomSampling", 5, 2))
+
+
+@query
+def experiment_rolled_up(spark, sf):  # noqa: ANN001, ANN201
+    """Runs of the loop, written as it writes them, read back and rolled up."""
+    p, root = c.cut(_pool(spark, sf)), c.shared_path(spark, "experiment")
+    train, test = p.where("id % 10 <> 1"), p.where("id % 10 = 1")
+    for name, n, seed in EXPERIMENT:
+        run = loop.learn(train, test, name, PrototypeScorer(), _labels(spark, sf), n, 1, seed, "pool")
+        results.write_run(run.result(), f"{root}/SEED_{seed}/NQ_{n}/{name}")
+    out = reports.rolled_up(reports.curves(results.read_runs(spark, root, strict=True)))
+    figures = [rounded(F.col(x)).alias(x) for x in ("mean", "std", "least", "greatest")]
+    return out.select("over", "seed", "n_query", "strategy", "metric", "runs", *figures)
+
+
 def _runs(spark: SparkSession, sf: str) -> DataFrame:
     """Runs whose values follow from region keys, seeds and rounds, so that SQL can say them."""
     base = tables.table(spark, sf, "region").select("r_name", "r_regionkey").crossJoin(

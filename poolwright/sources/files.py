@@ -44,6 +44,12 @@ def names(spark: SparkSession, path: str) -> list[str]:
     return sorted(f.getPath().getName() for f in fs.listStatus(place)) if fs.exists(place) else []
 
 
+def matching(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a pattern, in order; of folders and files."""
+    fs, place = _at(spark, pattern)
+    return sorted(f.getPath().toString() for f in fs.globStatus(place) or [])
+
+
 def delete(spark: SparkSession, path: str) -> None:
     fs, place = _at(spark, path)
     fs.delete(place, True)

@@ -10,7 +10,7 @@ from poolwright.functions import kernels
 from poolwright.operators import clustering as c
 from poolwright.operators import discriminant, resume, strategies
 from poolwright.operators.head import HeadScorer
-from poolwright.operators.scorers import MLScorer, PrototypeScorer, UDFScorer
+from poolwright.operators.scorers import BatchModelScorer, MLScorer, PrototypeScorer, UDFScorer
 from poolwright.sources import files
 
 K, SEED = 4, 7
@@ -221,6 +221,35 @@ def test_saved_scorers(spark, pool, head, tmp_path, kind):
         type(scorer).load(spark, path)
 
 
+def test_models_of_users(spark, pool):
+    class Doubling:
+        """Stands for a user's model; counts how often it is loaded."""
+
+        def __init__(self):
+            loads.add(1)
+
+        def embeddings(self, x):
+            return 2 * x
+
+        def scores(self, x):
+            return self.embeddings(x) @ np.arange(15.0).reshape(5, 3)
+
+    _, x = points()
+    loads = spark.sparkContext.accumulator(0)
+    scorer = BatchModelScorer(Doubling, [3, 5, 8], 5, batch_size=7).fit(pool)
+    z = 2 * x @ np.arange(15.0).reshape(5, 3)
+    got = {r["id"]: r["p"] for r in scorer.predict_prob(pool.coalesce(1)).collect()}
+    assert np.allclose([got[i] for i in range(len(x))], np.exp(z - z.max(1, keepdims=True)) / np.exp(z - z.max(1, keepdims=True)).sum(1, keepdims=True))
+    assert 1 <= loads.value < len(x) / 7  # not for each batch
+    calls = {r["id"]: r["predicted"] for r in scorer.predict(pool).collect()}
+    assert [calls[i] for i in range(len(x))] == [[3, 5, 8][k] for k in z.argmax(axis=1)]
+    deep = {r["id"]: r["vec"] for r in scorer.embeddings(pool).collect()}
+    assert np.allclose([deep[i] for i in range(len(x))], 2 * x)
+    labels = pool.where("id % 5 = 0").select("id", F.lit(0).alias("round"))
+    assert strategies.kmeans_sampling(pool, labels, 5, 3, scorer=scorer).count() == 5
+    assert scorer.predict_prob(pool.limit(0)).count() == 0
+
+
 def test_what_cannot_be_saved(spark, tmp_path):
     with pytest.raises(NotImplementedError):
         UDFScorer(lambda rows: ([], len)).save(spark, str(tmp_path / "x"))
