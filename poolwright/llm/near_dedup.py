@@ -23,9 +23,9 @@ SEED = 0
 #: Weight layers of texts that are signed together, which bounds memory.
 SIGNED_TOGETHER = 200_000
 #: Rounds in which one member stands for the largest class of a list, before all are paired with it.
-REST_STARS = 2
+REST_STARS = 1
 #: Rounds after those, over every so many-th layer by hash, before all are gone through.
-REST_PARTS = (32, 8)
+REST_PARTS = (32,)
 #: Weight layers of texts that verification remembers per task.
 REMEMBERED = 4_000_000
 #: Ids (of 8 bytes) that may be broadcast, by a count made first, so that only their texts are shuffled. With more,
