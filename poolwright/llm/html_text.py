@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
-from collections.abc import Iterator
+import unicodedata
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -15,6 +16,12 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 8 << 20
 #: Widest column of a table. After a longer cell the row goes on below, so that every cell begins where its column does.
 WIDEST_COLUMN = 80
+#: Widest table, in characters, whose columns are aligned; in wider ones cells stand two spaces apart.
+WIDEST_TABLE = 4096
+#: Deepest indentation, in characters; what is nested deeper is indented as much.
+DEEPEST_INDENT = 80
+#: Elements nested deeper than this are put beside each other, as browsers do.
+MOST_DEPTH = 512
 # Fixed values of the HTML standard: most columns and rows that a cell spans.
 MOST_COLUMNS, MOST_ROWS = 1000, 65534
 
@@ -23,16 +30,24 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style xmp iframe noembed noframes plaintext".split())
 ESCAPABLE = frozenset("textarea title".split())
 INVISIBLE = frozenset(
-    "head script style template noembed noframes iframe title meta link datalist object audio video canvas".split()
+    "head script style template noembed noframes iframe title meta link datalist object audio video canvas rp".split()
 )
 HEAD_ONLY = frozenset("base link meta title style script template noscript".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center details dialog dd div dl dt fieldset figcaption figure footer form "
-    "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary "
-    "table caption ul".split()
+    "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol optgroup option p plaintext pre search "
+    "section summary table caption ul xmp".split()
 )
 #: Blocks with an empty line around them.
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dl pre blockquote table figure fieldset hr".split())
+SPACED = frozenset(
+    "p h1 h2 h3 h4 h5 h6 ul ol menu dl pre listing xmp plaintext blockquote table figure fieldset hr".split()
+)
+#: Elements that keep white space.
+KEEPS_SPACE = frozenset("pre listing xmp plaintext textarea".split())
+#: Types of inputs that show no text: boxes, sliders, pictures, and passwords, which are masked.
+MUTE_INPUTS = frozenset("hidden checkbox radio file image range color password".split())
+BUTTONS = {"submit": "Submit", "reset": "Reset", "button": ""}
+
 #: What an opening tag ends if it is open: the tags ended, and those that the search for them stops at.
 CLOSES_P = BLOCKS - {"body", "html", "option", "optgroup", "caption", "legend", "li", "dd", "dt"} | {"li", "dd", "dt"}
 _SCOPE = frozenset("table td th caption html body button object template".split())
@@ -57,37 +72,116 @@ _TOKEN = re.compile(
     re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_NOT_DISPLAYED = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.IGNORECASE)
-_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible)\b", re.IGNORECASE)
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.DOTALL)
+_DECLARATION = re.compile(r"\s*(display|visibility|white-space)\s*:\s*([a-z-]+)\s*(!\s*important\s*)?", re.IGNORECASE)
+_SELECTOR = re.compile(r"(\*|[A-Za-z][\w-]*)?([.#][\w-]+)?")
+_ON_SCREEN = re.compile(r"(?:only\s+)?(?:all|screen)|", re.IGNORECASE)
 _NUMBER = re.compile(r"\s*([+-]?\d{1,9})")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
+#: How much a declaration counts: important, in the element, ids, classes, tags, place.
+_Rank = tuple[bool, bool, bool, bool, bool, int]
+
+
+def _declared(text: str) -> Iterator[tuple[str, str, bool]]:
+    for part in text.split(";"):
+        said = _DECLARATION.fullmatch(part)
+        if said:
+            yield said[1].lower(), said[2].lower(), bool(said[3])
+
+
+class StyleSheet:
+    """What a page's style sheets say of being displayed, being visible and keeping white space.
+
+    Of their rules those count that hold on any screen and whose selector is a tag, a class, an id, a tag with one of
+    these, or ``*``: looked up for an element by its own names, so time is linear in both. Other selectors are left out.
+    """
+
+    def __init__(self) -> None:
+        self.said: dict[tuple[str, str], dict[str, tuple[_Rank, str]]] = {}
+        self.place = 0
+
+    def add(self, css: str, media: str = "") -> None:
+        if not any(_ON_SCREEN.fullmatch(m.strip()) for m in media.split(",")):
+            return
+        holds: list[bool] = []  # of each open block, whether it counts
+        selectors = ""
+        for part in re.split(r"([^{}]*[{}])", _COMMENT.sub("", css)):
+            if part[-1:] == "{":
+                selectors = part[:-1].rpartition(";")[2].strip()
+                name, _, condition = selectors.partition(" ")
+                plain = name[:1] != "@"
+                screen = name.lower() == "@media" and any(_ON_SCREEN.fullmatch(m.strip()) for m in condition.split(","))
+                holds.append((plain or screen) and (not holds or holds[-1]))
+            elif part[-1:] == "}" and holds:
+                if holds.pop() and selectors and selectors[0] != "@":
+                    self._rule(selectors, part[:-1])
+                selectors = ""
+
+    def _rule(self, selectors: str, declarations: str) -> None:
+        found = list(_declared(declarations))
+        for selector in selectors.split(",") if found else ():
+            names = _SELECTOR.fullmatch(selector.strip())
+            if not names or not names[0]:
+                continue
+            tag, own = (names[1] or "*").lower(), names[2] or ""
+            told = self.said.setdefault((tag, own), {})
+            for name, value, important in found:
+                self.place += 1
+                rank = (important, False, own[:1] == "#", own[:1] == ".", tag != "*", self.place)
+                told[name] = max(told.get(name, (rank, value)), (rank, value))
+
+    def of(self, node: Node) -> dict[str, str]:
+        """The declarations that hold for an element, those of its own attribute included."""
+        best: dict[str, tuple[_Rank, str]] = {}
+        if self.said:
+            own = ["", *(f".{name}" for name in node.attributes.get("class", "").split())]
+            if "id" in node.attributes:
+                own.append(f"#{node.attributes['id']}")
+            for key in ((tag, name) for name in own for tag in (node.tag, "*")):
+                for name, said in self.said.get(key, {}).items():
+                    best[name] = max(best.get(name, said), said)
+        for place, (name, value, important) in enumerate(_declared(node.attributes.get("style", ""))):
+            said = ((important, True, False, False, False, place), value)
+            best[name] = max(best.get(name, said), said)
+        return {name: value for name, (_, value) in best.items()}
+
+
 @dataclass(slots=True)
 class Node:
     tag: str
-    hidden: bool = False  # with all that it contains
-    visibility: bool | None = None  # of its own text; inherited if None
     attributes: dict[str, str] = field(default_factory=dict)
     children: list[Node | str] = field(default_factory=list)
 
-    def style(self, attributes: dict[str, str]) -> None:
-        """Take in attributes and what they say of the element's visibility."""
-        self.attributes |= attributes
-        style = attributes.get("style", "")
-        self.hidden = self.hidden or "hidden" in attributes or bool(_NOT_DISPLAYED.search(style))
-        for said in _VISIBILITY.findall(style):  # the last one counts
-            self.visibility = said.lower() == "visible"
+    def displayed(self, display: str | None) -> bool:
+        """Whether it is there at all, with what it contains; ``display`` is what its style says."""
+        if self.tag in INVISIBLE or display is not None:
+            return self.tag not in INVISIBLE and display != "none"
+        return "hidden" not in self.attributes and (self.tag != "dialog" or "open" in self.attributes)
 
     def number(self, name: str) -> int | None:
         said = _NUMBER.match(self.attributes.get(name, ""))
         return int(said[1]) if said else None
 
     def shown(self) -> list[Node | str]:
-        """The children that are displayed: of closed details only the first summary."""
-        if self.tag != "details" or "open" in self.attributes:
-            return self.children
-        return [child for child in self.children if isinstance(child, Node) and child.tag == "summary"][:1]
+        """The children that are displayed, in that order.
+
+        Of closed details only the first summary; of a table the first head first and the first foot last; of an option
+        with a label that label.
+        """
+        if self.tag == "details" and "open" not in self.attributes:
+            return self._first("summary")
+        if self.tag == "table":
+            head, foot = self._first("thead"), self._first("tfoot")
+            moved = {id(node) for node in head + foot}
+            return head + [child for child in self.children if id(child) not in moved] + foot
+        if self.tag == "option" and self.attributes.get("label"):
+            return [self.attributes["label"]]
+        return self.children
+
+    def _first(self, tag: str) -> list[Node | str]:
+        return [child for child in self.children if isinstance(child, Node) and child.tag == tag][:1]
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -103,40 +197,28 @@ class TreeBuilder:
     def __init__(self) -> None:
         self.root = Node("html")
         self.stack = [self.root]
-        self.count: Counter[str] = Counter()  # of open elements, so that no search is made for what isn't open
+        self.at: defaultdict[str, list[int]] = defaultdict(list)  # where in the stack a tag is open, the last one last
+        self.styles: list[Node] = []
 
     def _cut(self, at: int) -> None:
-        for node in self.stack[at:]:
-            self.count[node.tag] -= 1
-        del self.stack[at:]
+        while len(self.stack) > at:
+            self.at[self.stack.pop().tag].pop()
+
+    def _last(self, tags: Iterable[str]) -> int:
+        """Where the innermost open element of these tags is; 0 if none is."""
+        return max((self.at[tag][-1] for tag in tags if self.at[tag]), default=0)
 
     def _end(self, tags: frozenset[str], stop: frozenset[str]) -> None:
-        if not any(self.count[tag] for tag in tags):
-            return
-        for i in range(len(self.stack) - 1, 0, -1):
-            tag = self.stack[i].tag
-            if tag in tags:
-                self._cut(i)
-                return
-            if tag in stop:
-                return
-
-    def _inside(self, tag: str, stop: str) -> bool:
-        for node in reversed(self.stack):
-            if node.tag == tag:
-                return True
-            if node.tag == stop:
-                return False
-        return False
+        at = self._last(tags)
+        if at and at >= self._last(stop):
+            self._cut(at)
 
     def _open(self, tag: str, attributes: dict[str, str] | None = None) -> Node:
-        attributes = attributes or {}
-        node = Node(tag, tag in INVISIBLE or (tag == "dialog" and "open" not in attributes))
-        node.style(attributes)
-        self.stack[-1].children.append(node)
+        node = Node(tag, dict(attributes or {}))
+        self.stack[min(len(self.stack) - 1, MOST_DEPTH)].children.append(node)
         if tag not in VOID:
+            self.at[tag].append(len(self.stack))
             self.stack.append(node)
-            self.count[tag] += 1
         return node
 
     def start(self, tag: str, attributes: dict[str, str]) -> None:
@@ -145,7 +227,7 @@ class TreeBuilder:
                 self._end(frozenset(["head"]), frozenset())
                 self._open(tag, attributes)
             else:
-                self.root.style(attributes)
+                self.root.attributes |= attributes
             return
         if self.stack[-1].tag == "head" and tag not in HEAD_ONLY:
             self._cut(len(self.stack) - 1)
@@ -153,8 +235,13 @@ class TreeBuilder:
             self._end(frozenset(["p"]), _SCOPE)
         if tag in ENDS:
             self._end(*ENDS[tag])
-        if tag in ("td", "th") and not self._inside("tr", "table") and self._inside("table", "html"):
-            self._open("tr")
+        table = self._last(["table"])
+        if table and tag in ("td", "th", "tr"):
+            self._end(frozenset(["caption", "colgroup"]), frozenset(["table"]))
+            if self._last(["thead", "tbody", "tfoot"]) < table:
+                self._open("tbody")
+            if tag != "tr" and self._last(["tr"]) < table:
+                self._open("tr")
         if tag[0] == "h" and len(tag) == 2 and self.stack[-1].tag[:1] == "h" and self.stack[-1].tag[1:].isdigit():
             self._cut(len(self.stack) - 1)
         self._open(tag, attributes)
@@ -163,7 +250,7 @@ class TreeBuilder:
         if tag == "br":
             self._open("br")
             return
-        if tag == "p" and not self.count["p"]:
+        if tag == "p" and not self.at["p"]:
             self._open("p")
         stop = frozenset(["table"]) if tag not in ("table", "body", "html") else frozenset()
         if tag not in ("html", "body"):  # what comes after them belongs to the body
@@ -176,8 +263,9 @@ class TreeBuilder:
             self.stack[-1].children.append(text)
 
 
-def parse(page: str) -> Node:
-    builder, at = TreeBuilder(), 0
+def parse(page: str) -> tuple[Node, StyleSheet]:
+    """The tree of a page and what its style sheets say."""
+    builder, sheet, at = TreeBuilder(), StyleSheet(), 0
     while at < len(page):
         m = _TOKEN.search(page, at)
         if m is None:
@@ -201,10 +289,12 @@ def parse(page: str) -> Node:
             until = close.start() if close else len(page)
             inner = page[at:until]
             builder.text(html.unescape(inner) if tag in ESCAPABLE else inner)
+            if tag == "style" and not builder.at["template"]:
+                sheet.add(inner, builder.stack[-1].attributes.get("media", ""))
             at = until
             if not close:
                 break
-    return builder.root
+    return builder.root, sheet
 
 
 class Writer:
@@ -215,7 +305,7 @@ class Writer:
         self.parts: list[str] = []
         self.space = False
         self.gap = 0  # empty lines wanted before the next line
-        self.indent = ""
+        self.indent = 0
         self.marker = ""
 
     def text(self, text: str) -> None:
@@ -234,11 +324,19 @@ class Writer:
 
     def verbatim(self, text: str) -> None:
         first, *others = text.replace("\r\n", "\n").split("\n")
-        self.parts.append(first)
+        self.parts += [" ", first] if self.space and self.parts else [first]
+        self.space = False
         for line in others:
             self.line(keep=True)
             self.parts.append(line)
 
+    def lines_of(self, text: str) -> None:
+        """Text whose line breaks count and whose other white space collapses."""
+        for n, line in enumerate(text.replace("\r\n", "\n").split("\n")):
+            if n:
+                self.line(keep=True)
+            self.text(line)
+
     def line(self, keep: bool = False) -> None:
         """End the line. An empty one counts only if it is to be kept."""
         line = "".join(self.parts)
@@ -249,7 +347,7 @@ class Writer:
             self.lines += [""] * self.gap
         self.gap = 0
         marker, self.marker = self.marker, ""
-        head = self.indent[: max(0, len(self.indent) - len(marker))] + marker
+        head = " " * min(max(0, self.indent - len(marker)), DEEPEST_INDENT) + marker
         self.lines.append((head + line).rstrip())
 
     def block(self, spaced: bool) -> None:
@@ -276,6 +374,14 @@ class _Table:
     groups: list[int] = field(default_factory=list)  # rows that a row group begins with
 
 
+def _width(text: str) -> int:
+    """Places that a text takes: two for wide characters, none for those that combine with the one before."""
+    if text.isascii():
+        return len(text)
+    wide = sum(unicodedata.east_asian_width(c) in "WF" for c in text)
+    return len(text) + wide - sum(unicodedata.category(c) in ("Mn", "Me", "Cf") for c in text)
+
+
 def _placed(table: _Table) -> list[int]:
     """Give every cell its column: the first that no cell from above reaches into. Returns the widths of the columns."""
     widths: list[int] = []
@@ -294,7 +400,7 @@ def _placed(table: _Table) -> list[int]:
                 taken[column] = max(taken[column], until)
             widths += [0] * (at + cell.columns - len(widths))
             if cell.columns == 1:
-                widths[at] = max(widths[at], min(max(map(len, cell.lines)), WIDEST_COLUMN))
+                widths[at] = max(widths[at], min(max(map(_width, cell.lines)), WIDEST_COLUMN))
             at += cell.columns
     return widths
 
@@ -304,6 +410,7 @@ def lay_out(table: _Table) -> list[str]:
     begins = [0]
     for width in _placed(table):
         begins.append(begins[-1] + width + 2)
+    aligned = begins[-1] <= WIDEST_TABLE
     lines = []
     for row in table.rows:
         if not any(any(cell.lines) for cell in row):
@@ -311,14 +418,15 @@ def lay_out(table: _Table) -> list[str]:
         for n in range(max(len(cell.lines) for cell in row)):
             parts, length = [], 0
             for cell in row:
-                text, begin = cell.lines[n] if n < len(cell.lines) else "", begins[cell.at]
+                text = cell.lines[n] if n < len(cell.lines) else ""
                 if not text:
                     continue
+                begin = begins[cell.at] if aligned else length + 2 * bool(parts)
                 if parts and length + 2 > begin:  # a longer cell reaches into this column
                     lines.append("".join(parts))
                     parts, length = [], 0
                 parts += [" " * (begin - length), text]
-                length = begin + len(text)
+                length = begin + _width(text)
             lines.append("".join(parts).rstrip())
     return lines
 
@@ -352,6 +460,14 @@ def _marker(node: Node, lists: list[_List]) -> str:
     return f"{number}. "
 
 
+def _typed(node: Node) -> str:
+    """What an input shows: what was typed into it or else its placeholder, the label of a button."""
+    kind, value = node.attributes.get("type", "").strip().lower(), node.attributes.get("value")
+    if kind in BUTTONS:
+        return BUTTONS[kind] if value is None else value
+    return "" if kind in MUTE_INPUTS else value or node.attributes.get("placeholder", "")
+
+
 def visible_text(page: str | None) -> str:
     """The page's visible text. Iterative, so depth is no limit."""
     if not page:
@@ -361,22 +477,27 @@ def visible_text(page: str | None) -> str:
     lists: list[_List] = []
     indents: list[int] = []  # of each open list item, by how much it is indented
     visible = [True]  # of each open element, whether its own text is
-    pre = 0
-    todo: list[tuple[Node | str, bool]] = [(parse(page), True)]
+    spaces = ["normal"]  # of each open element, what becomes of white space
+    quotes = 0
+    root, sheet = parse(page)
+    todo: list[tuple[Node | str, bool]] = [(root, True)]
     while todo:
         node, opening = todo.pop()
         out = writers[-1]
         if isinstance(node, str):
-            if not visible[-1]:
+            if not visible[-1] or (tables and len(writers) <= len(tables) and not node.strip()):
                 continue
-            if pre:
+            if spaces[-1] in ("pre", "pre-wrap", "break-spaces"):
                 out.verbatim(node)
-            elif not tables or len(writers) > len(tables) or node.strip():
+            elif spaces[-1] == "pre-line":
+                out.lines_of(node)
+            else:
                 out.text(node)
             continue
         tag = node.tag
         if opening:
-            if node.hidden:
+            said = sheet.of(node)
+            if not node.displayed(said.get("display")):
                 continue
             if tag == "br":
                 out.line(keep=True)
@@ -386,12 +507,13 @@ def visible_text(page: str | None) -> str:
                 out.parts.append("---")
                 out.block(True)
                 continue
+            shown = {"visible": True, "hidden": False, "collapse": False}.get(said.get("visibility", ""), visible[-1])
             if tag == "input":
-                shown = visible[-1] if node.visibility is None else node.visibility
-                if shown and node.attributes.get("type", "").lower() in ("submit", "reset", "button"):
-                    out.text(node.attributes.get("value", ""))
+                if shown:
+                    out.text(_typed(node))
                 continue
-            visible.append(visible[-1] if node.visibility is None else node.visibility)
+            visible.append(shown)
+            spaces.append(said.get("white-space", "pre" if tag in KEEPS_SPACE else spaces[-1]))
             todo.append((node, False))
             todo += [(child, True) for child in reversed(node.shown())]
             if tag == "table":
@@ -411,20 +533,29 @@ def visible_text(page: str | None) -> str:
                 marker = _marker(node, lists)
                 out.marker = marker if visible[-1] else ""
                 indents.append(len(marker))
-                out.indent += " " * len(marker)
+                out.indent += len(marker)
             elif tag in ("dd", "blockquote"):
-                out.indent += "  "
-            elif tag == "pre":
-                pre += 1
-                if node.children and isinstance(node.children[0], str) and node.children[0][:1] == "\n":
-                    todo[-1] = (node.children[0][1:], True)
+                out.indent += 2
+            elif tag == "optgroup" and shown:
+                out.text(node.attributes.get("label", ""))
+                out.line()
+            elif tag == "q":
+                out.text("\u201c\u2018"[quotes % 2] if shown else "")
+                quotes += 1
+            elif tag in KEEPS_SPACE and node.children and isinstance(node.children[0], str):
+                todo[-1] = (re.sub(r"\A\r?\n", "", node.children[0]), True)
+            elif tag == "textarea" and shown:
+                out.text(node.attributes.get("placeholder", ""))
             continue
-        visible.pop()
+        shown = visible.pop()
+        spaces.pop()
         if tag == "table":
             for line in lay_out(tables.pop()):
                 out.parts.append(line)
                 out.line(keep=True)
             out.block(True)
+        elif tables and tag in ("thead", "tbody", "tfoot"):
+            tables[-1].groups.append(len(tables[-1].rows))
         elif tables and tag in ("td", "th"):
             lines = writers.pop().done().split("\n")
             columns, rows = node.number("colspan"), node.number("rowspan")
@@ -439,11 +570,12 @@ def visible_text(page: str | None) -> str:
             if tag in ("ul", "ol", "menu") and lists:
                 lists.pop()
             elif tag == "li":
-                out.indent, out.marker = out.indent[: len(out.indent) - indents.pop()], ""
+                out.indent, out.marker = out.indent - indents.pop(), ""
             elif tag in ("dd", "blockquote"):
-                out.indent = out.indent[:-2]
-            elif tag == "pre":
-                pre -= 1
+                out.indent -= 2
+            elif tag == "q":
+                quotes -= 1
+                out.text("\u201d\u2019"[quotes % 2] if shown else "")
     return writers[0].done()
 
 
@@ -464,11 +596,15 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
 
     A tree builder opens and closes what tags imply. Elements that a browser does not display (scripts, styles, the head,
     templates, ``hidden``, ``display: none``, a ``dialog`` that isn't open, what closed ``details`` hold but their summary)
-    are left out with all they contain. ``visibility`` is inherited, so visible parts of invisible elements are there. All
-    else is emitted. Paragraphs, headings, lists and tables have an empty line around them, other blocks a line break;
+    are left out with all they contain. ``visibility`` is inherited, so visible parts of invisible elements are there.
+    Style sheets of the page count as :class:`StyleSheet` says, ``style`` attributes and ``!important`` above them. All
+    else is emitted: what inputs hold or else their placeholders (passwords never), labels of option groups, quotation
+    marks of ``q``; a table's ``thead`` first and its ``tfoot`` last. Paragraphs, headings, lists and tables have an empty line around them, other blocks a line break;
     list items have bullets or numbers (``start``, ``value`` and ``reversed`` count) and nested ones are indented; table
-    cells begin where their columns do, with what spans columns or rows in its place; ``pre`` keeps its white space. Pages
-    are independent: no shuffle.
+    cells begin where their columns do (wide characters take two places), with what spans columns or rows in its place;
+    ``pre``, ``textarea`` and ``white-space`` keep white space. Time is linear in the page, whatever its markup, but for
+    tables in tables, whose lines are laid out once a level, of which ``MOST_DEPTH`` bounds the number. Pages are
+    independent: no shuffle.
 
     Null and empty pages give empty texts; broken markup is no error. Repeated rows and null ids are passed through.
     Other columns are not read. An empty table gives an empty result.

@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import time
 import re
 from collections import Counter, defaultdict
 
@@ -267,7 +268,14 @@ class Pages:
         return self.rng.choice([f"</{tag}>", f"</{tag.upper()}>\n", ""])
 
     def block(self, depth, visible=True):
-        kind = self.rng.choice(["p", "div", "list", "table", "hidden", "unseen", "details", "dialog", "h2"])
+        kind = self.rng.choice(["p", "div", "list", "table", "hidden", "unseen", "details", "dialog", "h2", "form", "kept"])
+        if kind == "form":
+            page, lines = self.form()
+            return page, lines if visible else []
+        if kind == "kept":
+            lines = [" " * self.rng.randint(0, 2) + self.words() + "  z" for _ in range(2)]
+            style = self.rng.choice(["white-space:pre", "color:red; white-space: pre-wrap"])
+            return f'<div style="{style}">' + "\n".join(lines) + "</div>", lines if visible else []
         if depth > 2 or kind in ("p", "h2"):
             text = self.words()
             close = self.end("p") if kind != "h2" else "</h2>"
@@ -283,10 +291,12 @@ class Pages:
         if kind == "div":
             return f"<div>{page}</div>", lines
         if kind == "hidden":
-            return self.rng.choice(["<div hidden>%s</div>", '<div style="color:red;display: none">%s</div>']) % page, []
+            tags = ["hidden", 'style="color:red;display: none"', 'class="a gone"', "id=off", "hidden class=dim"]
+            return f"<div {self.rng.choice(tags)}>{page}</div>", []
         if kind == "unseen":
             inner, unseen = self.blocks(depth + 1, False)
-            return f'<div style="visibility:hidden">lost{inner}<div style="visibility: visible">{page}</div></div>', [*unseen, *lines]
+            dim = self.rng.choice(['style="visibility:hidden"', "class=dim"])
+            return f'<div {dim}>lost{inner}<div style="visibility: visible">{page}</div></div>', [*unseen, *lines]
         is_open = self.rng.random() < 0.5
         if kind == "dialog":
             return f"<dialog{' open' * is_open}>{page}</dialog>", lines if is_open else []
@@ -315,6 +325,26 @@ class Pages:
         opening = tag + f" start={start}" * (numbered and start is not None) + " reversed" * backwards
         return f"<{opening}>{page}</{tag}>", out
 
+    def form(self):
+        typed, said, label, option = (self.words() for _ in range(4))
+        fields = [
+            (f'<input value="{typed}">', typed),
+            (f'<input type=text placeholder="{said}" value="{typed}">', typed),
+            (f'<input placeholder="{said}">', said),
+            ("<input type=password value=secret>", ""),
+            ("<input type=checkbox value=on>", ""),
+            ("<input type=submit>", "Submit"),
+            (f"<textarea placeholder=p>\n{typed}</textarea>", typed),
+            (f'<textarea placeholder="{said}"></textarea>', said),
+            (f"<ruby>{typed}<rp>(</rp></ruby>", typed),
+            (f"<q>{typed} <q>{said}</q></q>", f"\u201c{typed} \u2018{said}\u2019\u201d"),
+        ]
+        made = self.rng.sample(fields, 3)
+        line = " ".join(shown for _, shown in made if shown)
+        choice = self.rng.choice([f"<option>{option}", f'<option label="{option}">value'])
+        select = f'<select><optgroup label="{label}">{choice}</select>'
+        return f"<div>{' '.join(field for field, _ in made)}</div>{select}", [*[line] * bool(line), label, option]
+
     def table(self):
         n_rows, page, grid, starts = self.rng.randint(1, 4), "", {}, []
         for r in range(n_rows):
@@ -331,9 +361,14 @@ class Pages:
                 page += f"<td colspan={columns} rowspan={rows}>{'<br>'.join(lines)}{self.end('td')}"
                 at += columns
             page += self.end("tr")
+        foot = self.rng.random() < 0.4
+        if foot:
+            starts += [(n_rows, c, 1, [self.words(2)]) for c in range(2)]
+            cells = "".join(f"<td>{lines[0]}" for r, *_, lines in starts if r == n_rows)
+            page = f"<tfoot><tr>{cells}</tfoot><tbody>{page}{self.end('tbody')}"
         wide = [max((len(x) for _, c, n, lines in starts if (c, n) == (i, 1) for x in lines), default=0) for i in range(99)]
         out = []
-        for r in range(n_rows):
+        for r in range(n_rows + foot):
             row = [x for x in starts if x[0] == r]
             for k in range(max(len(lines) for *_, lines in row)):
                 line = ""
@@ -348,6 +383,10 @@ class Pages:
         return f"<table>{page}</table>", out
 
 
+SHEET = """<style media="screen">/* .a {display:none} */ .gone, #off {display:none} div.dim { visibility : hidden; color:red }
+@media print { div, p { display: none } } @import "x"; p > .a, .a:hover {display:none}</style>"""
+
+
 def test_pages_as_a_second_renderer_has_them():
     for seed in range(400):
         page, lines = Pages(seed).blocks(0)
@@ -357,7 +396,40 @@ def test_pages_as_a_second_renderer_has_them():
                 want.append(line)
             elif want and want[-1] is not None:
                 want.append(None)
-        assert visible_text(f"<body>{page}") == "\n".join(line or "" for line in want).strip("\n"), page
+        assert visible_text(f"{SHEET}<body>{page}") == "\n".join(line or "" for line in want).strip("\n"), page
+
+
+def test_style_sheets_rank_their_rules():
+    shown = lambda css, tag="<p class='a' id=i>": visible_text(f"<style>{css}</style>{tag}x</p>") == "x"
+    assert not shown("p{display:none}") and not shown("*{display:none}") and not shown("P.a{display:none}")
+    assert shown("p{display:none} .a{display:block}") and not shown("#i{display:none} .a{display:block}")
+    assert shown("#i{display:none} .a{display:block !important}") and not shown(".a{display:block} .a{display:none}")
+    assert shown("p{display:none}", "<p style='display:block'>") and shown("p{display:none", "<div>")
+    assert not shown("p{display:none!important}", "<p style='display:block'>")
+    assert shown("p{display:block}", "<p hidden>") and shown("@supports (x:y) {p{display:none}}")
+    assert not shown("@media screen, print {p{display:none}}") and shown("@media (min-width: 9px) {p{display:none}}")
+    assert not shown("}}p{display:none}") and shown("script{display:block}") and shown("p b{display:none}")
+    assert visible_text("<style media=print>p{display:none}</style><template><style>p{display:none}</style></template><p>x") == "x"
+
+
+def test_parts_of_tables_and_white_space():
+    table = "<table><tfoot><tr><td>f</tfoot><tfoot><tr><td>g</tfoot><tr><td>b<tbody><tr><td>c<thead><tr><td>h</table>"
+    assert visible_text(table) == "h\ng\nb\nc\nf"
+    assert visible_text("<table><tr><td>\u65e5\u672c<td>x<tr><td>abcdef<td>y</table>") == "\u65e5\u672c    x\nabcdef  y"
+    assert visible_text('<div style="white-space: pre-line">a  b\n c<p style="white-space:normal">d\n e</div>') == "a b\nc\n\nd e"
+    assert visible_text("<pre>\r\na\r\n b</pre><xmp><b></xmp>") == "a\n b\n\n<b>"
+    wide = "<table><tr>" + f"<td>{'x' * 70}" * 99 + "<tr><td colspan=98><td>y</table>"
+    assert visible_text(wide) == "  ".join(["x" * 70] * 99) + "\ny"
+
+
+def test_pages_take_linear_time():
+    n = 40_000
+    pages = ["<b><table>" + "<i>" * n + "</b>" * n, "<p><table>" * n, "<ul><li>a" * n, "<blockquote>a" * n]
+    pages.append("<style>" + "".join(f".a{i}{{display:none}}" for i in range(n)) + "</style>" + "<p class='a b c'>x" * n)
+    for page in pages:
+        began = time.process_time()
+        assert visible_text(page).count("a") == page.count("a") * (page[:2] in ("<u", "<b") and page[:3] != "<b>")
+        assert time.process_time() - began < 12  # minutes if it were quadratic
 
 
 def test_long_cells_stay_aligned():
