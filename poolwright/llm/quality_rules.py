@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import math
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -15,9 +14,10 @@ from .runtime import materialize, words
 #: Rows, on average, of the sample that costs and selectivities are estimated on, and its seed. They decide the order of
 #: the rules, and so the time, but never a verdict.
 SAMPLE_ROWS, SAMPLE_SEED = 500, 11
-#: Times that a measurement is repeated, seconds that the measured rule should take at least, and the most copies of the
-#: sample that are made for that.
-REPEATS, LEAST_SECONDS, MOST_COPIES = 3, 0.1, 64
+#: Nanoseconds that a feature takes a code point, as :func:`measured_costs` had them, and a feature that isn't listed;
+#: nanoseconds that a rule itself takes a text. As they are written down, a cold session orders rules as a warm one does.
+COSTS = {"word_chars": 12.0, "n_symbols": 32.0, "n_capitals": 28.0, "n_dup_lines": 14.0, "n_repeat_words": 300.0}
+UNKNOWN_COST, RULE_COST = 64.0, 50.0
 
 SYMBOLS = "[#*$%&|<>]"
 A_WORD = r"[^\x20\x09-\x0D]"
@@ -171,65 +171,64 @@ def cascade(df: DataFrame, rules: Sequence[Rule], alive: Column | None = None) -
     return df
 
 
+def measured_costs(
+    docs: DataFrame, names: Sequence[str] = tuple(FEATURES), text_col: str = "text", repeats: int = 3
+) -> dict[str, float]:
+    """Nanoseconds of one core that each feature takes a code point: what :data:`COSTS` was written down from.
+
+    The table is written once as one partition, so it should be a small one. A feature's time is the least of some jobs
+    that compute it, less that of jobs that only read the rows.
+    """
+    rows = prepared(docs.select(text_col).repartition(1), text_col, text_col).drop("__qr_id")
+    rows = materialize(rows, "quality-costs")
+    chars = rows.agg(F.sum(F.length(_TEXT))).first()[0] or 1
+
+    def least(name: str | None) -> float:
+        df = rows if name is None else add_features(rows, [name])
+        reads = (F.octet_length(_TEXT) < 0) | (F.size(_WORDS) < -1)
+        job = df.agg(F.count_if(reads if name is None else reads | (F.col(name) < 0)))
+        job.first()
+        took = []
+        for _ in range(repeats):
+            began = time.monotonic()
+            job.first()
+            took.append(time.monotonic() - began)
+        return min(took)
+
+    idle = least(None)
+    return {name: max(least(name) - idle, 0.0) * 1e9 / chars for name in names}
+
+
 def learn_order(
     docs: DataFrame,
     rules: Sequence[Rule],
-    id_col: str = "doc_id",
     text_col: str = "text",
     sample_rows: int = SAMPLE_ROWS,
     have: Sequence[str] = (),
+    costs: Mapping[str, float] = COSTS,
 ) -> list[Rule]:
-    """The rules by rejections per cost, best first, both measured on a sample of about ``sample_rows`` rows.
-
-    Every row of every partition is as likely to be sampled, whatever its length. The sample is written as one partition
-    with the features ``have``, which cost a rule nothing. A rule's cost is the time of a job that computes its features
-    and counts its rejections, less the time of one that only reads the rows: after a warm-up, the least of ``REPEATS``
-    measurements over as many copies of the sample as it takes to make the rule outlast the job around it. Costs are
-    rounded to powers of two, so that noise doesn't decide; rules of equal rank go by name. A rule that rejects nothing
-    there goes last, the cheaper the sooner. An empty sample leaves the rules as they are.
+    """The rules by rejections per cost, best first, both estimated on a sample of about ``sample_rows`` rows.
+
+    Every row of every partition is as likely to be sampled, whatever its length. One job counts the sampled texts, their
+    code points and each rule's rejections. A rule costs ``RULE_COST`` a text and, for each of its features that ``have``
+    doesn't name, the feature's cost a code point; so the order depends on rules, costs and rows, not on how warm or busy
+    a session is. A rule that rejects nothing there goes last, the cheaper the sooner; rules of equal rank go by name. An
+    empty sample leaves the rules as they are.
     """
-    n = docs.count()
-    if not n:
+    n = docs.count() if sample_rows else 0
+    if not n or not rules:
         return list(rules)
-    texts = docs.select(id_col, text_col).sample(min(1.0, sample_rows / n), SAMPLE_SEED).repartition(1)
-    sample = add_features(prepared(texts, id_col, text_col).drop("__qr_id"), have)
-    sample = materialize(sample, "quality-sample")
-    rows = sample.count()
+    texts = docs.select(text_col).sample(min(1.0, sample_rows / n), SAMPLE_SEED)
+    df = add_features(prepared(texts, text_col, text_col), [name for rule in rules for name in rule.needs])
+    rejected = [F.count_if(F.coalesce(rule.rejects(), F.lit(False))) for rule in rules]
+    rows, chars, *counts = df.agg(F.count(F.lit(1)), F.sum(F.length(_TEXT)), *rejected).first()
     if not rows:
         return list(rules)
-    idle: dict[int, float] = {}
-
-    def timed(rule: Rule | None, copies: int) -> tuple[float, int]:
-        df = sample.withColumn("__qr_nth", F.explode(F.sequence(F.lit(1), F.lit(copies))))
-        reads = (F.octet_length(_TEXT) < 0) | (F.size(_WORDS) < -1)
-        if rule is not None:
-            df = add_features(df, rule.needs)
-            reads = reads | F.coalesce(rule.rejects(), F.lit(False))
-        job = df.agg(F.count_if(reads))
-        began = time.monotonic()
-        rejected = job.first()[0]
-        return time.monotonic() - began, rejected
-
-    def least(rule: Rule | None, copies: int) -> float:
-        return min(timed(rule, copies)[0] for _ in range(REPEATS))
-
-    def cost_of(rule: Rule) -> tuple[float, int]:
-        timed(rule, 1)
-        took, rejected = timed(rule, 1)
-        copies = LEAST_SECONDS / max(took - idle[1], LEAST_SECONDS / MOST_COPIES)
-        copies = 1 << max(0, math.ceil(math.log2(copies)))
-        if copies not in idle:
-            timed(None, copies)
-            idle[copies] = least(None, copies)
-        cost = max(least(rule, copies) - idle[copies], 1e-4) / (copies * rows)
-        return 2.0 ** round(math.log2(cost)), rejected
-
-    timed(None, 1)
-    idle[1] = least(None, 1)
     score = {}
-    for rule in rules:
-        cost, rejected = cost_of(rule)
-        score[rule.name] = (-rejected / cost, cost, rule.name)
+    for rule, count in zip(rules, counts):
+        unit = sum(costs.get(name, UNKNOWN_COST) for name in {*rule.needs} - {*have})
+        cost = RULE_COST * rows + unit * chars
+        score[rule.name] = (-count / cost, cost, rule.name)
     return sorted(rules, key=lambda rule: score[rule.name])
 
 
@@ -254,7 +253,7 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     result. Other columns of ``docs`` are not read.
     """
     wanted = ["word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    order = learn_order(docs, METHOD_RULES, id_col, text_col, have=wanted)
+    order = learn_order(docs, METHOD_RULES, text_col, have=wanted)
     df = add_features(prepared(docs, id_col, text_col), wanted)
     base_failed = F.lit(False)
     for rule in BASE_RULES:
@@ -270,7 +269,7 @@ def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Base and other rules are one cascade in learned order, and each computes its features only for rows still in it.
     Nulls, empty texts, repeated rows and empty tables as in :func:`quality_report`.
     """
-    order = learn_order(docs, [*BASE_RULES, *METHOD_RULES], id_col, text_col)
+    order = learn_order(docs, [*BASE_RULES, *METHOD_RULES], text_col)
     df = cascade(prepared(docs, id_col, text_col, carry=True), order)
     verdict = _held_up(F.col("__qr_alive")).alias("__qr_kept")
     return df.select("__qr_row", verdict).where("__qr_kept").select("__qr_row.*")

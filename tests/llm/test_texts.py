@@ -99,6 +99,28 @@ def test_costly_rules_that_reject_little_go_last(spark, monkeypatch):
     assert len(quality_rules.learn_order(docs, rules, sample_rows=0)) == 4
 
 
+def test_order_is_that_of_the_counts(spark, docs):
+    rules = [*quality_rules.BASE_RULES, *quality_rules.METHOD_RULES]
+    rejects = {rule.name: 0 for rule in rules}
+    chars = 0
+    frame = quality_rules.add_features(
+        quality_rules.prepared(docs, "doc_id", "text"), [name for rule in rules for name in rule.needs]
+    )
+    for row in frame.select("__qr_text", *[F.coalesce(rule.rejects(), F.lit(False)).alias(rule.name) for rule in rules]).collect():
+        chars += len(row["__qr_text"])
+        for rule in rules:
+            rejects[rule.name] += row[rule.name]
+    rows = docs.count()
+    costs = {"n_symbols": 3.0, "n_repeat_words": 0.5}
+    unit = {rule.name: sum(costs.get(name, 64.0) for name in set(rule.needs) - {"word_chars"}) for rule in rules}
+    cost = {name: 50.0 * rows + x * chars for name, x in unit.items()}
+    want = sorted(rejects, key=lambda name: (-rejects[name] / cost[name], cost[name], name))
+    learned = quality_rules.learn_order(docs, rules, sample_rows=10**6, have=["word_chars"], costs=costs)
+    assert [rule.name for rule in learned] == want
+    measured = quality_rules.measured_costs(docs, ["n_symbols", "n_dup_lines"], repeats=1)
+    assert set(measured) == {"n_symbols", "n_dup_lines"} and min(measured.values()) >= 0
+
+
 def test_equal_hashes_of_different_windows(spark, monkeypatch):
     monkeypatch.setattr(quality_rules.F, "xxhash64", lambda *words: F.length(words[0]).cast("long"))
     rng = np.random.default_rng(9)
