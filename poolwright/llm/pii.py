@@ -21,13 +21,21 @@ KINDS = (*BASE, FOUND)
 CANDIDATE = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 
-#: Strings that count as seeds by their form: 128, 160 or 256 bits in hexadecimal digits, as keys and tokens are written.
-#: They are found only if their contexts say so, like any other candidate.
-SEED_FORM = r"^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$"
+#: What stands before a seed within its word: the value of an assignment to one of these names is a seed, like the base
+#: entities. No form of an identifier is a seed.
+SEED_LEAD = r"(?i)(?:^|[^a-z0-9])(?:password|passwd|pwd)[\"']?[=:][\"']?$"
+#: A candidate's lead, up to its last opening mark or just the marks before it, and what is left without the marks after it.
+PARTS = r"(?s)^(.*[=:\"'<(\[{|](?=[A-Za-z0-9])|[^A-Za-z0-9]*+)(.*[A-Za-z0-9])"
+#: Sides that a pattern may stand on: words before, words after, the lead within the word, and the form of the string.
+SIDES = ("L", "R", "lead", "form")
 #: Words that a pattern has at most.
 PATTERN_WORDS = 3
-ROUNDS = 3
-#: Different entities that a pattern needs, confidence below which it says nothing, and confidence from which an
+ROUNDS = 6
+#: How far a form is believed: less than ``CONFIDENT``, so that no string is found by its form alone.
+FORM_TRUST = 0.5
+#: Characters from which strings of one alphabet are alike, whatever their length.
+LONG_FORM = 16
+#: Confidences of different entities that a pattern needs in sum, confidence below which it says nothing, and confidence from which an
 #: identifier is taken.
 MIN_SEEDS = 3
 MIN_WEIGHT = 0.1
@@ -51,12 +59,13 @@ def _matches(text: Column, kind: str, pattern: str, guard: Column) -> Column:
     number = F.lit(KINDS.index(kind))
     # what touches the match belongs to its own word
     said = lambda x: F.filter(x, lambda w: w != "")
+    gaps = F.transform(F.split(text, pattern, -1), lambda p: F.struct(F.length(p).alias("n"), _split(p).alias("words")))
     ends = F.transform(
-        F.split(text, pattern, -1),
+        gaps,
         lambda p: F.struct(
-            F.length(p).alias("n"),
-            F.slice(F.reverse(said(F.slice(_split(p), 1, F.size(_split(p)) - 1))), 1, PATTERN_WORDS).alias("last"),
-            F.slice(said(F.slice(_split(p), 2, F.size(_split(p)))), 1, PATTERN_WORDS).alias("first"),
+            p["n"].alias("n"),
+            F.slice(F.reverse(said(F.slice(p["words"], 1, F.size(p["words"]) - 1))), 1, PATTERN_WORDS).alias("last"),
+            F.slice(said(F.slice(p["words"], 2, F.size(p["words"]))), 1, PATTERN_WORDS).alias("first"),
         ),
     )
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -91,14 +100,28 @@ def _valid() -> Column:
 
 
 def _occurrences(found: DataFrame) -> DataFrame:
-    """(uid, kind, start, end, match, left, right); offsets are running sums over a document's gaps and matches."""
+    """(uid, kind, start, end, match, left, right); offsets are running sums over a document's gaps and matches.
+
+    Candidates are whole words, so their contexts go on over the candidates beside them.
+    """
     rows = found.select("uid", F.explode("found").alias("f")).select("uid", "f.*")
-    so_far = Window.partitionBy("uid", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    in_order = Window.partitionBy("uid", "kind").orderBy("nth")
     length = F.length("match")
-    end = F.sum(F.col("gap") + length).over(so_far)
-    return rows.withColumn("end", end).select(
-        "uid", "kind", (F.col("end") - length).alias("start"), "end", "match", "left", "right"
-    )
+    end = F.sum(F.col("gap") + length).over(in_order.rowsBetween(Window.unboundedPreceding, 0))
+
+    def beyond(side: str, step: int) -> Column:
+        none = F.array().cast("array<string>")
+        more = [F.col(side)]
+        for n in range(1, PATTERN_WORDS + 1):  # each candidate on the way is a word itself
+            word = F.lag("match", n * step).over(in_order)
+            more += [F.array_compact(F.array(word)), F.coalesce(F.lag(side, n * step).over(in_order), none)]
+        return F.when(F.col("kind") == KINDS.index(FOUND), F.slice(F.concat(*more), 1, PATTERN_WORDS)).otherwise(F.col(side))
+
+    rows = rows.withColumns({"end": end, "before": beyond("left", 1), "after": beyond("right", -1)})
+    return rows.select(
+        "uid", "kind", (F.col("end") - length).alias("start"), "end", "match",
+        F.col("before").alias("left"), F.col("after").alias("right"),
+    )
 
 
 def _apart_from_base(spans: DataFrame) -> DataFrame:
@@ -113,12 +136,12 @@ def _apart_from_base(spans: DataFrame) -> DataFrame:
 
 
 def _trimmed(spans: DataFrame) -> DataFrame:
-    """Candidates without the marks around them; too short ones go."""
-    core = F.regexp_extract("match", r"^([^A-Za-z0-9]*+)(.*[A-Za-z0-9])", 2)
-    lead = F.length(F.regexp_extract("match", r"^([^A-Za-z0-9]*+)", 1))
+    """Candidates without their lead, which becomes a column, and the marks after them; too short ones go."""
+    parts = {"lead": F.regexp_extract("match", PARTS, 1), "core": F.regexp_extract("match", PARTS, 2)}
     return (
-        spans.withColumns({"core": core, "start": F.col("start") + lead})
-        .where(F.length(F.regexp_replace("core", "[^A-Za-z0-9]", "")) >= MIN_IDENTIFIER_CHARS)
+        spans.withColumns(parts)
+        .where(F.col("core").rlike("[0-9]") & (F.length(F.regexp_replace("core", "[^A-Za-z0-9]", "")) >= MIN_IDENTIFIER_CHARS))
+        .withColumn("start", F.col("start") + F.length("lead"))
         .withColumns({"match": F.col("core"), "end": F.col("start") + F.length("core")})
         .drop("core")
     )
@@ -137,20 +160,44 @@ def _keys(mark: str, near: list[Column]) -> list[Column]:
     return [F.when(near[n].isNotNull(), F.xxhash64(F.lit(mark), *near[: n + 1])) for n in range(PATTERN_WORDS)]
 
 
+def _forms(instance: Column) -> list[Column]:
+    """The forms of a string, from special to general: its alphabet with its length, and with whether it is long."""
+    alphabet = (
+        F.when(instance.rlike("^[0-9]+$"), F.lit("digits"))
+        .when(instance.rlike("^[0-9a-f]+$"), F.lit("hex"))
+        .when(instance.rlike("^[0-9a-z]+$"), F.lit("lower"))
+        .when(instance.rlike("^[0-9A-Z]+$"), F.lit("upper"))
+        .when(instance.rlike("^[0-9A-Za-z]+$"), F.lit("mixed"))
+        .otherwise(F.lit("marks"))
+    )
+    length = F.length(instance)
+    return [F.xxhash64(F.lit("form"), alphabet, length), F.xxhash64(F.lit("long form"), alphabet, length >= LONG_FORM)]
+
+
 def _edges(spans: DataFrame) -> DataFrame:
-    """(pattern, left, instance, seed, n): the edges of the pattern-instance graph, and how often each occurs."""
+    """(pattern, side, place, instance, seed, n): the edges of the pattern-instance graph, and how often each occurs.
+
+    Patterns of one place are those with the same nearest word, the same lead, or all forms.
+    """
     instance = F.lower("match")
-    seed = (F.col("kind") < KINDS.index(FOUND)) | instance.rlike(SEED_FORM)
+    candidate = F.col("kind") == KINDS.index(FOUND)
+    seed = ~candidate | F.col("lead").rlike(SEED_LEAD)
+    none = F.array().cast("array<bigint>")
 
-    def side(mark: str, words: str) -> Column:
+    def words_of(mark: str, words: str) -> Column:
         near = [F.get(F.transform(words, lambda w: F.xxhash64(_normal(w))), F.lit(i)) for i in range(PATTERN_WORDS)]
-        return F.struct(F.lit(mark == "L").alias("left"), F.array_compact(F.array(*_keys(mark, near))).alias("keys"))
-
-    by_side = F.array(side("L", "left"), side("R", "right"))
+        return F.array_compact(F.array(*_keys(mark, near)))
+
+    # base entities were told by their own form and check, so they say nothing of the forms and leads of candidates
+    lead = F.when(candidate & (F.col("lead") != ""), F.array(F.xxhash64(F.lit("lead"), _normal("lead")))).otherwise(none)
+    forms = F.when(candidate, F.array(*_forms(F.col("match")))).otherwise(none)
+    keys = (words_of("L", "left"), words_of("R", "right"), lead, forms)
+    sides = F.array(*[F.struct(F.lit(i).alias("side"), k.alias("keys")) for i, k in enumerate(keys)])
+    place = F.when(F.col("by.side") == SIDES.index("form"), F.lit(0).cast("long")).otherwise(F.get("by.keys", F.lit(0)))
     return (
-        spans.select(F.explode(by_side).alias("side"), instance.alias("instance"), seed.alias("seed"))
-        .select(F.explode("side.keys").alias("pattern"), "side.left", "instance", "seed")
-        .groupBy("pattern", "left", "instance", "seed")
+        spans.select(F.explode(sides).alias("by"), instance.alias("instance"), seed.alias("seed"))
+        .select(F.explode("by.keys").alias("pattern"), "by.side", place.alias("place"), "instance", "seed")
+        .groupBy("pattern", "side", "place", "instance", "seed")
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
@@ -179,54 +226,84 @@ def _totals(texts: DataFrame, patterns: DataFrame, broadcast: bool) -> DataFrame
     return counted if broadcast else counted.join(patterns.select("pattern").hint("merge"), "pattern", "left_semi")
 
 
+def _best(edges: DataFrame, weights: DataFrame) -> DataFrame:
+    """(instance, w0, p0, s0, w1, ...): for each side the best weight, its place, and the best of any other place."""
+    by_place = dealt_join(edges.select("pattern", "side", "place", "instance"), weights, "pattern", F.col("instance"))
+    by_place = by_place.groupBy("instance", "side", "place").agg(F.max("weight").alias("w"))
+    rank = F.row_number().over(Window.partitionBy("instance", "side").orderBy(F.desc("w"), "place"))
+    top = by_place.withColumn("rank", rank).where("rank <= 2").groupBy("instance")
+    columns = []
+    for i in range(len(SIDES)):
+        first, second = (F.col("side") == i) & (F.col("rank") == 1), (F.col("side") == i) & (F.col("rank") == 2)
+        columns += [F.max(F.when(first, F.col("w"))).alias(f"w{i}"), F.max(F.when(first, F.col("place"))).alias(f"p{i}")]
+        columns.append(F.max(F.when(second, F.col("w"))).alias(f"s{i}"))
+    return top.agg(*columns)
+
+
+def _confidence(besides: bool = False) -> Column:
+    """What the best patterns say together; ``besides`` leaves those of the row's own side and place out."""
+    left_open = F.lit(1.0)
+    for i, side in enumerate(SIDES):
+        w = F.col(f"w{i}")
+        if besides:
+            own = (F.col("side") == i) & (F.col("place") == F.col(f"p{i}"))
+            w = F.when(own, F.col(f"s{i}")).otherwise(w)
+        left_open = left_open * (1 - (FORM_TRUST if side == "form" else 1.0) * F.coalesce(w, F.lit(0.0)))
+    return 1 - left_open
+
+
 def discover(spans: DataFrame, texts: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(instance) of the candidates whose contexts say that they are identifiers.
 
-    ``spans`` has base entities and candidates with the words around them, ``texts`` all texts in a column text. A
-    pattern is the one to ``PATTERN_WORDS`` words on one side. Base entities and candidates of the form ``SEED_FORM`` are
-    the seeds, with confidence 1. In every round
+    ``spans`` has base entities and candidates with the words around them and the candidates' leads, ``texts`` all texts
+    in a column text. A pattern is the one to ``PATTERN_WORDS`` words on one side, the lead within the word, or a form
+    (:func:`_forms`). Base entities and candidates after a ``SEED_LEAD`` are the seeds, with confidence 1; base entities
+    have no lead and no form. In every round
 
     - a pattern's weight is the sum of its entities' confidences, each as often as it occurs there, over the number of
-      all words that occur there plus one; none if fewer than ``MIN_SEEDS`` different entities that are seeds or
-      ``CONFIDENT`` show it, or if it is below ``MIN_WEIGHT``;
-    - a candidate's confidence is that of its best patterns on either side together: 1 - (1 - left) (1 - right).
+      all words that occur there (for leads and forms: of all candidates) plus one; none if the confidences of its
+      different entities sum to less than ``MIN_SEEDS``, or if it is below ``MIN_WEIGHT``. For a form only the
+      ``CONFIDENT`` count, or strings would vouch for each other by looking alike;
+    - a candidate's confidence is that of its best patterns of the four sides together: 1 less the product of what each
+      leaves open, where a form is believed by ``FORM_TRUST`` only;
+    - a pattern hears of a candidate what patterns of other places say, so none is its own witness.
 
-    So what is found supports the other contexts that it is found in, and these find more. Words that precede anything
-    say little, as their weight is measured against all that they precede.
+    So what looks like a seed lends some confidence to the contexts that it is found in, and contexts that only such
+    strings stand in become sure of them. Words that precede anything say little, as their weight is measured against all
+    that they precede.
 
     Edges are aggregated to distinct ones; patterns that can't reach ``MIN_WEIGHT`` go before the rounds. Joins deal
     the edges of a frequent pattern, or of a frequent string, to several parts.
     """
     edges = materialize(_edges(spans), "pii-edges")
-    shown = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("entities"), F.sum("n").alias("n_all"))
+    shown = edges.groupBy("pattern", "side").agg(F.count(F.lit(1)).alias("entities"), F.sum("n").alias("n_all"))
     shown = materialize(shown.where(F.col("entities") >= MIN_SEEDS), "pii-shown")
-    totals = _totals(texts, shown, shown.count() <= BROADCAST_PATTERNS)
+    around = shown.where(F.col("side") < SIDES.index("lead"))
+    totals = _totals(texts, around, around.count() <= BROADCAST_PATTERNS)
     total = F.greatest(F.coalesce("total", "n_all"), F.col("n_all"))
     patterns = shown.join(totals.hint("merge"), "pattern", "left").select("pattern", "n_all", total.alias("total"))
     patterns = materialize(patterns.where(F.col("n_all") >= MIN_WEIGHT * (F.col("total") + 1)), "pii-patterns")
     edges = materialize(dealt_join(edges, patterns.drop("n_all"), "pattern", F.col("instance")), "pii-graph")
     seeds = edges.where("seed").groupBy("pattern").agg(F.count(F.lit(1)).alias("seeds"), F.sum("n").alias("of_seeds"))
+    told = patterns.select("pattern", "total").join(seeds, "pattern", "left").fillna(0, ["seeds", "of_seeds"])
+    told = materialize(told, "pii-told")
     found = None
     for _ in range(rounds):
-        told = edges.select("pattern", "total").distinct().join(seeds, "pattern", "left").fillna(0, ["seeds", "of_seeds"])
-        if found is not None:
-            new = dealt_join(edges.where("NOT seed"), found, "instance", F.col("pattern")).groupBy("pattern")
-            sums = new.agg(
-                F.sum(F.col("n") * F.col("confidence")).alias("more"),
-                F.count_if(F.col("confidence") >= CONFIDENT).alias("others"),
-            )
-            told = told.join(sums, "pattern", "left").fillna(0, ["more", "others"])
+        if found is None:
+            now = told.withColumns({"more": F.lit(0.0), "others": F.lit(0.0)})
         else:
-            told = told.withColumns({"more": F.lit(0.0), "others": F.lit(0)})
+            new = dealt_join(edges.where("NOT seed"), found, "instance", F.col("pattern"))
+            new = new.withColumn("confidence", _confidence(besides=True))
+            new = new.where((F.col("side") < SIDES.index("form")) | (F.col("confidence") >= CONFIDENT))
+            sums = new.groupBy("pattern").agg(
+                F.sum(F.col("n") * F.col("confidence")).alias("more"), F.sum("confidence").alias("others")
+            )
+            now = told.join(sums, "pattern", "left").fillna(0, ["more", "others"])
         weight = (F.col("of_seeds") + F.col("more")) / (F.col("total") + 1)
-        weights = told.where(F.col("seeds") + F.col("others") >= MIN_SEEDS).select("pattern", weight.alias("weight"))
+        weights = now.where(F.col("seeds") + F.col("others") >= MIN_SEEDS).select("pattern", weight.alias("weight"))
         weights = weights.where(F.col("weight") >= MIN_WEIGHT)
-        best = lambda side: F.coalesce(F.max(F.when(side, F.col("weight"))), F.lit(0.0))
-        sides = dealt_join(edges, weights, "pattern", F.col("instance")).groupBy("instance")
-        both = sides.agg(best(F.col("left")).alias("l"), best(~F.col("left")).alias("r"))
-        confidence = 1 - (1 - F.col("l")) * (1 - F.col("r"))
-        found = materialize(both.select("instance", confidence.alias("confidence")), "pii-round")
-    return found.where(F.col("confidence") >= CONFIDENT).select("instance")
+        found = materialize(_best(edges, weights), "pii-round")
+    return found.where(_confidence() >= CONFIDENT).select("instance")
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -262,7 +339,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     spans = materialize(_apart_from_base(_occurrences(found).where(_valid())), "pii-spans")
     base = spans.where(F.col("kind") < KINDS.index(FOUND))
     candidates = _trimmed(spans.where(F.col("kind") == KINDS.index(FOUND)))
-    identifiers = discover(base.unionByName(candidates), docs.select(F.col(text_col).alias("text")))
+    identifiers = discover(base.withColumn("lead", F.lit("")).unionByName(candidates), docs.select(F.col(text_col).alias("text")))
     added = dealt_join(candidates.withColumn("instance", F.lower("match")), identifiers, "instance", F.col("uid"), "left_semi")
     columns = ["uid", "start", "kind", "end"]
     listed = base.select(*columns).unionByName(added.select(*columns))

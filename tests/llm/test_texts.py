@@ -340,6 +340,29 @@ def test_pii_bootstraps_from_contexts(spark):
     assert got[101]["spans"] == "" == got[102]["spans"] and got[3]["n_identifier"] == 0
 
 
+def test_pii_finds_what_no_seed_looks_like(spark):
+    """Values of password= are seeds; what is found has another length, another lead and other words before it."""
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("aeioustn"), 5))
+    hexes = lambda n: "".join(rng.choice(list("0123456789abcdef"), n - 2)) + "a1"
+    rows = [(i, f"{word()} password={hexes(18)} {word()} {word()}") for i in range(20)]
+    rows += [(100 + i, f'{word()} token = "{hexes(40)}" {word()} {word()}') for i in range(20)]
+    rows += [(200 + i, f'a {word()} {hexes(24)} {word()} a') for i in range(10)]  # by form alone: not found
+    rows += [(300 + i, f"order no {rng.integers(10**9, 10**10)} {word()}") for i in range(20)]  # a pure context, no seed's form
+    rows += [(400, 'id = "04c0ffee04c0ffee04c0" and name = "04c0ffee04c0ffee04c1" x')]
+    got = {r["doc_id"]: r["spans"] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == "identifier:15:33" for i in range(20))
+    assert all(got[100 + i] == "identifier:15:55" for i in range(20))
+    assert not any(got[i] for i, _ in rows if 200 <= i < 400)
+    assert got[400] == "identifier:6:26,identifier:40:60"  # both by their lead and the words before
+
+
+def brute_form(text):
+    alphabets = (("digits", "0-9"), ("hex", "0-9a-f"), ("lower", "0-9a-z"), ("upper", "0-9A-Z"), ("mixed", "0-9A-Za-z"))
+    name = next((name for name, chars in alphabets if re.fullmatch(f"[{chars}]+", text)), "marks")
+    return ("form", name, len(text)), ("form", name, "long" if len(text) >= pii.LONG_FORM else "short")
+
+
 def brute_identifiers(texts, rounds):
     """Of each text the (start, end) of its identifiers, by the definitions, on dictionaries."""
     blank = re.compile(r"[ \t-\r]+")
@@ -366,17 +389,22 @@ def brute_identifiers(texts, rounds):
                 if kind == "identifier":
                     if any(a < end and start < b for a, b in base):
                         continue
-                    core = re.search("[A-Za-z0-9].*[A-Za-z0-9]|[A-Za-z0-9]", entity)
-                    start, entity = start + core.start(), core[0]
+                    opened = max((i + 1 for i in range(len(entity) - 1) if entity[i] in "=:\"'<([{|" and re.match("[A-Za-z0-9]", entity[i + 1])), default=0)
+                    at = opened + re.search("[A-Za-z0-9]", entity[opened:]).start()
+                    lead, entity, start = entity[:at], re.sub("[^A-Za-z0-9]+$", "", entity[at:]), start + at
                     end = start + len(entity)
-                    if len(re.sub("[^A-Za-z0-9]", "", entity)) < 6:
+                    if len(re.sub("[^A-Za-z0-9]", "", entity)) < 6 or not re.search("[0-9]", entity):
                         continue
                     here.append((start, end, entity.lower()))
                 elif f"{kind}:{start}:{end}" not in valid:
                     continue
-                left = [normal(w) for w in blank.split(text[ends[k] : m.start()])[:-1] if w][::-1]
-                right = [normal(w) for w in blank.split(text[m.end() : starts[k + 1]])[1:] if w]
-                seed = kind != "identifier" or bool(re.match(pii.SEED_FORM, entity.lower()))
+                whole = kind == "identifier"  # contexts of base entities end at the one beside them
+                left = [normal(w) for w in blank.split(text[0 if whole else ends[k] : m.start()])[:-1] if w][::-1]
+                right = [normal(w) for w in blank.split(text[m.end() : len(text) if whole else starts[k + 1]])[1:] if w]
+                seed = not whole or lead.lower() in ("password=", "pwd:")
+                own = ([("lead", normal(lead))] if lead else []) + list(brute_form(entity)) if whole else []
+                for pattern_of in own:
+                    edges[pattern_of, entity.lower(), seed] += 1
                 for side, near in (("L", left), ("R", right)):
                     for n in range(1, 4):
                         if len(near) >= n:
@@ -389,20 +417,29 @@ def brute_identifiers(texts, rounds):
     for p, e in of.items():
         total[p] = max(total[p], sum(n for *_, n in e))
     of = {p: e for p, e in of.items() if sum(n for *_, n in e) >= pii.MIN_WEIGHT * (total[p] + 1)}
-    confidence = {}
-    for _ in range(rounds):
-        weight = {}
+    place = {p: (p[0], p[1][0]) if p[0] in "LR" else p if p[0] == "lead" else "form" for p in of}
+    shows, weight = defaultdict(set), {}
+    for p, e in of.items():
+        for entity, _, _ in e:
+            shows[entity].add(p)
+
+    def confidence(entity, but=None):
+        left_open = 1.0
+        for side in ("L", "R", "lead", "form"):
+            told = [weight.get(p, 0) for p in shows[entity] if p[0] == side and place[p] != but]
+            left_open *= 1 - max(told, default=0) * (0.5 if side == "form" else 1)
+        return 1 - left_open
+
+    for turn in range(rounds):
+        new = {}
         for p, e in of.items():
-            sure = sum(seed or confidence.get(entity, 0) >= pii.CONFIDENT for entity, seed, _ in e)
-            w = sum(n * (1 if seed else confidence.get(entity, 0)) for entity, seed, n in e) / (total[p] + 1)
-            if sure >= pii.MIN_SEEDS and w >= pii.MIN_WEIGHT:
-                weight[p] = w
-        sides = defaultdict(lambda: [0.0, 0.0])
-        for p, w in weight.items():
-            for entity, _, _ in of[p]:
-                sides[entity][p[0] == "L"] = max(sides[entity][p[0] == "L"], w)
-        confidence = {entity: 1 - (1 - a) * (1 - b) for entity, (a, b) in sides.items()}
-    return [[(a, b) for a, b, entity in here if confidence.get(entity, 0) >= pii.CONFIDENT] for here in places]
+            least = pii.CONFIDENT if p[0] == "form" else 0
+            said = [(1 if seed else confidence(entity, place[p]) if turn else 0, n) for entity, seed, n in e]
+            w = sum(n * c for c, n in said if c >= least) / (total[p] + 1)
+            if sum(c for c, _ in said if c >= least) >= pii.MIN_SEEDS and w >= pii.MIN_WEIGHT:
+                new[p] = w
+        weight = new
+    return [[(a, b) for a, b, entity in here if confidence(entity) >= pii.CONFIDENT] for here in places]
 
 
 def contextual_texts(seed):
@@ -411,13 +448,14 @@ def contextual_texts(seed):
     some = lambda n: " ".join(rng.choice(filler, n))
     texts = []
     for i in range(90):
-        entity = [f"u{i}@mail.org", f"10.0.{i}.7", f"KX-{i % 9}53120-q", f"{i:08x}" * 5][i % 4]
+        entity = [f"u{i}@mail.org", f"10.0.{i}.7", f"KX-{i % 9}53120-q", f"password={i:08x}ab"][i % 4]
         where = ["owner id", "id", "the"][int(rng.integers(3))]
         texts.append(f"{some(4)} {where} {entity} {some(3)}")
         if i % 4 == 2:  # found by what base entities share with them, and found they tell another context
             texts.append(f"{some(2)} ticket: {entity}, {some(5)}")
         if i % 5 == 0:
             texts.append(f"{some(2)} ticket: ZZ{i}99{i}00 {some(3)}")
+            texts.append(f'{some(2)} key = "{i:04x}" pin="{i:09x}c" {i:012x}e')
         texts.append(f"{some(3)} the {rng.integers(10**6, 10**7)} {some(2)}")
     return texts
 
@@ -440,8 +478,9 @@ def test_bootstrapping_is_the_graph_scoring(spark, seed, monkeypatch):
 
 def test_pii_long_texts_and_repeated_entities(spark):
     long = "= 1234567 " * 5000 + "key " + "token " * 3000
-    rows = [(i, f"{long} key = {i:040x} {long}") for i in range(4)]
-    rows += [(10 + i, f"secret key = {'ab12' * 10}") for i in range(300)] + [(400, "7" * 300_000), (401, "a1." * 100_000)]
+    rows = [(i, f"{long} key password={i:040x} {long}") for i in range(4)]
+    rows += [(10 + i, f"secret password={'ab12' * 10}") for i in range(300)] + [(400, "7" * 300_000), (401, "a1." * 100_000)]
+    rows += [(402, "=" * 300_000 + "1"), (403, '="' * 150_000 + "x"), (404, "=a1" * 100_000)]
     got = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == len(rows) and all(r["n_identifier"] for r in got if r["doc_id"] < 400)
 
