@@ -1,5 +1,7 @@
 """Numeric kernels and texture features against plain numpy."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -17,6 +19,21 @@ def test_distances_and_nearest():
     assert (which == want.argmin(axis=1)).all() and np.allclose(d2, want.min(axis=1))
 
 
+def test_nearest_of_many_centroids_in_little_memory():
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(3000, 2)), rng.normal(size=(6000, 2))
+    y[5000] = y[17]  # of equal ones the first
+    x[7] = y[17]
+    tracemalloc.start()
+    which, d2 = kernels.nearest(x, y)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 << 20  # all distances are 144 MB
+    for i in (0, 7, 2999):
+        want = ((x[i] - y) ** 2).sum(axis=1)
+        assert which[i] == want.argmin() and abs(d2[i] - want.min()) < 1e-12
+
+
 def test_lloyd_keeps_empty_clusters():
     x = np.array([[0.0], [1.0], [10.0]])
     centroids, which, cost = kernels.lloyd(x, np.array([[0.0], [10.0], [500.0]]), 3)
