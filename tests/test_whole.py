@@ -105,6 +105,20 @@ def test_best_of_ten_starts(spark, monkeypatch, name):
     assert asked == [10] and sorted(r["id"] for r in got) == [0, 9]
 
 
+def test_tries_take_their_rounds_together(spark):
+    rng = np.random.default_rng(11)
+    rows = spark.createDataFrame([(i, rng.normal(size=3).tolist()) for i in range(400)], "id long, vec array<double>")
+    x = np.array([r["vec"] for r in rows.collect()])
+    spark.sparkContext.setJobGroup("tries", "tries")
+    got = clustering.kmeans(rows, 5, 8, 1, tries=6)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("tries")) < 6 * 8  # a job a round and try is no more
+    each = [clustering.kmeans(rows, 5, 8, 1 + i) for i in range(6)]
+    cost = [kernels.lloyd(x, c, 0)[2] for c in each]
+    assert np.allclose(got, each[int(np.argmin(cost))])
+    assert np.allclose(clustering._run_potentials(rows, each), cost)
+
+
 def naive_weights(x, y, q, ridge):
     """Ridge weights from the hidden layer to y, one product at a time."""
     hidden = textures.hidden_weights(q, len(x)).astype(np.float64)
