@@ -55,15 +55,16 @@ def hierarchical_kmeans(
         first = np.arange(k) if start == "first" else kernels.greedy_kmeans_plus_plus(x, k, rng)
         return kernels.lloyd(x, x[first], rounds)[:2]
 
-    rows = features.select("id", "vec")
+    rows = clustering.cut(features.select("id", "vec"))
     centroids = np.zeros((0, 0))
     for level, k in enumerate(n_clusters):
         size = sample_sizes[level] if sample_sizes else 0
         if level == 0:
-            centroids = clustering.kmeans(rows, k, rounds, seed)
+            centroids = clustering.lloyd(rows, clustering.first_centroids(rows, k, seed), rounds)
             for _ in range(resamples if size > 1 else 0):
                 nearest = clustering.sorted_by_distance(clustering.assign_clusters(rows, centroids), 12)
-                sample = nearest.where(F.col("nth") <= size).join(rows, "id").orderBy("id").select("vec").collect()
+                ids = F.broadcast(nearest.where(F.col("nth") <= size).select("id"))  # at most k * size: rows stay where they are
+                sample = rows.join(ids, "id").orderBy("id").select("vec").collect()
                 x = kernels.checked(np.array([r["vec"] for r in sample]))
                 centroids, _ = clustered(x, k)
             assigned = clustering.cut(clustering.assign_clusters(rows, centroids))

@@ -4,9 +4,10 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from poolwright.functions import kernels
-from poolwright.operators import clustering, strategies, textures
+from poolwright.operators import clustering, hierarchy, strategies, textures
 from poolwright.plans import registry
 from poolwright.plans.queries import QUERIES
 
@@ -119,6 +120,22 @@ def test_tries_take_their_rounds_together(spark):
     assert np.allclose(clustering._run_potentials(rows, each), cost)
 
 
+def test_levels_read_features_once_and_end_when_no_row_moves(spark, monkeypatch):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def vec(i):
+        read.add(1)
+        return [float(i % 4), float(i % 3)]
+
+    rows = spark.range(200).repartition(2).select("id", vec("id").alias("vec"))
+    calls = []
+    monkeypatch.setattr(kernels, "nearest", lambda *args, f=kernels.nearest: calls.append(1) or f(*args))
+    levels = hierarchy.hierarchical_kmeans(rows, (6, 2), 50, 1)
+    assert read.value == 200 == levels[0].count()
+    assert len(calls) < 10  # six centroids settle long before 50 rounds
+
+
 def naive_weights(x, y, q, ridge):
     """Ridge weights from the hidden layer to y, one product at a time."""
     hidden = textures.hidden_weights(q, len(x)).astype(np.float64)
