@@ -45,6 +45,24 @@ def test_pairs_of_many_blocks(spark):
     assert got.where("distance <> (id - other) * (id - other)").count() == 0
 
 
+def test_first_table_of_pairs_is_read_once_for_each_group(spark, monkeypatch):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for a table too large to broadcast
+    try:
+        rows = spark.range(700).selectExpr("id", "array(double(id), 1D) AS vec")
+        pairs = lambda n: clustering.pairwise_blocks(rows, rows.where("id < 600").repartition(n))
+        one = pairs(1).rdd.getNumPartitions()
+        assert pairs(7).rdd.getNumPartitions() == one
+        monkeypatch.setattr(clustering, "GROUP_BYTES", 4096)
+        got = pairs(7)  # 9,600 bytes
+        assert got.rdd.getNumPartitions() == 3 * one
+        assert got.count() == 700 * 600 == got.select("id", "other").distinct().count()
+        assert got.where("distance <> (id - other) * (id - other)").count() == 0
+        assert clustering.pairwise_blocks(rows, rows.where("id < 0")).count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 @tables_here
 def test_every_pixel_is_normalized(spark, embeddings):
     got = {(r["id"], r["pos"]): r["value"] for r in QUERIES["pixel_normalization_whole"](spark, SF).collect()}
