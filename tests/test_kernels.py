@@ -46,6 +46,15 @@ def test_kmeans_clamps_k():
     assert len(centroids) == 2 and cost == 0 and len(set(which)) == 2
 
 
+def test_first_of_equal_centroids():
+    rng = np.random.default_rng(0)
+    for _ in range(20):
+        centroids = rng.normal(size=(5, 64))
+        centroids[4], centroids[3] = centroids[0], centroids[1]
+        for n in (1, 3, 7, 100):
+            assert kernels.nearest(rng.normal(size=(n, 64)), centroids)[0].max() < 3
+
+
 def test_matrices_are_checked(monkeypatch):
     monkeypatch.setattr(kernels, "MAX_MATRIX_BYTES", 8)
     with pytest.raises(ValueError):
