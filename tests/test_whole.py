@@ -3,6 +3,8 @@
 import os
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,6 +65,64 @@ def test_first_table_of_pairs_is_read_once_for_each_group(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
 
 
+def unit_vectors(spark, n, width=16, odd=()):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(n, width)).astype(np.float32).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for i, v in odd:
+        x[i] = v
+    return x, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+
+
+@pytest.mark.parametrize("distance", ["l2", "cos"])
+@pytest.mark.parametrize("most", [1 << 25, 5000])
+def test_every_pair_is_in_one_range_of_distances(spark, monkeypatch, distance, most):
+    for name, value in {"RANGE_PAIRS": 1 << 18, "RANGE_SORTED": most, "RANGE_VALUES": 4000}.items():
+        monkeypatch.setattr(clustering, name, value)
+    monkeypatch.setattr(clustering, "pairwise_blocks", None)
+    odd = [(3, 1e6), (40, -1e6), (701, np.nan), (720, 1e200), (1, 0.0), (602, 0.5)]
+    x, rows = unit_vectors(spark, 900, odd=odd)
+    out = clustering.pairwise_rounded(rows, rows.where("id % 3 = 0"), distance, 4)
+    parts = [[tuple(r) for r in part] for part in out.rdd.glom().collect()]
+    assert sum(map(bool, parts)) > 4
+    got = {(i, j): d for part in parts for i, j, d in part}
+    assert sum(map(len, parts)) == 900 * 300 == len(got) and {j for _, j in got} == set(range(0, 900, 3))
+    with np.errstate(all="ignore"):
+        want = kernels.squared_distances(x, x) if distance == "l2" else 2 - 2 * x @ x.T
+    d, e = np.array(list(got.values())), np.array([want[i, j] for i, j in got])
+    with np.errstate(invalid="ignore"):
+        near = np.abs(d - e) <= np.maximum(0.51e-4, 1e-12 * np.abs(e))
+    assert (near | (d == e) | (np.isnan(d) & np.isnan(e))).all()
+    small = d[np.abs(d) < 9] * 1e4
+    assert len(small) > 250_000 and (np.abs(small - np.rint(small)) < 1e-8).all()
+
+
+def test_pairs_by_distance_take_less_room(spark, monkeypatch, tmp_path):
+    _, rows = unit_vectors(spark, 3000)
+    pairs = lambda: clustering.pairwise_rounded(rows, rows.where("id % 5 = 0"), "cos", 4)
+    pairs().write.parquet(f"{tmp_path}/few")
+    monkeypatch.setattr(clustering, "RANGE_PAIRS", 1 << 21)
+    pairs().write.parquet(f"{tmp_path}/ranges")
+    size = {name: sum(f.stat().st_size for f in (tmp_path / name).glob("*.parquet")) for name in ("few", "ranges")}
+    few, ranges = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("few", "ranges"))
+    assert ranges.count() == few.count() == 3000 * 600
+    far = few.join(ranges.withColumnRenamed("distance", "d"), ["id", "other"]).where("abs(distance - d) > 1e-9")
+    assert far.count() == 0 and size["ranges"] < 3.5 * 3000 * 600
+
+
+@pytest.mark.parametrize("name", ["pairwise_l2_whole", "pairwise_cosine_whole"])
+def test_pairs_of_a_larger_table_take_less_room(spark, tmp_path, name):
+    n = 18_400
+    x = np.random.default_rng(5).normal(size=(n, 64))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    vectors = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 64).cast(pa.list_(pa.float32()))
+    table = pa.table({"vec_id": np.arange(n), "embedding": vectors, "label": np.zeros(n, dtype=np.int32)})
+    pq.write_table(table, f"{tmp_path}/embeddings.parquet")
+    QUERIES[name](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    assert spark.read.parquet(f"{tmp_path}/out").count() == n * n // 20
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 5.5 * n * n / 20
+
+
 @tables_here
 def test_every_pixel_is_normalized(spark, embeddings):
     got = {(r["id"], r["pos"]): r["value"] for r in QUERIES["pixel_normalization_whole"](spark, SF).collect()}
