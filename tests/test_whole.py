@@ -97,6 +97,16 @@ def test_every_pair_is_in_one_range_of_distances(spark, monkeypatch, distance, m
     assert len(small) > 250_000 and (np.abs(small - np.rint(small)) < 1e-8).all()
 
 
+def test_ranges_leave_out_gaps(spark):
+    far = [0.0] * 64 + [8.0]  # every second row, at 65 from the others
+    x = np.hstack([unit_vectors(spark, 900, 64)[0], np.zeros((900, 1))])
+    x[::2] = far
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    bounds = clustering._range_bounds(rows, x[::3], "l2", 6, 1 << 27)
+    assert 8 < len(bounds) < clustering.RANGES and bounds[0] < 1.7 and bounds[-1] > 2.2
+    assert max(high - low for low, high in zip(bounds, bounds[1:]) if high < 2.5) < 0.2
+
+
 def test_pairs_by_distance_take_less_room(spark, monkeypatch, tmp_path):
     _, rows = unit_vectors(spark, 3000)
     pairs = lambda: clustering.pairwise_rounded(rows, rows.where("id % 5 = 0"), "cos", 4)
